@@ -98,6 +98,7 @@ def nearest(
     within: float | None = None,
     closed: bool = True,
     leaf: int = LEAF_POINTS,
+    farthest: bool = False,
 ) -> DataFrame:
     """The ``k`` nearest targets of every query, exact, ties by ``target_id``.
 
@@ -105,9 +106,11 @@ def nearest(
     left out. A table of cells (count and true bounding box) is walked from coarse to fine; a cell
     survives only if it can still beat the best bound seen, so a cell that holds a large share of
     all points is split until its parts are small instead of being joined as a whole. Copies of a
-    point are searched once.
+    point are searched once. ``farthest`` (k = 1) walks the same table for the other end.
     """
     on = list(on)
+    if farthest and (k != 1 or within is not None):
+        raise ValueError("farthest supports k=1 without a bound")
     anchor = on
     q = queries
     t = targets.select(*on, *XYZ, F.col(target_id).alias("n_id"))
@@ -152,17 +155,20 @@ def nearest(
             grown = frontier.join(nodes, anchor)
         low = F.sqrt(sum(F.pow(F.greatest(F.col(f"lo_{c}") - F.col(c), F.col(c) - F.col(f"hi_{c}"), F.lit(0.0)), F.lit(2.0)) for c in XYZ))
         high = F.sqrt(sum(F.pow(F.greatest(F.abs(F.col(f"lo_{c}") - F.col(c)), F.abs(F.col(f"hi_{c}") - F.col(c))), F.lit(2.0)) for c in XYZ))
+        if farthest:  # distances count negatively, everything else stays
+            low, high = -high, -low
         grown = grown.withColumn("_low", low).withColumn("_ub", F.least("_ub", F.when(F.col("_n") >= k, high).otherwise(F.lit(float("inf")))))
-        grown = grown.filter(F.col("_low") <= F.col("_ub") * (1 + 1e-9) + 1e-9)
+        grown = grown.filter(F.col("_low") <= F.col("_ub") + F.abs("_ub") * 1e-9 + 1e-9)
         grown = grown.withColumn("_ub", F.min("_ub").over(Window.partitionBy(*at)))
-        frontier = grown.filter(F.col("_low") <= F.col("_ub") * (1 + 1e-9) + 1e-9).select(*at, "_cx", "_cy", "_cz", "_ub")
+        frontier = grown.filter(F.col("_low") <= F.col("_ub") + F.abs("_ub") * 1e-9 + 1e-9).select(*at, "_cx", "_cy", "_cz", "_ub")
 
     leaves = ids.select(*anchor, *[F.col(c).alias(f"n_{c}") for c in XYZ], "n_id", *_code(depth, origin, side))
     hits = frontier.join(leaves, [*anchor, "_cx", "_cy", "_cz"]).withColumn("n_dist", dist(*XYZ, "n_x", "n_y", "n_z"))
     if within is not None:
         hits = hits.filter((F.col("n_dist") <= within) if closed else (F.col("n_dist") < within))
     if k == 1:
-        best = hits.groupBy(*at).agg(F.min(F.struct("n_dist", "n_id")).alias("b"))
+        sign = -1 if farthest else 1
+        best = hits.groupBy(*at).agg(F.min_by(F.struct("n_dist", "n_id"), F.struct(F.col("n_dist") * sign, F.col("n_id"))).alias("b"))
         best = best.select(*at, F.col("b.n_id").alias("n_id"), F.col("b.n_dist").alias("n_dist"), F.lit(1).alias("n_rank"))
     else:
         best = top_k(hits, at, [F.col("n_dist"), F.col("n_id")], k, "n_rank").select(*at, "n_id", "n_dist", "n_rank")

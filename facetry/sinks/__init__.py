@@ -1,0 +1 @@
+"""Writers: tables as Parquet, and the text views other tools read."""

@@ -1,0 +1 @@
+"""Readers: every text format becomes a table by expressions over its lines."""
