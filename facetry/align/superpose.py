@@ -8,11 +8,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facetry.functions.geometry import ROTATION, SHIFT, apply_transform, compose_transforms, cross3, dot3, transform_struct
 
 IDENTITY = {**{n: 1.0 if n[1] == n[2] else 0.0 for n in ROTATION}, **{n: 0.0 for n in SHIFT}}
-POSE = ", ".join(f"{n} double" for n in (*ROTATION, *SHIFT))
+POSE = T.StructType([T.StructField(n, T.DoubleType()) for n in (*ROTATION, *SHIFT)])
+VOTE = T.StructType(
+    [T.StructField("pose", POSE), T.StructField("fitness", T.DoubleType()), T.StructField("inliers", T.IntegerType()), T.StructField("inlier_rmse", T.DoubleType())]
+)
 
 
 def _kabsch(cov: np.ndarray) -> np.ndarray:
@@ -60,7 +64,7 @@ def place(points: DataFrame, poses: DataFrame, keys: list[str], normals: bool =
 
 
 def _vote_udf(rounds: int, edge_ratio: float, max_dist: float, inlier: float, seed: int):
-    @F.pandas_udf(f"pose struct<{POSE}>, fitness double, inliers int, inlier_rmse double")
+    @F.pandas_udf(VOTE)
     def vote(name: pd.Series, src: pd.Series, dst: pd.Series, src_n: pd.Series, dst_n: pd.Series) -> pd.DataFrame:
         rows = []
         for key, *arrays in zip(name, src, dst, src_n, dst_n):
@@ -92,9 +96,7 @@ def _vote_udf(rounds: int, edge_ratio: float, max_dist: float, inlier: float, se
                         pose = {n: r[i, int(n[1]) - 1, int(n[2]) - 1] for n in ROTATION} | {n: t[i, j] for j, n in enumerate(SHIFT)}
                         best = (pose, count[i] / len(p), int(count[i]), rmse[i])
             rows.append(best or (IDENTITY, 0.0, 0, 0.0))
-        return pd.DataFrame(rows, columns=["pose", "fitness", "inliers", "inlier_rmse"]).assign(
-            pose=lambda f: f["pose"].map(dict)
-        )
+        return pd.DataFrame(rows, columns=VOTE.names)
 
     return vote
 

@@ -17,7 +17,16 @@ MAX_SEGMENTS = 4096
 _FAN = 64
 
 
-def _as_number(col: Column) -> Column:
+def order_number(df: DataFrame, name: str) -> Column:
+    """A number that never falls where the column rises, whatever its type."""
+    kind, col = dict(df.dtypes)[name], F.col(name)
+    if kind == "string":  # leading bytes, read as one number
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    if kind == "timestamp_ntz":  # no time zone on the way
+        seconds = F.hour(col) * 3600 + F.minute(col) * 60 + F.extract(F.lit("SECOND"), col).cast("double")
+        return F.unix_date(col.cast("date")) * F.lit(86400.0) + seconds
+    if kind == "date":
+        return F.unix_date(col).cast("double")
     return col.cast("double")
 
 
@@ -48,13 +57,12 @@ class Segments:
     def single(self) -> bool:
         return not self.splits
 
-    def column(self, lead: Column, second: Column | None = None) -> Column:
-        value = _as_number(lead)
+    def column(self, value: Column, second: Column | None = None) -> Column:
         # values above a heavy one share its cut position, so they sort after all its parts
         part = F.lit(MAX_SEGMENTS + 1)
         for heavy_value, cuts in self.heavy.items():
             if second is not None and cuts:
-                part = F.when(value == F.lit(heavy_value), _position(_as_number(second), cuts)).otherwise(part)
+                part = F.when(value == F.lit(heavy_value), _position(second, cuts)).otherwise(part)
         seg = _position(value, self.splits).cast("long") * F.lit(2 * (MAX_SEGMENTS + 1)) + part
         return seg
 
@@ -62,7 +70,7 @@ class Segments:
 def order_segments(df: DataFrame, lead: Column, second: Column | None = None, segment_rows: int = SEGMENT_ROWS) -> Segments:
     """Measure ``df`` once and choose cut points so that a segment holds about ``segment_rows`` rows.
 
-    Values tied so often that they fill whole segments are cut again along ``second``.
+    ``lead`` and ``second`` are numbers (see :func:`order_number`). Values tied so often that they fill whole segments are cut again along ``second``.
     """
     n = df.count()
     wanted = min(MAX_SEGMENTS, -(-n // segment_rows))
@@ -70,13 +78,13 @@ def order_segments(df: DataFrame, lead: Column, second: Column | None = None, se
         return Segments([], {})
     probs = [i / wanted for i in range(1, wanted)]
     accuracy = max(10_000, 10 * wanted)
-    cuts = df.select(F.percentile_approx(_as_number(lead), probs, accuracy).alias("q")).first()["q"] or []
+    cuts = df.select(F.percentile_approx(lead, probs, accuracy).alias("q")).first()["q"] or []
     repeated = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
     splits = sorted(set(cuts))
     heavy: dict[float, list[float]] = {}
     if repeated and second is not None:
         rows = (
-            df.select(_as_number(lead).alias("v"), _as_number(second).alias("s"))
+            df.select(lead.alias("v"), second.alias("s"))
             .filter(F.col("v").isin(repeated))
             .groupBy("v")
             .agg(F.percentile_approx("s", probs, accuracy).alias("q"))
@@ -95,8 +103,8 @@ def running(
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Inclusive running sums per key in ``order``; each value is exact whatever the key's size."""
-    lead = F.col(order[0])
-    second = F.col(order[1]) if len(order) > 1 else None
+    lead = order_number(df, order[0])
+    second = order_number(df, order[1]) if len(order) > 1 else None
     segments = order_segments(df, lead, second, segment_rows)
     base = df
     for name, expr in sums.items():

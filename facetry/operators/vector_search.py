@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetry.functions.vector import vec_dist, vec_norm
-from facetry.operators.scale import top_k
+from facetry.operators.scale import SEGMENT_ROWS, top_k, with_ordinals
 from facetry.session import materialize
 
 BROADCAST_BYTES = 64 << 20
@@ -58,26 +58,33 @@ def threshold_match(
     return pairs.withColumn("desc_dist", vec_dist("desc", "t_desc")).filter(F.col("desc_dist") < max_dist).drop(*bands)
 
 
-def rank_database(database: DataFrame, targets: DataFrame, target_keys: list[str], k: int, order_ids: list[str]) -> DataFrame:
-    """Nearest ``k`` database rows per target over the whole database.
+def scan_distances(database: DataFrame, targets: DataFrame) -> DataFrame:
+    """Distance of every database row to every target.
 
-    Every row has to be measured once per target (that is the operator); targets are a list of
-    sites whose size is checked before they travel, and only ``k`` rows per target and task leave
-    the scan.
+    Measuring all rows is what a full ranking asks for. Targets are a short list of sites whose
+    size is checked before they travel; the database stays where it is.
     """
     targets = materialize(targets.withColumn("_scan", F.lit(0)))
     size = targets.agg(F.count("*").alias("n"), F.max(F.size("t_desc")).alias("dim")).first()
     if (size["n"] or 0) * ((size["dim"] or 0) * 8 + 128) > BROADCAST_BYTES:
         raise ValueError(f"{size['n']} targets do not fit one scan; split the target table")
-    scanned = database.withColumn("_scan", F.lit(0)).join(F.broadcast(targets), "_scan").drop("_scan")
-    scanned = scanned.withColumn("desc_dist", vec_dist("desc", "t_desc"))
+    keep = [c for c in database.columns if c != "desc"]
+    scanned = database.withColumn("_scan", F.lit(0)).join(F.broadcast(targets), "_scan")
+    return scanned.withColumn("desc_dist", vec_dist("desc", "t_desc")).select(*keep, *[c for c in targets.columns if c not in ("t_desc", "_scan")], "desc_dist")
+
+
+def rank_database(database: DataFrame, targets: DataFrame, target_keys: list[str], k: int, order_ids: list[str]) -> DataFrame:
+    """Nearest ``k`` database rows per target; only ``k`` rows per target and task leave the scan."""
+    scanned = scan_distances(database, targets)
     return top_k(scanned, target_keys, [F.col("desc_dist"), *[F.col(c) for c in order_ids]], k)
 
 
-def match_lists(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """Matches of a protein as aligned lists (for output only; processing stays one row per match)."""
-    m = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("vix", "desc_dist", "score"))).alias("m"))
-    return m.select(*keys, F.col("m.vix").alias("vix_list"), F.col("m.desc_dist").alias("dist_list"), F.col("m.score").alias("score_list"))
+def match_lists(candidates: DataFrame, keys: list[str], per_row: int = 100_000, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """Matches of a protein as aligned lists, ``per_row`` at a time (``part``): for output only."""
+    m = with_ordinals(candidates.select(*keys, "vix", "desc_dist", "score"), keys, ["vix"], "_i", segment_rows)
+    m = m.withColumn("part", F.floor(F.col("_i") / per_row))
+    m = m.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct("vix", "desc_dist", "score"))).alias("m"))
+    return m.select(*keys, "part", F.col("m.vix").alias("vix_list"), F.col("m.desc_dist").alias("dist_list"), F.col("m.score").alias("score_list"))
 
 
 def scan_counters(database: DataFrame) -> DataFrame:
