@@ -277,12 +277,12 @@ def exclusion_antijoin(spark, sf):
     return not_done(fixtures.table(spark, sf, "documents").select("doc_id"), fixtures.table(spark, sf, "labels"), ["doc_id"])
 
 
-@query("exclusion_by_prefix", "WITH k AS (SELECT lower(p_brand) || p_size || '_' || p_partkey AS id FROM part) SELECT id FROM k WHERE upper(split_part(id, '_', 1)) NOT IN (SELECT upper(p_brand || p_size) FROM part WHERE p_retailprice > 1500)")
+@query("exclusion_by_prefix", "WITH k AS (SELECT lower(p_brand) || p_size || '_' || p_partkey AS id FROM part) SELECT id FROM k WHERE upper(split_part(id, '_', 1)) NOT IN (SELECT upper(p_brand || p_size) FROM part WHERE p_retailprice > 990)")
 def exclusion_by_prefix(spark, sf):
     p = fixtures.table(spark, sf, "part")
     first = F.concat("p_brand", F.col("p_size").cast("string"))
     ids = p.select(F.concat_ws("_", F.lower(first), F.col("p_partkey").cast("string")).alias("id"))
-    return not_listed_by_prefix(ids, "id", p.filter("p_retailprice > 1500").select(first.alias("id")))
+    return not_listed_by_prefix(ids, "id", p.filter("p_retailprice > 990").select(first.alias("id")))
 
 
 @query("whitelist_semijoin", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")

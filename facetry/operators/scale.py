@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetry.session import materialize
+
 SEGMENT_ROWS = 2_000_000
 MAX_SEGMENTS = 4096
 _FAN = 64
@@ -183,13 +185,18 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(whole)).filter(F.col(rank) <= k)
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], accuracy: int = 10_000, small_group: int = 100_000) -> DataFrame:
     """Linear-interpolation percentiles of unbounded groups, one row per key.
 
     A sketch only narrows the search: its error bound gives a bracket around each wanted order
-    statistic, rows below the bracket are counted and only the bracket itself is sorted.
+    statistic, rows below the bracket are counted and only the bracket itself is sorted. Where all
+    groups are small the built-in aggregate does.
     """
     src = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    most = src.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most <= small_group:
+        found = src.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_p"))
+        return found.select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(probs)])
     slack = 4.0 / accuracy
     names = list(probs)
     bounds = []
@@ -222,8 +229,12 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
         .groupBy(*keys, "name", "r", "_b")
         .agg(F.count("*").alias("c"))
     )
-    w = Window.partitionBy(*keys, "name").orderBy(F.col("_b").asc_nulls_first())
-    ranked = counts.withColumn("_last", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    if most * 2 * slack > SEGMENT_ROWS:  # even the brackets are long: rank them in segments
+        counts = materialize(counts.withColumn("_o", F.coalesce("_b", F.lit(float("-inf")))))
+        ranked = running(counts, [*keys, "name"], ["_o"], {"_last": F.col("c")}).withColumn("_last", F.col("_last") - 1)
+    else:
+        w = Window.partitionBy(*keys, "name").orderBy(F.col("_b").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+        ranked = counts.withColumn("_last", F.sum("c").over(w) - 1)
     at = lambda rank: F.min(F.when(F.col("_b").isNotNull() & (F.col("_last") >= rank), F.col("_b")))
     picked = ranked.groupBy(*keys, "name", "r").agg(at(F.floor(F.col("r"))).alias("a"), at(F.ceil(F.col("r"))).alias("b"))
     value_at = F.col("a") + (F.col("r") - F.floor(F.col("r"))) * (F.col("b") - F.col("a"))

@@ -28,12 +28,13 @@ QUANTILE_RULES = {"ddg": (0.75, "<="), "nddg": (0.75, "<="), "bunsh": (0.75, "<=
 
 def quantile_cutoffs(df: DataFrame, rules: dict[str, tuple[float, str]] = QUANTILE_RULES) -> DataFrame:
     """One row with a cutoff per metric, each taken over all designs."""
-    metrics = list(rules)
-    tall = df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("e")).select("e.*")
-    probs = {f"p{int(p * 100)}": p for p, _ in rules.values()}
-    table = exact_percentiles(tall, ["metric"], "v", probs)
-    pick = lambda m: F.max(F.when(F.col("metric") == m, F.col(f"p{int(rules[m][0] * 100)}"))).alias(f"cut_{m}")
-    return table.agg(*[pick(m) for m in metrics])
+    # an upper quantile is a lower one of the negated values, so one probability serves both
+    side = {m: (-1.0, 1 - p) if p > 0.5 else (1.0, p) for m, (p, _) in rules.items()}
+    name = lambda p: f"p{round(p * 1000)}"
+    entries = [F.struct(F.lit(m).alias("metric"), (F.col(m).cast("double") * s).alias("v")) for m, (s, _) in side.items()]
+    tall = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    table = exact_percentiles(tall, ["metric"], "v", {name(p): p for _, p in side.values()})
+    return table.agg(*[(F.max(F.when(F.col("metric") == m, F.col(name(p)))) * s).alias(f"cut_{m}") for m, (s, p) in side.items()])
 
 
 def select_by_cutoffs(df: DataFrame, cutoffs: DataFrame | dict[str, float], rules: dict[str, tuple[float, str]] = QUANTILE_RULES, optional: dict[str, float] | None = None) -> DataFrame:
