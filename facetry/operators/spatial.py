@@ -6,6 +6,7 @@ be equal on both sides (protein, pose, pair). Columns of the right side come bac
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from itertools import product
 
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 
 from facetry.functions.geometry import dist
 from facetry.operators.scale import top_k
+from facetry.session import materialize
 
 XYZ = ("x", "y", "z")
-LEAF_POINTS = 48
+LEAF_POINTS = 128
 MAX_DEPTH = 24
 STEP = 2
 SAMPLE_POINTS = 1_000_000
@@ -111,59 +113,74 @@ def nearest(
     on = list(on)
     if farthest and (k != 1 or within is not None):
         raise ValueError("farthest supports k=1 without a bound")
-    anchor = on
-    q = queries
-    t = targets.select(*on, *XYZ, F.col(target_id).alias("n_id"))
-    if not on:
-        anchor = ["_all"]
-        q, t = q.withColumn("_all", F.lit(0)), t.withColumn("_all", F.lit(0))
-    at = [*anchor, *XYZ]
-    places = q.select(*at).distinct()
+    at = [*on, *XYZ]
+    places = queries.select(*at).distinct()
+    t = targets.select(*at, F.col(target_id).alias("n_id"))
     if k == 1:
         ids = t.groupBy(*at).agg(F.min("n_id").alias("n_id"))
     else:
         ids = top_k(t, at, [F.col("n_id")], k, "_copy").drop("_copy")
+    ids = materialize(ids)  # read once per level below
 
-    ext = t.agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in XYZ for f in (F.min, F.max)]).first()
+    ext = ids.agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in XYZ for f in (F.min, F.max)]).first()
     n = ext["n"]
     origin = [ext[f"min_{c}"] or 0.0 for c in XYZ]
     span = max([(ext[f"max_{c}"] or 0.0) - o for c, o in zip(XYZ, origin)] + [1e-9])
     side = span * (1 + 1e-9) + 1e-12
-    depth = _depth(t.select(*at).distinct(), anchor, n, origin, side, leaf) if n else STEP
+    depth = _depth(ids.select(*at), on, n, origin, side, leaf)
 
     # the point count of a cell guarantees k neighbours inside it
-    finest = ids.select(*anchor, *XYZ, *_code(depth, origin, side)).groupBy(*anchor, "_cx", "_cy", "_cz").agg(
+    finest = ids.select(*at, *_code(depth, origin, side)).groupBy(*on, "_cx", "_cy", "_cz").agg(
         F.count("*").alias("_n"), *[f(c).alias(f"{tag}_{c}") for c in XYZ for f, tag in ((F.min, "lo"), (F.max, "hi"))]
     )
-    bound0 = F.lit(float("inf") if within is None else float(within))
-    frontier = places.withColumn("_ub", bound0)
-    for level in range(STEP, depth + 1, STEP):
+    if depth > STEP:
+        finest = materialize(finest)
+    box = [f"{tag}_{c}" for c in XYZ for tag in ("lo", "hi")]
+    reach = F.lit(float("inf") if within is None else float(within))
+
+    def interval(cell) -> tuple[Column, Column]:
+        """Least and greatest possible distance of a query to the points of a cell."""
+        gap = lambda c: F.greatest(cell[f"lo_{c}"] - F.col(c), F.col(c) - cell[f"hi_{c}"], F.lit(0.0))
+        far = lambda c: F.greatest(F.abs(cell[f"lo_{c}"] - F.col(c)), F.abs(cell[f"hi_{c}"] - F.col(c)))
+        low, high = (F.sqrt(sum(F.pow(f(c), F.lit(2.0)) for c in XYZ)) for f in (gap, far))
+        # for the farthest point distances count negatively, everything else stays
+        return (-high, -low) if farthest else (low, high)
+
+    sure = lambda cell, high: F.when(cell["_n"] >= k, high).otherwise(F.lit(float("inf")))
+    open_ = lambda low, bound: low <= bound + F.abs(bound) * 1e-9 + 1e-9
+
+    def level_nodes(level: int) -> DataFrame:
         up = depth - level
-        shifted = finest.select(
-            *anchor, *[F.shiftright(f"_c{c}", up).alias(f"_c{c}") for c in XYZ], "_n", *[f"{t_}_{c}" for c in XYZ for t_ in ("lo", "hi")]
-        )
-        nodes = shifted if up == 0 else shifted.groupBy(*anchor, "_cx", "_cy", "_cz").agg(
-            F.sum("_n").alias("_n"),
-            *[F.min(f"lo_{c}").alias(f"lo_{c}") for c in XYZ],
-            *[F.max(f"hi_{c}").alias(f"hi_{c}") for c in XYZ],
-        )
-        if level > STEP:
-            nodes = nodes.select("*", *[F.shiftright(f"_c{c}", STEP).alias(f"_p{c}") for c in XYZ])
-            frontier = frontier.withColumnsRenamed({f"_c{c}": f"_p{c}" for c in XYZ})
-            grown = frontier.join(nodes, [*anchor, "_px", "_py", "_pz"])
-        else:
-            grown = frontier.join(nodes, anchor)
-        low = F.sqrt(sum(F.pow(F.greatest(F.col(f"lo_{c}") - F.col(c), F.col(c) - F.col(f"hi_{c}"), F.lit(0.0)), F.lit(2.0)) for c in XYZ))
-        high = F.sqrt(sum(F.pow(F.greatest(F.abs(F.col(f"lo_{c}") - F.col(c)), F.abs(F.col(f"hi_{c}") - F.col(c))), F.lit(2.0)) for c in XYZ))
-        if farthest:  # distances count negatively, everything else stays
-            low, high = -high, -low
-        grown = grown.withColumn("_low", low).withColumn("_ub", F.least("_ub", F.when(F.col("_n") >= k, high).otherwise(F.lit(float("inf")))))
-        grown = grown.filter(F.col("_low") <= F.col("_ub") + F.abs("_ub") * 1e-9 + 1e-9)
-        grown = grown.withColumn("_ub", F.min("_ub").over(Window.partitionBy(*at)))
-        frontier = grown.filter(F.col("_low") <= F.col("_ub") + F.abs("_ub") * 1e-9 + 1e-9).select(*at, "_cx", "_cy", "_cz", "_ub")
-
-    leaves = ids.select(*anchor, *[F.col(c).alias(f"n_{c}") for c in XYZ], "n_id", *_code(depth, origin, side))
-    hits = frontier.join(leaves, [*anchor, "_cx", "_cy", "_cz"]).withColumn("n_dist", dist(*XYZ, "n_x", "n_y", "n_z"))
+        cells = finest.select(*on, *[F.shiftright(f"_c{c}", up).alias(f"_c{c}") for c in XYZ], "_n", *box)
+        if up == 0:
+            return cells
+        merged = [F.min(f"lo_{c}").alias(f"lo_{c}") for c in XYZ] + [F.max(f"hi_{c}").alias(f"hi_{c}") for c in XYZ]
+        return cells.groupBy(*on, "_cx", "_cy", "_cz").agg(F.sum("_n").alias("_n"), *merged)
+
+    # the first cells of a tree are at most 4 x 4 x 4: one array per tree, judged in the row
+    top = level_nodes(STEP).groupBy(*on).agg(F.collect_list(F.struct("_cx", "_cy", "_cz", "_n", *box)).alias("_top"))
+    if on:
+        frontier = places.join(top, on)
+    else:
+        row, cell_type = top.first(), top.schema["_top"].dataType
+        text = json.dumps([c.asDict() for c in row["_top"]] if row else [])
+        frontier = places.withColumn("_top", F.from_json(F.lit(text), cell_type))
+    best_high = F.array_min(F.transform("_top", lambda c: sure(c, interval(c)[1])))
+    frontier = frontier.withColumn("_ub", F.least(reach, F.coalesce(best_high, F.lit(float("inf")))))
+    frontier = frontier.withColumn("_c", F.explode(F.filter("_top", lambda c: open_(interval(c)[0], F.col("_ub")))))
+    frontier = frontier.select(*at, *[F.col(f"_c._c{c}").alias(f"_c{c}") for c in XYZ], "_ub")
+
+    for level in range(2 * STEP, depth + 1, STEP):
+        nodes = level_nodes(level).select("*", *[F.shiftright(f"_c{c}", STEP).alias(f"_p{c}") for c in XYZ])
+        grown = frontier.withColumnsRenamed({f"_c{c}": f"_p{c}" for c in XYZ}).join(nodes, [*on, "_px", "_py", "_pz"])
+        cell = {name: F.col(name) for name in ("_n", *box)}
+        low, high = interval(cell)
+        grown = grown.withColumn("_low", low).withColumn("_ub", F.least("_ub", sure(cell, high)))
+        grown = grown.filter(open_(F.col("_low"), F.col("_ub"))).withColumn("_ub", F.min("_ub").over(Window.partitionBy(*at)))
+        frontier = grown.filter(open_(F.col("_low"), F.col("_ub"))).select(*at, "_cx", "_cy", "_cz", "_ub")
+
+    leaves = ids.select(*on, *[F.col(c).alias(f"n_{c}") for c in XYZ], "n_id", *_code(depth, origin, side))
+    hits = frontier.join(leaves, [*on, "_cx", "_cy", "_cz"]).withColumn("n_dist", dist(*XYZ, "n_x", "n_y", "n_z"))
     if within is not None:
         hits = hits.filter((F.col("n_dist") <= within) if closed else (F.col("n_dist") < within))
     if k == 1:
@@ -172,8 +189,7 @@ def nearest(
         best = best.select(*at, F.col("b.n_id").alias("n_id"), F.col("b.n_dist").alias("n_dist"), F.lit(1).alias("n_rank"))
     else:
         best = top_k(hits, at, [F.col("n_dist"), F.col("n_id")], k, "n_rank").select(*at, "n_id", "n_dist", "n_rank")
-    out = q.join(best, at).withColumnRenamed("n_id", f"n_{target_id}")
-    return out.drop("_all")
+    return queries.join(best, at).withColumnRenamed("n_id", f"n_{target_id}")
 
 
 def exists_within(queries: DataFrame, targets: DataFrame, target_id: str, radius: float, on: list[str] = (), closed: bool = True) -> DataFrame:
