@@ -46,12 +46,12 @@ def _fit(sums: pd.Series) -> pd.DataFrame:
 
 def superpose(pairs: DataFrame, keys: list[str], p: tuple = ("x", "y", "z"), q: tuple = ("qx", "qy", "qz")) -> DataFrame:
     """Least-squares rigid transform per group that moves p onto q: keys, ``pose``, ``n``."""
-    sums = [F.count("*").cast("double").alias("n")]
-    sums += [F.sum(c).alias(f"p{i}") for i, c in enumerate(p)] + [F.sum(c).alias(f"q{i}") for i, c in enumerate(q)]
-    sums += [F.sum(F.col(a) * F.col(b)).alias(f"c{i}{j}") for i, a in enumerate(p) for j, b in enumerate(q)]
+    sums = [F.count("*").cast("double").alias("_n")]
+    sums += [F.sum(c).alias(f"_p{i}") for i, c in enumerate(p)] + [F.sum(c).alias(f"_q{i}") for i, c in enumerate(q)]
+    sums += [F.sum(F.col(a) * F.col(b)).alias(f"_c{i}{j}") for i, a in enumerate(p) for j, b in enumerate(q)]
     g = pairs.groupBy(*keys).agg(*sums)
     names = [c for c in g.columns if c not in keys]
-    return g.withColumn("pose", _fit(F.array(*names))).select(*keys, "pose", F.col("n").cast("long").alias("n"))
+    return g.withColumn("pose", _fit(F.array(*names))).select(*keys, "pose", F.col("_n").cast("long").alias("n"))
 
 
 def place(points: DataFrame, poses: DataFrame, keys: list[str], normals: bool = True) -> DataFrame:
@@ -116,13 +116,13 @@ def vote_poses(
     the right way; the pose with most correspondences inside ``inlier`` wins. One group is one patch
     (bounded by the patch size). Columns: keys, pos, x..z, nx..nz and qx..qz, qnx..qnz.
     """
-    tri = lambda p, n: F.transform("c", lambda s: F.array(*[s[f"{p}{a}"] for a in n]))
+    tri = lambda p, n: F.transform("_c", lambda s: F.array(*[s[f"{p}{a}"] for a in n]))
     fields = ["pos", *"xyz", "nx", "ny", "nz", "qx", "qy", "qz", "qnx", "qny", "qnz"]
-    g = correspondences.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("c"))
+    g = correspondences.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_c"))
     name = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
     vote = _vote_udf(rounds, edge_ratio, max_dist, inlier, seed)
-    g = g.withColumn("v", vote(name, tri("", "xyz"), tri("q", "xyz"), tri("n", "xyz"), tri("qn", "xyz")))
-    return g.select(*keys, "v.pose", "v.fitness", "v.inliers", "v.inlier_rmse")
+    g = g.withColumn("_v", vote(name, tri("", "xyz"), tri("q", "xyz"), tri("n", "xyz"), tri("qn", "xyz")))
+    return g.select(*keys, "_v.pose", "_v.fitness", "_v.inliers", "_v.inlier_rmse")
 
 
 @F.pandas_udf(POSE)
@@ -148,9 +148,9 @@ def plane_step(pairs: DataFrame, keys: list[str]) -> DataFrame:
     p, q, n = ("x", "y", "z"), ("qx", "qy", "qz"), ("qnx", "qny", "qnz")
     row = [*cross3(p, n), *[F.col(c) for c in n]]
     gap = dot3(tuple(F.col(a) - F.col(b) for a, b in zip(q, p)), n)
-    v = pairs.select(*keys, *[c.alias(f"a{i}") for i, c in enumerate(row)], gap.alias("g"))
-    sums = [F.sum(F.col(f"a{i}") * F.col(f"a{j}")).alias(f"s{i}{j}") for i in range(6) for j in range(i, 6)]
-    sums += [F.sum(F.col(f"a{i}") * F.col("g")).alias(f"b{i}") for i in range(6)]
+    v = pairs.select(*keys, *[c.alias(f"_a{i}") for i, c in enumerate(row)], gap.alias("_g"))
+    sums = [F.sum(F.col(f"_a{i}") * F.col(f"_a{j}")).alias(f"_s{i}{j}") for i in range(6) for j in range(i, 6)]
+    sums += [F.sum(F.col(f"_a{i}") * F.col("_g")).alias(f"_b{i}") for i in range(6)]
     g = v.groupBy(*keys).agg(*sums)
     return g.withColumn("step", _plane_step(F.array(*[c for c in g.columns if c not in keys]))).select(*keys, "step")
 

@@ -88,7 +88,9 @@ def shape_index(mean_curvature: Column, gauss_curvature: Column) -> Column:
     elem = mean_curvature * mean_curvature - gauss_curvature
     elem = F.when(elem < 0, F.lit(1e-8)).otherwise(elem)
     k1, k2 = mean_curvature + F.sqrt(elem), mean_curvature - F.sqrt(elem)
-    return F.atan(F.try_divide(k1 + k2, k1 - k2)) * (2 / math.pi)
+    # equal curvatures give +-1; a point without any curvature has no index
+    flat = (k1 == k2) & (k1 + k2 == 0)
+    return F.when(flat, F.lit(float("nan"))).otherwise(F.atan2(k1 + k2, k1 - k2) * (2 / math.pi))
 
 
 def hbond_donor_term(donor, hydrogen, vertex) -> Column:

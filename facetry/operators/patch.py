@@ -72,10 +72,10 @@ def ring_percentiles(df: DataFrame, keys: list[str], rho: str, value: str, radiu
     got = src.groupBy(*keys, "ring").agg(F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5))).alias("_p"))
     got = got.select(*keys, "ring", F.col("_p")[0].alias("q25"), F.col("_p")[1].alias("q50"))
     # empty rings are filled from the present ones of the same patch: at most ten entries
-    by = got.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("ring", F.struct("q25", "q50")))).alias("m"))
+    by = got.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("ring", F.struct("q25", "q50")))).alias("_m"))
     groups = df.select(*keys).distinct().join(by, keys, "left")
-    full = groups.select(*keys, "m", F.explode(F.sequence(F.lit(0), F.lit(RINGS - 1))).alias("ring"))
-    e = F.try_element_at("m", F.col("ring"))
+    full = groups.select(*keys, "_m", F.explode(F.sequence(F.lit(0), F.lit(RINGS - 1))).alias("ring"))
+    e = F.try_element_at("_m", F.col("ring"))
     return full.select(*keys, "ring", F.coalesce(e["q25"], F.lit(0.0)).alias("q25"), F.coalesce(e["q50"], F.lit(0.0)).alias("q50"))
 
 
@@ -87,8 +87,8 @@ def ring_median(rings: DataFrame, keys: list[str], value: str = "q25") -> DataFr
 
 def interface_center(medians: DataFrame, group: list[str], vertex: str) -> DataFrame:
     """Vertex with the highest median, first one on ties."""
-    b = medians.groupBy(*group).agg(F.max(F.struct("median", (-F.col(vertex)).alias("neg"))).alias("b"))
-    return b.select(*group, (-F.col("b.neg")).alias(vertex), F.col("b.median").alias("median"))
+    b = medians.groupBy(*group).agg(F.max(F.struct("median", (-F.col(vertex)).alias("neg"))).alias("_b"))
+    return b.select(*group, (-F.col("_b.neg")).alias(vertex), F.col("_b.median").alias("median"))
 
 
 def complementarity(n1: tuple, n2: tuple, d: Column, w: float = 0.25) -> Column:
@@ -145,9 +145,9 @@ def curvature_histogram(members: DataFrame, keys: list[str], rho: str = "rho", c
     src = members.select(*keys, r.alias("_r"), k.alias("_k"))
     inside = (F.col("_r") >= 1) & (F.col("_r") < 9) & (F.abs("_k") <= 0.7)
     bin_ = (F.floor((F.col("_r") - 1) / 2) * 15 + F.least(F.floor(10 * (F.col("_k") + 0.7)), F.lit(14))).cast("int")
-    counts = src.filter(inside).groupBy(*keys, bin_.alias("bin")).agg(F.count("*").cast("double").alias("c"))
-    vec = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("_n"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.col("_n"))
+    counts = src.filter(inside).groupBy(*keys, bin_.alias("_bin")).agg(F.count("*").cast("double").alias("_c"))
+    vec = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_bin", "_c"))).alias("_m"), F.sqrt(F.sum(F.col("_c") * F.col("_c"))).alias("_n"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0)) / F.col("_n"))
     return members.select(*keys).distinct().join(vec.select(*keys, dense.alias("hist")), keys, "left")
 
 

@@ -13,8 +13,8 @@ from facetry.operators.scale import exact_percentiles
 def best_attempt(df: DataFrame, keys: list[str], score: str, attempt: str, keep: list[str] = ()) -> DataFrame:
     """Best score per candidate; the earlier attempt wins a tie."""
     value = F.struct(F.col(score).alias("score"), F.col(attempt).alias("attempt"), *[F.col(c) for c in keep])
-    best = df.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col(score), F.col(attempt))).alias("b"))
-    return best.select(*keys, "b.score", "b.attempt", *[f"b.{c}" for c in keep])
+    best = df.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col(score), F.col(attempt))).alias("_b"))
+    return best.select(*keys, "_b.score", "_b.attempt", *[f"_b.{c}" for c in keep])
 
 
 def normalized(value: str, area: str) -> Column:

@@ -13,10 +13,10 @@ def best_window(df: DataFrame, keys: list[str], order: list[str], value: str, si
     numbered = with_ordinals(df.select(*keys, *order, F.col(value).alias("_v")), keys, order, "pos", segment_rows)
     rows, parts = blocked(numbered, keys, "pos", 0, size - 1, segment_rows)
     w = Window.partitionBy(*parts).orderBy("pos").rowsBetween(0, size - 1)
-    sums = rows.select(*keys, "pos", "_ghost", F.sum("_v").over(w).alias("total"), F.count("*").over(w).alias("c"))
-    full = sums.filter(~F.col("_ghost") & (F.col("c") == size))
-    best = full.groupBy(*keys).agg(F.max(F.struct("total", (-F.col("pos")).alias("neg"))).alias("b"))
-    return best.select(*keys, (-F.col("b.neg")).alias("start"), F.col("b.total").alias("total"))
+    sums = rows.select(*keys, "pos", "_ghost", F.sum("_v").over(w).alias("total"), F.count("*").over(w).alias("_c"))
+    full = sums.filter(~F.col("_ghost") & (F.col("_c") == size))
+    best = full.groupBy(*keys).agg(F.max(F.struct("total", (-F.col("pos")).alias("neg"))).alias("_b"))
+    return best.select(*keys, (-F.col("_b.neg")).alias("start"), F.col("_b.total").alias("total"))
 
 
 def state_runs(

@@ -43,8 +43,10 @@ def closest_designs(designs: DataFrame, name: str = "description", seq: str = "s
     others = strings.filter("_s <> ''").select(F.col("_s").alias("_t"), F.col("_a").alias("_t_id"))
     grams = others.withColumn("_q", F.explode(F.sequence(F.lit(0), F.length("_t") - 1))).withColumn("_gl", F.explode(F.sequence(F.lit(1), F.lit(longest))))
     grams = grams.filter(F.col("_q") + F.col("_gl") <= F.length("_t")).withColumn("_piece", F.substring("_t", F.col("_q") + 1, F.col("_gl"))).drop("_gl")
-    near = (F.abs(F.col("_q") - F.col("_p")) <= F.col("_slack")) & (F.abs(F.length("_t") - F.col("_len")) <= F.col("_slack")) & (F.col("_t") != F.col("_s"))
-    pairs = pieces.join(grams, "_piece").filter(near).select("_id", "_s", "_len", "_slack", "_t", "_t_id").distinct()
+    # the place is part of the key, so a common piece does not bring all its owners together
+    pieces = pieces.withColumn("_q", F.explode(F.sequence(F.col("_p") - F.col("_slack"), F.col("_p") + F.col("_slack"))))
+    near = (F.abs(F.length("_t") - F.col("_len")) <= F.col("_slack")) & (F.col("_t") != F.col("_s"))
+    pairs = pieces.join(grams, ["_piece", "_q"]).filter(near).select("_id", "_s", "_len", "_slack", "_t", "_t_id").distinct()
     scored = pairs.withColumn("_sc", alignment_score("_s", "_t")).filter(F.col("_sc") >= F.col("_len") - F.col("_slack"))
     best = scored.groupBy("_id", "_len").agg(F.max(F.struct("_sc", "_t_id")).alias("b"))
     found = best.select("_id", (F.col("b._sc") / F.col("_len")).alias("similarity"), F.col("b._t_id").alias("closest")).filter(F.col("similarity") > above)

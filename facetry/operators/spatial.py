@@ -19,6 +19,7 @@ from facetry.session import materialize
 
 XYZ = ("x", "y", "z")
 LEAF_POINTS = 128
+BLOCK_ROWS = 10_000
 MAX_DEPTH = 24
 STEP = 2
 SAMPLE_POINTS = 1_000_000
@@ -41,23 +42,38 @@ def _prefixed(df: DataFrame, on: list[str]) -> DataFrame:
     return df.select(*[F.col(c) if c in on else F.col(c).alias(f"n_{c}") for c in df.columns])
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, radius: float, on: list[str] = (), closed: bool = False) -> DataFrame:
+def radius_pairs(left: DataFrame, right: DataFrame, radius: float, on: list[str] = (), closed: bool = False, block: int = BLOCK_ROWS) -> DataFrame:
     """Every pair within ``radius`` (strict unless ``closed``): the pairs themselves are the result.
 
-    Cells as wide as the radius turn the range test into an equi-join over 27 cells. Use
-    :func:`nearest` where only existence, the minimum or a few neighbours are wanted.
+    Cells as wide as the radius turn the range test into an equi-join over 27 cells. Crowded cells
+    are cut into blocks on both sides, so one join key never stands for more than ``block`` x
+    ``block`` pairs. Use :func:`nearest` where only existence, the minimum or a few neighbours are
+    wanted.
     """
     on = list(on)
+    key = [*on, "_cx", "_cy", "_cz"]
     offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in product((-1, 0, 1), repeat=3)])
     near = _cells(_prefixed(right, on).withColumnsRenamed({f"n_{c}": c for c in XYZ}), radius).withColumnsRenamed({c: f"n_{c}" for c in XYZ})
     near = near.withColumn("_o", F.explode(offsets))
     for c, part in zip(XYZ, "abc"):
         near = near.withColumn(f"_c{c}", F.col(f"_c{c}") + F.col(f"_o.{part}"))
     near = near.drop("_o")
-    pairs = _cells(left, radius).join(near, [*on, "_cx", "_cy", "_cz"])
+    cells = _cells(left, radius)
+    size = lambda df, name: df.groupBy(*key).agg(F.count("*").alias(name))
+    both = size(cells, "_nl").join(size(near, "_nr"), key)
+    worst = both.agg(F.max("_nl").alias("l"), F.max("_nr").alias("r")).first()
+    if max(worst["l"] or 0, worst["r"] or 0) > block:
+        parts = lambda n: F.ceil(F.col(n) / block).cast("int")
+        crowd = materialize(both.select(*key, parts("_nl").alias("_pl"), parts("_nr").alias("_pr")))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        mine = lambda df, n: F.pmod(F.xxhash64(*[c for c in df.columns if not c.startswith("_")]), F.col(n)).cast("int")
+        cells = cells.join(crowd, key).withColumn("_bl", mine(left, "_pl")).withColumn("_br", every("_pr")).drop("_pl", "_pr")
+        near = near.join(crowd, key).withColumn("_br", mine(near, "_pr")).withColumn("_bl", every("_pl")).drop("_pl", "_pr")
+        key = [*key, "_bl", "_br"]
+    pairs = cells.join(near, key)
     d = dist(*XYZ, "n_x", "n_y", "n_z")
     hit = (F.col("dist") <= radius) if closed else (F.col("dist") < radius)
-    return pairs.withColumn("dist", d).filter(hit).drop("_cx", "_cy", "_cz")
+    return pairs.withColumn("dist", d).filter(hit).drop("_cx", "_cy", "_cz", "_bl", "_br")
 
 
 def _depth(points: DataFrame, on: list[str], n: int, origin: list[float], side: float, leaf: int) -> int:

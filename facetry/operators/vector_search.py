@@ -61,16 +61,18 @@ def threshold_match(
 def scan_distances(database: DataFrame, targets: DataFrame) -> DataFrame:
     """Distance of every database row to every target.
 
-    Measuring all rows is what a full ranking asks for. Targets are a short list of sites whose
-    size is checked before they travel; the database stays where it is.
+    Measuring all rows is what a full ranking asks for. Targets are a list of sites: while they fit
+    a broadcast the database stays where it is, otherwise both sides meet in salted parts.
     """
-    targets = materialize(targets.withColumn("_scan", F.lit(0)))
+    targets = materialize(targets)
     size = targets.agg(F.count("*").alias("n"), F.max(F.size("t_desc")).alias("dim")).first()
-    if (size["n"] or 0) * ((size["dim"] or 0) * 8 + 128) > BROADCAST_BYTES:
-        raise ValueError(f"{size['n']} targets do not fit one scan; split the target table")
+    small = (size["n"] or 0) * ((size["dim"] or 0) * 8 + 128) <= BROADCAST_BYTES
+    parts = 1 if small else max(1, -(-size["n"] // SALT_TARGETS))
+    scattered = database.withColumn("_scan", F.pmod(F.xxhash64("desc"), F.lit(parts)).cast("int"))
+    everywhere = targets.withColumn("_scan", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    scanned = scattered.join(F.broadcast(everywhere) if small else everywhere, "_scan")
     keep = [c for c in database.columns if c != "desc"]
-    scanned = database.withColumn("_scan", F.lit(0)).join(F.broadcast(targets), "_scan")
-    return scanned.withColumn("desc_dist", vec_dist("desc", "t_desc")).select(*keep, *[c for c in targets.columns if c not in ("t_desc", "_scan")], "desc_dist")
+    return scanned.withColumn("desc_dist", vec_dist("desc", "t_desc")).select(*keep, *[c for c in targets.columns if c != "t_desc"], "desc_dist")
 
 
 def rank_database(database: DataFrame, targets: DataFrame, target_keys: list[str], k: int, order_ids: list[str]) -> DataFrame:

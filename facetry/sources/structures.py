@@ -16,10 +16,10 @@ from facetry.operators.sequence import model_numbers
 
 def lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Lines of many files with their number: file, line_no, value. One row per file until it is split."""
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+    reader = spark.read.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    text = reader.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    text = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return text.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
 
 
@@ -61,8 +61,7 @@ def nonstandard_residues(spark: SparkSession, path: str, glob: str = "*.pdb") ->
 
 def mesh_text(spark: SparkSession, path: str, glob: str = "*.ply") -> tuple[DataFrame, DataFrame]:
     """ASCII meshes with a property header: vertices (missing attributes are 0) and faces."""
-    reader = spark.read.option("wholetext", "true").option("pathGlobFilter", glob)
-    text = reader.text(path).select(stem("_metadata.file_path", ".ply").alias("protein_id"), "value")
+    text = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(stem("_metadata.file_path", ".ply").alias("protein_id"), "value")
     parts = F.split("value", "end_header\\s*\n", 2)
     head = F.split(parts[0], "element face")[0]
     m = text.select(
