@@ -145,58 +145,87 @@ def nearest(
     side = span * (1 + 1e-9) + 1e-12
     depth = _depth(ids.select(*at), on, n, origin, side, leaf)
 
-    # the point count of a cell guarantees k neighbours inside it
-    finest = ids.select(*at, *_code(depth, origin, side)).groupBy(*on, "_cx", "_cy", "_cz").agg(
-        F.count("*").alias("_n"), *[f(c).alias(f"{tag}_{c}") for c in XYZ for f, tag in ((F.min, "lo"), (F.max, "hi"))]
-    )
-    if depth > STEP:
-        finest = materialize(finest)
     box = [f"{tag}_{c}" for c in XYZ for tag in ("lo", "hi")]
-    reach = F.lit(float("inf") if within is None else float(within))
+    cell = ["_lv", "_cx", "_cy", "_cz"]
+    levels = list(range(STEP, depth + 1, STEP))
+    bound = float("inf") if within is None else float(within)
 
-    def interval(cell) -> tuple[Column, Column]:
+    def interval(c) -> tuple[Column, Column]:
         """Least and greatest possible distance of a query to the points of a cell."""
-        gap = lambda c: F.greatest(cell[f"lo_{c}"] - F.col(c), F.col(c) - cell[f"hi_{c}"], F.lit(0.0))
-        far = lambda c: F.greatest(F.abs(cell[f"lo_{c}"] - F.col(c)), F.abs(cell[f"hi_{c}"] - F.col(c)))
-        low, high = (F.sqrt(sum(F.pow(f(c), F.lit(2.0)) for c in XYZ)) for f in (gap, far))
+        gap = lambda x: F.greatest(c[f"lo_{x}"] - F.col(x), F.col(x) - c[f"hi_{x}"], F.lit(0.0))
+        far = lambda x: F.greatest(F.abs(c[f"lo_{x}"] - F.col(x)), F.abs(c[f"hi_{x}"] - F.col(x)))
+        low, high = (F.sqrt(sum(F.pow(f(x), F.lit(2.0)) for x in XYZ)) for f in (gap, far))
         # for the farthest point distances count negatively, everything else stays
         return (-high, -low) if farthest else (low, high)
 
-    sure = lambda cell, high: F.when(cell["_n"] >= k, high).otherwise(F.lit(float("inf")))
-    open_ = lambda low, bound: low <= bound + F.abs(bound) * 1e-9 + 1e-9
-
-    def level_nodes(level: int) -> DataFrame:
-        up = depth - level
-        cells = finest.select(*on, *[F.shiftright(f"_c{c}", up).alias(f"_c{c}") for c in XYZ], "_n", *box)
-        if up == 0:
-            return cells
-        merged = [F.min(f"lo_{c}").alias(f"lo_{c}") for c in XYZ] + [F.max(f"hi_{c}").alias(f"hi_{c}") for c in XYZ]
-        return cells.groupBy(*on, "_cx", "_cy", "_cz").agg(F.sum("_n").alias("_n"), *merged)
+    # a cell with k points guarantees that the answer is no farther than its far end
+    sure = lambda c: F.when(c["_n"] >= k, interval(c)[1]).otherwise(F.lit(float("inf")))
+    reachable = lambda c, ub: interval(c)[0] <= ub + F.abs(ub) * 1e-9 + 1e-9
+
+    def addresses(df: DataFrame) -> DataFrame:
+        """Each point once per level, with the cell it falls into."""
+        each = [F.struct(F.lit(lv).alias("_lv"), *_code(lv, origin, side)) for lv in levels]
+        return df.withColumn("_a", F.explode(F.array(*each))).select(*df.columns, *[F.col(f"_a.{c}").alias(c) for c in cell])
+
+    # tree of cells: count and true bounding box; a cell is only split while it is crowded
+    ends = [f(c).alias(f"{tag}_{c}") for c in XYZ for f, tag in ((F.min, "lo"), (F.max, "hi"))]
+    raw = addresses(ids.select(*at)).groupBy(*on, *cell).agg(F.count("*").alias("_n"), *ends)
+    if len(levels) > 1:
+        raw = materialize(raw)
+        crowded = raw.filter((F.col("_n") > leaf) & (F.col("_lv") < depth)).select(*on, *cell)
+        up = [(F.col("_lv") - STEP).alias("_lv"), *[F.shiftright(f"_c{c}", STEP).alias(f"_c{c}") for c in XYZ]]
+        inner = crowded.withColumn("_inner", F.lit(True))
+        below = raw.filter(F.col("_lv") > STEP).withColumn("_up", F.struct(*up))
+        parents = crowded.select(*on, F.struct(*cell).alias("_up"))
+        tree = raw.filter(F.col("_lv") == STEP).unionByName(below.join(parents, [*on, "_up"], "left_semi").drop("_up"))
+        tree = materialize(tree.join(inner, [*on, *cell], "left").withColumn("_inner", F.coalesce("_inner", F.lit(False))))
+        homes = addresses(ids).join(tree.filter("not _inner").select(*on, *cell), [*on, *cell])
+        homes = materialize(homes.select(*on, *cell, *[F.col(c).alias(f"n_{c}") for c in XYZ], "n_id"))
+    else:
+        tree = raw.withColumn("_inner", F.lit(False))
+        homes = addresses(ids).select(*on, *cell, *[F.col(c).alias(f"n_{c}") for c in XYZ], "n_id")
+
+    away = dist(*XYZ, "n_x", "n_y", "n_z")
+    if len(levels) > 1 and not farthest:
+        # first bound: the cells a query lies in, then the points of its own smallest cell
+        mine = addresses(places).join(tree, [*on, *cell])
+        node = {name: F.col(name) for name in ("_n", *box)}
+        seen = mine.groupBy(*at).agg(F.min(sure(node)).alias("_u0"), F.max(F.when(~F.col("_inner"), F.struct(*cell))).alias("_home"))
+        seen = seen.select(*at, "_u0", *[F.col(f"_home.{c}").alias(c) for c in cell])
+        own = seen.join(homes, [*on, *cell]).groupBy(*at)
+        kth = F.min(away) if k == 1 else F.get(F.sort_array(F.collect_list(away)), F.lit(k - 1))  # one cell's points
+        own = own.agg(kth.alias("_u1"))
+        bounds = seen.select(*at, "_u0").join(own, at, "left").select(*at, F.least("_u0", "_u1").alias("_ub"))
+        frontier = places.join(bounds, at, "left").withColumn("_ub", F.least(F.lit(bound), F.coalesce("_ub", F.lit(bound))))
+    else:
+        frontier = places.withColumn("_ub", F.lit(bound))
 
-    # the first cells of a tree are at most 4 x 4 x 4: one array per tree, judged in the row
-    top = level_nodes(STEP).groupBy(*on).agg(F.collect_list(F.struct("_cx", "_cy", "_cz", "_n", *box)).alias("_top"))
+    # then down the tree; a cell out of reach is dropped in the row that names its parent
+    as_cell = F.struct(*cell, "_n", *box)
+    top = tree.filter(F.col("_lv") == STEP).groupBy(*on).agg(F.collect_list(as_cell).alias("_kids"))  # at most 4 x 4 x 4
     if on:
-        frontier = places.join(top, on)
+        frontier = frontier.join(top, on)
     else:
-        row, cell_type = top.first(), top.schema["_top"].dataType
-        text = json.dumps([c.asDict() for c in row["_top"]] if row else [])
-        frontier = places.withColumn("_top", F.from_json(F.lit(text), cell_type))
-    best_high = F.array_min(F.transform("_top", lambda c: sure(c, interval(c)[1])))
-    frontier = frontier.withColumn("_ub", F.least(reach, F.coalesce(best_high, F.lit(float("inf")))))
-    frontier = frontier.withColumn("_c", F.explode(F.filter("_top", lambda c: open_(interval(c)[0], F.col("_ub")))))
-    frontier = frontier.select(*at, *[F.col(f"_c._c{c}").alias(f"_c{c}") for c in XYZ], "_ub")
-
-    for level in range(2 * STEP, depth + 1, STEP):
-        nodes = level_nodes(level).select("*", *[F.shiftright(f"_c{c}", STEP).alias(f"_p{c}") for c in XYZ])
-        grown = frontier.withColumnsRenamed({f"_c{c}": f"_p{c}" for c in XYZ}).join(nodes, [*on, "_px", "_py", "_pz"])
-        cell = {name: F.col(name) for name in ("_n", *box)}
-        low, high = interval(cell)
-        grown = grown.withColumn("_low", low).withColumn("_ub", F.least("_ub", sure(cell, high)))
-        grown = grown.filter(open_(F.col("_low"), F.col("_ub"))).withColumn("_ub", F.min("_ub").over(Window.partitionBy(*at)))
-        frontier = grown.filter(open_(F.col("_low"), F.col("_ub"))).select(*at, "_cx", "_cy", "_cz", "_ub")
-
-    leaves = ids.select(*on, *[F.col(c).alias(f"n_{c}") for c in XYZ], "n_id", *_code(depth, origin, side))
-    hits = frontier.join(leaves, [*on, "_cx", "_cy", "_cz"]).withColumn("n_dist", dist(*XYZ, "n_x", "n_y", "n_z"))
+        row, kind = top.first(), top.schema["_kids"].dataType
+        text = json.dumps([c.asDict() for c in row["_kids"]] if row else [])
+        frontier = frontier.withColumn("_kids", F.from_json(F.lit(text), kind))
+
+    def keep_reachable(df: DataFrame) -> DataFrame:
+        best = F.array_min(F.transform("_kids", sure))
+        df = df.withColumn("_ub", F.least("_ub", F.coalesce(best, F.lit(float("inf")))))
+        df = df.withColumn("_k", F.filter("_kids", lambda c: reachable(c, F.col("_ub"))))
+        if "_lv" in df.columns:  # a cell without children stays as it is
+            stay = F.struct(*cell)
+            df = df.withColumn("_k", F.when(F.col("_kids").isNull(), F.array(stay)).otherwise(F.transform("_k", lambda c: F.struct(*[c[n].alias(n) for n in cell]))))
+        return df.select(*at, "_ub", F.explode("_k").alias("_k")).select(*at, "_ub", *[F.col(f"_k.{n}").alias(n) for n in cell])
+
+    frontier = keep_reachable(frontier)
+    for level in levels[:-1]:
+        kids = tree.filter(F.col("_lv") == level + STEP).groupBy(*on, *[F.shiftright(f"_c{c}", STEP).alias(f"_c{c}") for c in XYZ])
+        kids = kids.agg(F.collect_list(as_cell).alias("_kids")).withColumn("_lv", F.lit(level))  # at most 64
+        frontier = keep_reachable(frontier.join(kids, [*on, *cell], "left"))
+
+    hits = frontier.join(homes, [*on, *cell]).withColumn("n_dist", away)
     if within is not None:
         hits = hits.filter((F.col("n_dist") <= within) if closed else (F.col("n_dist") < within))
     if k == 1:
