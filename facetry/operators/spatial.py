@@ -12,6 +12,7 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facetry.functions.geometry import dist
 from facetry.operators.scale import top_k
@@ -160,7 +161,6 @@ def nearest(
 
     # a cell with k points guarantees that the answer is no farther than its far end
     sure = lambda c: F.when(c["_n"] >= k, interval(c)[1]).otherwise(F.lit(float("inf")))
-    reachable = lambda c, ub: interval(c)[0] <= ub + F.abs(ub) * 1e-9 + 1e-9
 
     def addresses(df: DataFrame) -> DataFrame:
         """Each point once per level, with the cell it falls into."""
@@ -192,6 +192,7 @@ def nearest(
         node = {name: F.col(name) for name in ("_n", *box)}
         seen = mine.groupBy(*at).agg(F.min(sure(node)).alias("_u0"), F.max(F.when(~F.col("_inner"), F.struct(*cell))).alias("_home"))
         seen = seen.select(*at, "_u0", *[F.col(f"_home.{c}").alias(c) for c in cell])
+        seen = materialize(seen)
         own = seen.join(homes, [*on, *cell]).groupBy(*at)
         kth = F.min(away) if k == 1 else F.get(F.sort_array(F.collect_list(away)), F.lit(k - 1))  # one cell's points
         own = own.agg(kth.alias("_u1"))
@@ -200,30 +201,32 @@ def nearest(
     else:
         frontier = places.withColumn("_ub", F.lit(bound))
 
-    # then down the tree; a cell out of reach is dropped in the row that names its parent
-    as_cell = F.struct(*cell, "_n", *box)
-    top = tree.filter(F.col("_lv") == STEP).groupBy(*on).agg(F.collect_list(as_cell).alias("_kids"))  # at most 4 x 4 x 4
+    # then down the tree: children out of reach are dropped, the best bound is shared per query
+    first = tree.filter(F.col("_lv") == STEP).select(*on, *cell, "_n", *box)  # at most 4 x 4 x 4 per tree
     if on:
-        frontier = frontier.join(top, on)
+        frontier = frontier.join(first, on)
     else:
-        row, kind = top.first(), top.schema["_kids"].dataType
-        text = json.dumps([c.asDict() for c in row["_kids"]] if row else [])
-        frontier = frontier.withColumn("_kids", F.from_json(F.lit(text), kind))
-
-    def keep_reachable(df: DataFrame) -> DataFrame:
-        best = F.array_min(F.transform("_kids", sure))
-        df = df.withColumn("_ub", F.least("_ub", F.coalesce(best, F.lit(float("inf")))))
-        df = df.withColumn("_k", F.filter("_kids", lambda c: reachable(c, F.col("_ub"))))
-        if "_lv" in df.columns:  # a cell without children stays as it is
-            stay = F.struct(*cell)
-            df = df.withColumn("_k", F.when(F.col("_kids").isNull(), F.array(stay)).otherwise(F.transform("_k", lambda c: F.struct(*[c[n].alias(n) for n in cell]))))
-        return df.select(*at, "_ub", F.explode("_k").alias("_k")).select(*at, "_ub", *[F.col(f"_k.{n}").alias(n) for n in cell])
-
-    frontier = keep_reachable(frontier)
+        kind = T.ArrayType(T.StructType([f for f in first.schema]))
+        text = json.dumps([r.asDict() for r in first.collect()])
+        frontier = frontier.withColumn("_k", F.explode(F.from_json(F.lit(text), kind))).select(*at, "_ub", "_k.*")
+
+    def in_reach(df: DataFrame) -> DataFrame:
+        node = {name: F.col(name) for name in ("_n", *box)}
+        low, inf = interval(node)[0], F.lit(float("inf"))
+        limit = F.col("_ub") + F.abs("_ub") * 1e-9 + 1e-9
+        # rows without a node are smallest cells kept from an earlier level
+        df = df.withColumn("_low", F.coalesce(low, -inf)).filter(F.col("_low") <= limit)
+        df = df.withColumn("_ub", F.least("_ub", F.min(sure(node)).over(Window.partitionBy(*at))))
+        return df.filter(F.col("_low") <= limit).select(*at, "_ub", *cell)
+
+    frontier = in_reach(frontier)
     for level in levels[:-1]:
-        kids = tree.filter(F.col("_lv") == level + STEP).groupBy(*on, *[F.shiftright(f"_c{c}", STEP).alias(f"_c{c}") for c in XYZ])
-        kids = kids.agg(F.collect_list(as_cell).alias("_kids")).withColumn("_lv", F.lit(level))  # at most 64
-        frontier = keep_reachable(frontier.join(kids, [*on, *cell], "left"))
+        frontier = materialize(frontier)
+        up = [F.lit(level).alias("_lv"), *[F.shiftright(f"_c{c}", STEP).alias(f"_c{c}") for c in XYZ]]
+        kids = tree.filter(F.col("_lv") == level + STEP).select(*on, *up, F.struct(*cell).alias("_kid"), "_n", *box)
+        grown = frontier.join(kids, [*on, *cell], "left").withColumn("_kid", F.coalesce("_kid", F.struct(*cell)))
+        grown = grown.select(*at, "_ub", "_n", *box, *[F.col(f"_kid.{c}").alias(c) for c in cell])
+        frontier = in_reach(grown)
 
     hits = frontier.join(homes, [*on, *cell]).withColumn("n_dist", away)
     if within is not None:
