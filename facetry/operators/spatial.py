@@ -79,7 +79,7 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, on: list[str]
 
 def _depth(points: DataFrame, on: list[str], n: int, origin: list[float], side: float, leaf: int) -> int:
     """Smallest octree depth at which no cell holds more than about ``leaf`` points (planning only)."""
-    if n <= leaf:
+    if n <= 8 * leaf:  # so few that testing all of them costs less than another level
         return STEP
     share = min(1.0, SAMPLE_POINTS / n)
     sample = points if share == 1.0 else points.filter(F.pmod(F.xxhash64(*XYZ), F.lit(1 << 30)) < int(share * (1 << 30)))
