@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,9 +31,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, driver_mem
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by the session; a private one only where none is set."""
+    """Shared folder named by the session. Only a one-process session may do without: its driver and executor share a disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master!r} share")
         root = tempfile.mkdtemp(prefix="facetry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
