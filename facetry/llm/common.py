@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetry.session import checkpoint_root, materialize
 
-__all__ = ["table", "materialize", "shared_folder", "hash_bucket", "with_rank", "slots_for", "WORK"]
+__all__ = ["table", "materialize", "shared_folder", "hash_bucket", "with_rank", "slots_for", "WORK", "uint64_mix"]
 
-WORK = 200_000  # rows that one window partition should hold at most, on average
+WORK = 2_000  # rows that one window partition should hold, on average
+SLOTS = 1 << 16  # and the most of them; beyond it they get larger instead, still far below a task's memory
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +26,7 @@ def shared_folder(spark: SparkSession, what: str) -> str:
 
 
 def slots_for(rows: int, each: int = WORK) -> int:
-    return max(1, -(-rows // each))
+    return min(SLOTS, max(1, -(-rows // each)))
 
 
 def hash_bucket(h: Column, buckets: int) -> Column:
@@ -54,3 +56,10 @@ def with_rank(df: DataFrame, keys: list[str], bucket: str, order: list[str], nam
     return out.withColumn(name, (F.col("_local") + F.col("_off")).cast("long")).drop("_local", "_off")
 
 
+
+
+def uint64_mix(x: np.ndarray) -> np.ndarray:
+    """Finalizer of splitmix64 over an array of unsigned 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm.common import hash_bucket, materialize, slots_for, table, with_rank
+from facetry.llm.common import WORK, hash_bucket, materialize, slots_for, table, with_rank
 
 CAPACITY = 2048
 END_ID = 0
@@ -220,7 +220,7 @@ def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: in
     return Plan(*cols, bins=total)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = 200_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = WORK) -> DataFrame:
     """``pieces`` (a written table with doc_id, piece, start, length, ids_crc32) with ``sequence_id`` and ``offset``."""
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     plan = packing_plan(histogram, capacity)

@@ -14,14 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm.common import hash_bucket, materialize, slots_for, table, with_rank
+from facetry.llm.common import WORK, hash_bucket, materialize, slots_for, table, with_rank
 
 SHARDS = 24
 SEED = 20_231
 ROW_OVERHEAD = 8
 
 
-def interleave(df: DataFrame, row: list[str], stratum: str, shards: int, seed: int = SEED, bucket_rows: int = 200_000) -> DataFrame:
+def interleave(df: DataFrame, row: list[str], stratum: str, shards: int, seed: int = SEED, bucket_rows: int = WORK) -> DataFrame:
     """Columns ``row`` of every row of ``df`` with ``shard`` and ``slot`` (its place there).
 
     Equal rows are counted first and spread out at the end, so a row that is repeated without end never
