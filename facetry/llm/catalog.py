@@ -2,6 +2,7 @@
 
 from facetry.llm.chat import OP7_SQL, op7_chat_formatting
 from facetry.llm.decontaminate import op6_decontamination
+from facetry.llm.near_dups import op5_near_dups
 from facetry.llm.packing import op1_packing
 from facetry.llm.sharding import op3_sharding
 from facetry.llm.warc import op8_warc
@@ -9,6 +10,7 @@ from facetry.llm.warc import op8_warc
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_sharding": op3_sharding,
+    "op5_near_dups": op5_near_dups,
     "op6_decontamination": op6_decontamination,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_warc": op8_warc,
