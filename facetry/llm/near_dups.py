@@ -3,20 +3,20 @@
 1. Each text becomes the set of its distinct word shingles (64-bit hashes), a fingerprint of that set and ``HASHES`` minima of universal
    hash functions. Texts with equal sets form a class that one document stands for, so exact copies never meet.
 2. Bands of ``ROWS`` minima are bucket keys; only buckets with several classes are kept.
-3. Pairs are never listed for a whole bucket at once. First each class is compared with the most popular class of its buckets (the one that
-   shares most buckets with others), which ties a group of copies together with as many pairs as members. Then, round
-   by round and only in buckets that still hold several components, members are compared with a growing number of classes of
-   other components, until every pair of a bucket that is not yet connected has been tested. So no link of a bucket is lost.
-4. A pair is tested by length, then by signature, then exactly on the full sets.
+3. Each class is first compared with the most popular class of its buckets (the one that shares most buckets with others): by length, by
+   signature, then exactly on the full sets. That ties a group of copies together with as many pairs as members.
+4. Buckets that still hold several components connect classes into clusters. These are compared inside tasks, block by block on full sets,
+   and only a spanning forest of the links found leaves a task. So every pair of a bucket ends up in one component or is
+   compared exactly, and pairs of a group are never listed.
 5. Links become components by alternating large-star and small-star until nothing changes.
 
 Bands of four minima out of 128 miss a pair at similarity 0.85 with a chance below 1e-10, at 0.8 below 1e-7; the signature test
-(``SLACK`` standard errors below the threshold) misses about one in a million.
+of step 3 only decides which links are found early.
 
 Words are separated by ASCII white space; ASCII letters are lower-cased. Defined results: null, empty and blank texts have an empty set and
 are linked with nothing; a text with fewer words than a shingle has its whole word sequence as the one shingle; rows with the same id
 are one node of the graph; rows without id get the component of the documents with an equal set, or null; an
-empty table gives no rows; other columns pass through :func:`near_duplicates` unchanged.
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ HASHES = 128
 ROWS = 4
 SLACK = 5.0
 VERIFY_ROWS = 128  # texts that meet one text in a verification group
+BLOCK = 400  # classes per block when whole clusters are compared
 SEED = 7
 
 _POWER = np.uint64(0x9E3779B97F4A7C15)
@@ -193,7 +194,88 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, num:
     return rows.groupBy("a", "part").applyInPandas(test, "a long, b long")
 
 
-def linked_components(nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _links_between(df: pd.DataFrame, k: int, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between different components of one block (side 0) or of two blocks (sides 0 and 1)."""
+    shingle = Shingler(k)
+    sets = [shingle(t) for t in df["text"]]
+    size = np.array([len(s) for s in sets], dtype=np.int64)
+    _, col, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = often[col] > 1
+    new = np.cumsum(often > 1) - 1
+    row, col, width = row[shared], new[col[shared]], int((often > 1).sum())
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    left = np.flatnonzero(df["side"].to_numpy() == 0)
+    right = np.flatnonzero(df["side"].to_numpy() == 1)
+    right = right if len(right) else left
+    both = np.zeros((len(left), len(right)), dtype=np.float32)
+    for first in range(0, width, 4096):
+        lo, hi = np.searchsorted(col, [first, first + 4096])
+        has = np.zeros((len(sets), min(4096, width - first)), dtype=np.float32)
+        has[row[lo:hi], col[lo:hi] - first] = 1
+        both += has[left] @ has[right].T
+    both = both.astype(np.int64)  # whole numbers below 2 ** 24, so exact
+    component = df["component"].to_numpy()
+    linked = (both * den >= num * (size[left][:, None] + size[right][None] - both)) & (component[left][:, None] != component[right][None])
+    root = {c: c for c in component.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    node, out = df["node"].to_numpy(), []
+    for i, j in np.argwhere(linked):
+        x, y = find(component[left[i]]), find(component[right[j]])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(node[left[i]]), int(node[right[j]])))
+    return out
+
+
+def _block_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between different components among classes that buckets connect.
+
+    Classes that share a mixed bucket, directly or through others, form a cluster. It is cut into blocks of about ``block`` classes of
+    one length band (sets of sizes beyond the threshold's ratio cannot be linked), big components into blocks of their own.
+    Block pairs are compared inside tasks on full sets; pairs within one component need no comparison.
+    """
+    lead = members.groupBy("key").agg(F.min("node").alias("a"))
+    cluster = components(members.join(lead, "key").select("a", F.col("node").alias("b")).filter("a != b"))
+    band = F.floor(F.log("n") / (F.log(F.lit(den / num)) * (1 + 1e-9))).cast("long")  # sizes at exactly the ratio stay within one band
+    at = members.select("node", "component").distinct().join(cluster.withColumnRenamed("component", "cluster"), "node").join(nodes.select("node", "n"), "node")
+    at = materialize(at.select("node", "component", "cluster", band.alias("band")))
+    sizes = at.groupBy("cluster", "band", "component").agg(F.count(F.lit(1)).alias("s"))
+    small = sizes.filter(F.col("s") < block).groupBy("cluster", "band").agg(F.ceil(F.sum("s") / block).cast("long").alias("small_parts"))
+    sizes = sizes.join(small, ["cluster", "band"], "left")
+    big = F.col("s") >= block
+    at = at.join(sizes, ["cluster", "band", "component"]).select(
+        "node",
+        "component",
+        "cluster",
+        "band",
+        F.when(big, F.col("component")).alias("whole"),
+        F.when(big, F.pmod(F.xxhash64("node"), F.ceil(F.col("s") / block).cast("long"))).otherwise(F.pmod(F.xxhash64("component"), F.col("small_parts"))).alias("part"),
+    )
+    at = materialize(at.withColumn("block", F.concat_ws("/", "cluster", "band", F.coalesce(F.col("whole").cast("string"), F.lit("-")), "part")))
+    blocks = at.select("cluster", "band", "whole", "block").distinct()
+    other = blocks.select("cluster", F.col("band").alias("to"), F.col("whole").alias("whole2"), F.col("block").alias("block2"))
+    near = blocks.withColumn("to", F.explode(F.array("band", F.col("band") + 1))).join(other, ["cluster", "to"])
+    near = near.filter((F.col("band") != F.col("to")) | (F.col("block") <= F.col("block2"))).filter(~F.coalesce(F.col("whole") == F.col("whole2"), F.lit(False)))
+    near = materialize(near.select("block", "block2", F.concat_ws("|", "block", "block2").alias("pair")))
+    first = at.join(near, "block").select("pair", F.lit(0).alias("side"), "node", "component")
+    second = at.join(near.filter("block != block2").select(F.col("block2").alias("block"), "pair"), "block").select("pair", F.lit(1).alias("side"), "node", "component")
+    rows = first.unionByName(second).join(texts, "node")
+
+    def test(df: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_links_between(df, k, num, den), columns=["a", "b"], dtype=np.int64)
+
+    return rows.groupBy("pair").applyInPandas(test, "a long, b long")
+
+
+def linked_components(nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """(node, component) of nodes that have a link. ``nodes``: node, n, sig; ``docs``: doc_id, text."""
     met = buckets(nodes)
     full = met.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
@@ -204,53 +286,25 @@ def linked_components(nodes: DataFrame, docs: DataFrame, k: int, num: int, den:
     best = met.groupBy("key").agg(F.max(F.struct("pop", "node")).alias("top"))
     # one comparison per class to begin with: the most popular class of all its buckets
     first = met.join(best, "key").filter("node != top.node").groupBy("node").agg(F.max("top").alias("top"))
-    pairs = materialize(first.select(F.least("node", "top.node").alias("x"), F.greatest("node", "top.node").alias("y"), F.col("top.node").alias("a"), F.col("node").alias("b")).dropDuplicates(["x", "y"]))
-    tested, links, width = pairs.select("x", "y"), None, 1
-    comp = None
-    while pairs.head(1):
-        found = materialize(_verified(pairs.select("a", "b"), nodes, texts, k, num, den))
-        links = found if links is None else links.unionByName(found)
-        comp = materialize(components(links))
-        at = met.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        # per bucket the most popular class of each component, the `width` best of them, against members of other components
-        heads = at.groupBy("key", "component").agg(F.max(F.struct("pop", "node")).alias("top"))
-        mixed = heads.groupBy("key").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key")
-        at = materialize(at.join(mixed, "key"))
-        if not at.head(1):
-            break
-        pairs = _cross(at, width)
-        pairs = materialize(pairs.join(tested, ["x", "y"], "left_anti"))
-        tested = materialize(tested.unionByName(pairs.select("x", "y")))
-        if not pairs.head(1):
-            if width > 1 and _cross(at, None, tested).isEmpty():
-                break
-            pairs = materialize(_cross(at, None, tested))
-            tested = materialize(tested.unionByName(pairs.select("x", "y")))
-        width *= 4
-    return comp if comp is not None else nodes.sparkSession.createDataFrame([], "node long, component long")
-
-
-def _cross(at: DataFrame, width: int | None, tested: DataFrame | None = None) -> DataFrame:
-    """Pairs (x, y, a, b) of bucket members in different components; with ``width`` only those with one of the bucket's most popular classes."""
-    from pyspark.sql import Window
-
-    lead = at
-    if width is not None:
-        by = Window.partitionBy("key").orderBy(F.desc("pop"), "node")
-        lead = at.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= width).drop("_r")
-    lead = lead.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-    out = lead.join(at.select("key", F.col("node").alias("b"), F.col("component").alias("cb")), "key").filter("ca != cb")
-    out = out.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").dropDuplicates(["x", "y"])
-    return out if tested is None else out.join(tested, ["x", "y"], "left_anti")
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    first = first.select(F.col("top.node").alias("a"), F.col("node").alias("b"))
+    links = materialize(_verified(first, nodes, texts, k, num, den))
+    comp = materialize(components(links))
+    at = met.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
+    members = materialize(at.join(mixed, "key").select("key", "node", "component"))
+    if not members.head(1):
+        return comp
+    more = materialize(_block_links(members, nodes, texts, k, num, den, block))
+    return materialize(components(links.unionByName(more))) if more.head(1) else comp
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Per row: doc_id, n_shingles, f1, f2, component_id and kept."""
     made = materialize(sketch(docs, k, id_col, text_col))
     key = ["f1", "f2", "n"]
     classes = materialize(made.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")).filter("node is not null"))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    comp = linked_components(classes, plain, k, num, den)
+    comp = linked_components(classes, plain, k, num, den, block)
     named = classes.select(*key, "node").join(comp, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
     out = made.select("doc_id", *key).join(named, key, "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

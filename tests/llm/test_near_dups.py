@@ -46,25 +46,27 @@ def texts(rng, n):
     return [rng.choice([" ", "\n", "\t "]).join(t) for t in out]
 
 
-@pytest.mark.parametrize("k,num,seed", [(3, 85, 1), (5, 80, 2)])
-def test_against_brute_force(spark, k, num, seed):
+@pytest.mark.parametrize("k,num,seed,block", [(3, 85, 1, 400), (5, 80, 2, 3)])
+def test_against_brute_force(spark, k, num, seed, block):
     rng = random.Random(seed)
     made = texts(rng, 40) + [None, "", " \n", "One", "one", "one two", "a b c", "x" * 50_000]
     rng.shuffle(made)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(fixtures.docs(spark, made), k=k, num=num).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(fixtures.docs(spark, made), k=k, num=num, block=block).collect()}
     assert got == brute(list(enumerate(made)), k, num, 100)
 
 
-def test_family_whose_members_are_close_to_the_center_alone(spark):
+@pytest.mark.parametrize("edits,block", [(1, 400), (2, 400), (2, 7)])
+def test_family_whose_members_are_close_to_the_center_alone(spark, edits, block):
     rng = random.Random(5)
     base = [f"b{i}" for i in range(60)]
     made = []
     for i in range(40):
         copy = list(base)
-        copy[rng.randrange(60)] = f"edit{i}"
+        for e in range(edits):
+            copy[rng.randrange(60)] = f"edit{i}-{e}"
         made.append(" ".join(copy))
     made.append(" ".join(base))  # the center comes last
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(fixtures.docs(spark, made), k=3, num=85).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(fixtures.docs(spark, made), k=3, num=85, block=block).collect()}
     assert got == brute(list(enumerate(made)), 3, 85, 100)
 
 
