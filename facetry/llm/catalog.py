@@ -4,11 +4,13 @@ from facetry.llm.chat import OP7_SQL, op7_chat_formatting
 from facetry.llm.decontaminate import op6_decontamination
 from facetry.llm.near_dups import op5_near_dups
 from facetry.llm.packing import op1_packing
+from facetry.llm.quality import op2_quality
 from facetry.llm.sharding import op3_sharding
 from facetry.llm.warc import op8_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
     "op5_near_dups": op5_near_dups,
     "op6_decontamination": op6_decontamination,
