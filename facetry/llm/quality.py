@@ -29,6 +29,7 @@ from facetry.llm.common import materialize, table, uint64_mix
 
 BLOCK_BYTES = 16 << 20  # text per block
 BLOB_BYTES = 4 << 20
+BLOCKS_PER_LOOKUP = 32
 SHARD_BYTES = 64 << 20  # text per shard of the model
 LABEL_ROWS = 2_000_000  # as many trusted ids (16 bytes each) may be broadcast; more of them are joined by a shuffle
 QUANTILE = 0.995
@@ -244,6 +245,14 @@ def _score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
     return made.astype({"doc_id": "Int64"})
 
 
+def _look_up(asked: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+    if not len(part):  # a language without a model
+        return pd.DataFrame(columns=["block", "lang", "keys", "logps"])
+    known, logp = np.asarray(part["model_keys"].iloc[0]), np.asarray(part["model_logps"].iloc[0])
+    found = [logp[np.searchsorted(known, np.asarray(k))] for k in asked["keys"]]
+    return pd.DataFrame({"block": asked["block"], "lang": asked["lang"], "keys": asked["keys"], "logps": found})
+
+
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, h, lang, role, n_units and logp (sum of log probabilities; null without a model) of every row."""
     rows, total = prepared(docs, labels)
@@ -259,13 +268,12 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     parts = placed.groupBy("lang", "shard").agg(F.array_sort(F.collect_list(F.struct("key", "logp"))).alias("m"))
     parts = materialize(parts.select("lang", "shard", F.col("m.key").alias("model_keys"), F.col("m.logp").alias("model_logps")))
 
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            found = [np.asarray(p)[np.searchsorted(np.asarray(m), np.asarray(k))] for k, m, p in zip(df["keys"], df["model_keys"], df["model_logps"])]
-            yield pd.DataFrame({"block": df["block"], "lang": df["lang"], "keys": df["keys"], "logps": found})
-
-    met = held.select("block", "lang", "shard", "keys").join(parts, ["lang", "shard"])
-    known = met.mapInPandas(look_up, "block long, lang string, keys array<bigint>, logps array<float>")
+    # the model's part meets the blocks' parts in groups of a bounded number of blocks
+    salts = max(1, -(-total // (BLOCK_BYTES * BLOCKS_PER_LOOKUP)))
+    salted = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    asked = held.select("block", "lang", "shard", "keys", F.pmod("block", F.lit(salts)).cast("int").alias("salt"))
+    at = ["lang", "shard", "salt"]
+    known = asked.groupBy(*at).cogroup(salted.groupBy(*at)).applyInPandas(_look_up, "block long, lang string, keys array<bigint>, logps array<float>")
     return _packed(rows).groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_score, SCORES)
 
 
