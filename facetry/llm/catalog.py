@@ -2,6 +2,7 @@
 
 from facetry.llm.chat import OP7_SQL, op7_chat_formatting
 from facetry.llm.decontaminate import op6_decontamination
+from facetry.llm.line_dedup import op4_line_dedup
 from facetry.llm.near_dups import op5_near_dups
 from facetry.llm.packing import op1_packing
 from facetry.llm.quality import op2_quality
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
+    "op4_line_dedup": op4_line_dedup,
     "op5_near_dups": op5_near_dups,
     "op6_decontamination": op6_decontamination,
     "op7_chat_formatting": op7_chat_formatting,

@@ -36,7 +36,7 @@ QUANTILE = 0.995
 MARGIN = 0.25  # the threshold lies this share of (quantile - median) above the quantile
 BIN = 0.001
 NO_LANG = "?"
-SLICE = 1 << 20  # characters handled at once
+SLICE = 1 << 18  # characters handled at once
 FOLDS = 5  # one trusted document in so many is held out to set the threshold, by hash of its text
 OTHER, TEACH, HELD_OUT = 0, 1, 2
 _BOS, _EOS = 1, 2
