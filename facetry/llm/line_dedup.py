@@ -31,6 +31,7 @@ DEPTH = 2
 LEAST_TOKENS = 8
 MIN_DOCS = 10
 DOMINANCE = 0.5
+_DIGIT = re.compile("[0-9]")
 _FIELD = re.compile(r"[^\s]*[0-9][^\s]*")
 _ANY = "\x00"
 
@@ -41,7 +42,7 @@ def _hash(text: str, kind: int) -> int:
 
 def templates(line: str) -> list[int]:
     """Hashes of the templates of a line, the closest one first; none for a blank line."""
-    t = _FIELD.sub(_ANY, line).split()
+    t = (_FIELD.sub(_ANY, line) if _DIGIT.search(line) else line).split()
     if not t:
         return []
     out = [_hash(" ".join(t), 0)]
