@@ -1,5 +1,6 @@
 """Queries of the corpus operators and their SQL counterparts."""
 
+from facetry.llm.ann import op9_ann
 from facetry.llm.chat import OP7_SQL, op7_chat_formatting
 from facetry.llm.decontaminate import op6_decontamination
 from facetry.llm.line_dedup import op4_line_dedup
@@ -18,5 +19,6 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_warc": op8_warc,
+    "op9_ann": op9_ann,
 }
 SQL = {"op7_chat_formatting": OP7_SQL}
