@@ -3,6 +3,7 @@
 from facetry.llm.ann import op9_ann
 from facetry.llm.chat import OP7_SQL, op7_chat_formatting
 from facetry.llm.decontaminate import op6_decontamination
+from facetry.llm.licenses import op10_licenses
 from facetry.llm.line_dedup import op4_line_dedup
 from facetry.llm.near_dups import op5_near_dups
 from facetry.llm.packing import op1_packing
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_chat_formatting": op7_chat_formatting,
     "op8_warc": op8_warc,
     "op9_ann": op9_ann,
+    "op10_licenses": op10_licenses,
 }
 SQL = {"op7_chat_formatting": OP7_SQL}

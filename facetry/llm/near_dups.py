@@ -97,7 +97,7 @@ def minima(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.nd
 
 
 def sketch(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n (set size), f1 and f2 (fingerprint of the set), sig (minima as bytes; null for an empty set)."""
+    """doc_id, h (hash of the text), n (set size), f1 and f2 (fingerprint of the set), sig (minima as bytes; null for an empty set)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, family = Shingler(k), universal_family()
@@ -109,10 +109,11 @@ def sketch(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                 f1, f2 = int(m.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(uint64_mix(m + _POWER))) if len(s) else 0
                 rows.append((len(s), f1 - 2**64 if f1 >= 2**63 else f1, f2 - 2**64 if f2 >= 2**63 else f2, minima(s, family).tobytes() if len(s) else None))
             out = pd.DataFrame(rows, columns=["n", "f1", "f2", "sig"])
+            out.insert(0, "h", df["h"].to_numpy())
             out.insert(0, "doc_id", df["doc_id"].to_numpy())
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, n long, f1 long, f2 long, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, h long, n long, f1 long, f2 long, sig binary")
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
@@ -299,17 +300,17 @@ def linked_components(nodes: DataFrame, docs: DataFrame, k: int, num: int, den:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """Per row: doc_id, n_shingles, f1, f2, component_id and kept."""
+    """Per row: doc_id, h (hash of the text), n_shingles, component_id and kept."""
     made = materialize(sketch(docs, k, id_col, text_col))
     key = ["f1", "f2", "n"]
     classes = materialize(made.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")).filter("node is not null"))
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     comp = linked_components(classes, plain, k, num, den, block)
     named = classes.select(*key, "node").join(comp, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
-    out = made.select("doc_id", *key).join(named, key, "left")
+    out = made.select("doc_id", "h", *key).join(named, key, "left")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100).drop("h")
