@@ -1,8 +1,8 @@
 """License scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory above.
 
-1. One pass over the whole texts finds candidate units: single lines and paragraphs (runs of lines between blank ones, often the whole text), if they share at least ``MIN_SHARED``
-   terms with a template. The same pass counts in how many texts each template term occurs, so all weights come from all texts.
-2. A unit's score is the largest cosine of TF-IDF vectors to a template. Terms of no template weigh as if one text held them. The
+1. A pass over the whole texts counts in how many of them each template term occurs, so all weights come from all texts.
+2. A second pass scores units: lines and paragraphs (runs of lines between blank ones, often the whole text) that share at least ``MIN_SHARED``
+   terms with the templates. A unit's score is the largest cosine of TF-IDF vectors to a template. Terms of no template weigh as if one text held them. The
    vocabulary is that of the templates, so the weights are a few hundred numbers. A text's own licence is that of its best unit at ``LEAST`` or more.
 3. A licence file gives its licence to its directory (best score, then name). Directories, not files, are joined with all directories above them, the nearest one
    with a licence wins, and files without a licence of their own take it by a join on their directory.
@@ -65,24 +65,24 @@ _FORMS = [(name, Counter(terms(t))) for name, texts in TEMPLATES.items() for t i
 VOCABULARY = frozenset(t for _, form in _FORMS for t in form)
 
 
-def units(text: str) -> list[tuple[int, Counter]]:
-    """(first line, term counts) of lines and paragraphs that share enough terms with the templates."""
-    each = [(i, terms(line)) for i, line in enumerate(text.split("\n"))]
-    out, block = [], []
-    first = next((i for i, t in each if t), 0)
+def units(text: str) -> Iterator[tuple[int, Counter]]:
+    """(line, term counts) of lines and paragraphs that share enough terms with the templates; line 0 is the first with words."""
+    block: list[tuple[int, list[str]]] = []
+    first = None
     # terms between blank lines form a paragraph; the last one is closed by a blank line that is put behind
-    for i, t in [*each, (len(each), [])]:
+    for i, line in enumerate([*text.split("\n"), ""]):
+        t = terms(line)
         if t:
+            first = i if first is None else first
             block.append((i, t))
             if len(VOCABULARY.intersection(t)) >= MIN_SHARED:
-                out.append((i, Counter(t)))
+                yield i - first, Counter(t)
         elif block:
-            if len(block) > 1 and any(VOCABULARY.intersection(x) for _, x in block):
+            if len(block) > 1:
                 own = Counter(y for _, x in block for y in x)
                 if len(VOCABULARY.intersection(own)) >= MIN_SHARED:
-                    out.append((block[0][0], own))
+                    yield block[0][0] - first, own
             block = []
-    return [(i - first, c) for i, c in out]
 
 
 def weights(df: dict[str, int], n: int) -> tuple[dict[str, float], float]:
@@ -112,41 +112,42 @@ def best_match(counts: dict[str, int], idf: dict[str, float], other: float, vect
     return best
 
 
-CANDIDATE = "kind int, doc_id long, path string, units array<struct<line:int,terms:array<string>,counts:array<int>>>, term string, n long"
+def may_match(counts: Counter, idf: dict[str, float], other: float) -> bool:
+    """False if the terms beyond the templates alone keep every cosine below ``LEAST``."""
+    shared = sum((k * idf[t]) ** 2 for t, k in counts.items() if t in idf)
+    rest = other * other * sum(k * k for t, k in counts.items() if t not in idf)
+    return shared >= LEAST * LEAST * (shared + rest) * (1 - 1e-9)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, path, licence, score and line (of the best unit, 0 being the first with words) of each row of ``docs`` (doc_id, path, text)."""
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df, n = Counter(), 0
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = Counter(), 0
         for part in batches:
-            rows = []
-            for doc, path, text in zip(part["doc_id"], part["path"], part["text"]):
+            for text in part["text"]:
                 n += 1
                 if text:
-                    df.update(VOCABULARY.intersection(terms(text)))
-                found = [{"line": i, "terms": list(c), "counts": list(c.values())} for i, c in units(text)] if text else []
-                rows.append((0, doc, path, found, None, None))
-            yield pd.DataFrame(rows, columns=["kind", "doc_id", "path", "units", "term", "n"]).astype({"doc_id": "Int64", "n": "Int64"})
-        rows = [(1, None, None, None, t, k) for t, k in [*df.items(), ("", n)]]
-        yield pd.DataFrame(rows, columns=["kind", "doc_id", "path", "units", "term", "n"]).astype({"doc_id": "Int64", "n": "Int64"})
-
-    found = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "path", "text").mapInPandas(find, CANDIDATE))
-    held = {r["term"]: int(r["n"]) for r in found.filter("kind = 1").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # the templates' terms
+                    held.update(VOCABULARY.intersection(terms(text)))
+        yield pd.DataFrame([*held.items(), ("", n)], columns=["term", "n"])
+
+    totals = docs.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    held = {r["term"]: int(r["n"]) for r in totals.collect()}  # at most the templates' terms
     idf, other = weights(held, held.pop("", 0))
     vectors = _vectors(idf)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             rows = []
-            for doc, path, each in zip(part["doc_id"], part["path"], part["units"]):
-                best = min(((-round(s, 9), name, u["line"]) for u in (each if each is not None else []) for s, name in [best_match(dict(zip(u["terms"], u["counts"])), idf, other, vectors)]), default=(0.0, None, None))
+            for doc, path, text in zip(part["doc_id"], part["path"], part["text"]):
+                found = ((i, best_match(c, idf, other, vectors)) for i, c in units(text or "") if may_match(c, idf, other))
+                best = min(((-round(s, 9), name, i) for i, (s, name) in found), default=(0.0, None, None))
                 hit = -best[0] >= LEAST
                 rows.append((doc, path, best[1] if hit else None, -best[0] if hit else None, best[2] if hit else None))
             yield pd.DataFrame(rows, columns=["doc_id", "path", "licence", "score", "line"]).astype({"doc_id": "Int64", "line": "Int64"})
 
-    return materialize(found.filter("kind = 0").select("doc_id", "path", "units").mapInPandas(score, "doc_id long, path string, licence string, score double, line int"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "path", "text")
+    return materialize(rows.mapInPandas(score, "doc_id long, path string, licence string, score double, line int"))
 
 
 def _folder(path: Column) -> Column:
