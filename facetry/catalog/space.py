@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from facetry import fixtures
 from facetry.catalog.registry import ATOMS, POINTS, query, r6
 from facetry.functions.geometry import angle_at, apply_transform, compose_transforms, plane_deviation, transform_struct
-from facetry.operators.contact import clash_counts, contact_counts, exposed_area, hotspot_string, hotspots, interface_rmsd, min_distances, rmsd
+from facetry.operators.contact import clash_counts, contact_counts, exposed_area, hotspot_string, hotspots, interface_rmsd, min_distances, rmsd, sphere_points
 from facetry.operators.filters import clash_ok
 from facetry.operators.patch import interpolate, label_interface, pocket_points
 from facetry.operators.sequence import fragment_spans
@@ -201,7 +201,18 @@ def angles_and_planes(spark, sf):
     return p.select("vix", r6(ang, "angle"), r6(F.greatest(F.lit(0.0), 1 - dev * dev), "penalty"), r6(plane, "plane"))
 
 
-@query("exposed_area")
+_SPHERE = ", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE)" for a, b, c in sphere_points(24))
+
+
+@query(
+    "exposed_area",
+    "WITH " + ATOMS + f""", ball AS (SELECT protein_id, vix, x, y, z, CASE WHEN element = 'H' THEN 1.2 ELSE 1.7 END + 1.4 AS r FROM atm),
+sp(a, b, c) AS (VALUES {_SPHERE}),
+pt AS (SELECT protein_id, vix, r, x + r * a AS x, y + r * b AS y, z + r * c AS z FROM ball, sp),
+lit AS (SELECT p.protein_id, p.vix, p.r, NOT EXISTS (SELECT 1 FROM ball o WHERE o.protein_id = p.protein_id AND o.vix <> p.vix
+  AND (o.x-p.x)*(o.x-p.x)+(o.y-p.y)*(o.y-p.y)+(o.z-p.z)*(o.z-p.z) < (o.r - 1e-9)*(o.r - 1e-9)) AS free FROM pt p)
+SELECT protein_id, count(DISTINCT vix) AS atoms, round(sum(CASE WHEN free THEN 4 * pi() * r * r / 24 ELSE 0 END), 6) AS area FROM lit GROUP BY protein_id""",
+)
 def exposed_area_query(spark, sf):
     a = fixtures.atoms(spark, sf)
     r = F.when(F.col("element") == "H", 1.2).otherwise(1.7)

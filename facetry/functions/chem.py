@@ -20,11 +20,29 @@ HYDROPATHY = {
     "ILE": 4.5, "VAL": 4.2, "LEU": 3.8, "PHE": 2.8, "CYS": 2.5, "MET": 1.9, "ALA": 1.8, "GLY": -0.4, "THR": -0.7, "SER": -0.8,
     "TRP": -0.9, "TYR": -1.3, "PRO": -1.6, "HIS": -3.2, "GLU": -3.5, "GLN": -3.5, "ASP": -3.5, "ASN": -3.5, "LYS": -3.9, "ARG": -4.5,
 }
-# Polar hydrogens beside the backbone H that every residue but PRO has.
-SIDE_POLAR_H = {
-    "SER": ["HG"], "THR": ["HG1"], "ASN": ["HD21", "HD22"], "GLN": ["HE21", "HE22"], "ARG": ["HH11", "HH12", "HH21", "HH22", "HE"],
-    "HIS": ["HD1", "HE2"], "TRP": ["HE1"], "TYR": ["HH"], "LYS": ["HZ1", "HZ2", "HZ3"],
-}
+# Polar hydrogens of each residue.
+POLAR_HYDROGENS = {
+    "ALA": ["H"],
+    "GLY": ["H"],
+    "SER": ["H", "HG"],
+    "THR": ["H", "HG1"],
+    "LEU": ["H"],
+    "ILE": ["H"],
+    "VAL": ["H"],
+    "ASN": ["H", "HD21", "HD22"],
+    "GLN": ["H", "HE21", "HE22"],
+    "ARG": ["H", "HH11", "HH12", "HH21", "HH22", "HE"],
+    "HIS": ["H", "HD1", "HE2"],
+    "TRP": ["H", "HE1"],
+    "PHE": ["H"],
+    "TYR": ["H", "HH"],
+    "GLU": ["H"],
+    "ASP": ["H"],
+    "LYS": ["H", "HZ1", "HZ2", "HZ3"],
+    "PRO": [],
+    "CYS": ["H"],
+    "MET": ["H"],
+}
 # Heavy atom carrying a polar hydrogen.
 HYDROGEN_DONOR = {
     "H": "N", "HH11": "NH1", "HH12": "NH1", "HH21": "NH2", "HH22": "NH2", "HE": "NE", "HD21": "ND2", "HD22": "ND2", "HE21": "NE2",
@@ -40,6 +58,11 @@ ACCEPTOR_PLANE = {
 }
 
 
+def is_polar_hydrogen(residue: Column, atom: Column) -> Column:
+    names = lookup({k: ",".join(v) for k, v in POLAR_HYDROGENS.items()}, residue, "")
+    return (names != "") & F.array_contains(F.split(names, ","), atom)
+
+
 def lookup(table: dict, key: Column, default=None) -> Column:
     m = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     found = F.try_element_at(m, key)

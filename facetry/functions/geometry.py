@@ -114,15 +114,16 @@ def uniform_from_hash(*cols, seed: int = 0) -> Column:
 
 
 def rotation_from_uniforms(u1, u2, u3) -> dict[str, Column]:
-    """Uniform random rotation: a turn about z followed by a random reflection pair."""
-    theta, phi, z = _c(u1) * 2 * PI, _c(u2) * 2 * PI, _c(u3) * 2
-    v = (F.sin(phi) * F.sqrt(z), F.cos(phi) * F.sqrt(z), F.sqrt(2 - z))
-    spin = ((F.cos(theta), F.sin(theta), F.lit(0.0)), (-F.sin(theta), F.cos(theta), F.lit(0.0)), (F.lit(0.0), F.lit(0.0), F.lit(1.0)))
-    out = {}
-    for i in range(3):
-        for j in range(3):
-            out[f"r{i + 1}{j + 1}"] = sum((v[i] * v[k] - F.lit(1.0 if i == k else 0.0)) * spin[k][j] for k in range(3))
-    return out
+    """Uniform random rotation: the matrix of a unit quaternion drawn evenly from the 3-sphere."""
+    low, high = F.sqrt(1 - _c(u1)), F.sqrt(_c(u1))
+    first, second = _c(u2) * 2 * PI, _c(u3) * 2 * PI
+    w, x, y, z = high * F.cos(second), low * F.sin(first), low * F.cos(first), high * F.sin(second)
+    rows = (
+        (1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)),
+        (2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)),
+        (2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)),
+    )
+    return {f"r{i + 1}{j + 1}": rows[i][j] for i in range(3) for j in range(3)}
 
 
 def shift_outward(p, n, amount: float = 0.25) -> tuple[Column, Column, Column]:

@@ -111,9 +111,7 @@ def exposed_area(atoms: DataFrame, keys: list[str], atom_id: str, radius: str, p
     on = list(on)
     directions = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("abc", p)]) for p in sphere_points(n_points)])
     base = atoms.withColumn("_R", F.col(radius) + probe)
-    classes = [r[0] for r in base.select(F.round("_R", 9)).distinct().limit(257).collect()]  # element radii: a handful
-    if len(classes) > 256:
-        raise ValueError("more than 256 distinct radii")
+    classes = [r[0] for r in base.select(F.round("_R", 9)).distinct().collect()]  # one per element radius
     pts = base.withColumn("_d", F.explode(directions))
     for c, a in zip("xyz", "abc"):
         pts = pts.withColumn(c, F.col(c) + F.col("_R") * F.col(f"_d.{a}"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from facetry.functions.text import RESIDUE_LETTERS
 
 # Nucleotide residue names kept on request.
-NUCLEOTIDES = ["A", "C", "G", "U", "DA", "DC", "DG", "DT"]
+NUCLEOTIDES = ["A", "C", "G", "U", "DA", "DC", "DG", "DT", "DU"]
 
 
 def candidate(score: str, dist: str, min_score: float, max_dist: float) -> Column:
@@ -40,16 +40,19 @@ def data_names(name: Column) -> Column:
     return ~(name.contains(".npy") | name.contains(".txt"))
 
 
-def chain_atoms(atoms: DataFrame, chains: list[str], modified: list[str] = (), ligand: str | None = None, nucleotides: bool = False) -> DataFrame:
-    """Atoms of the chains: regular residues, listed modified residues, one ligand, optionally nucleotides."""
+def chain_atoms(atoms: DataFrame, chains: list[str], modified: list[str] = (), ligand: str | None = None, nucleotides: bool = False, ligand_chain: str | None = None) -> DataFrame:
+    """Atoms of the chains: regular residues, listed modified residues, one ligand (of ``ligand_chain`` if it lies in another chain), optionally nucleotides."""
     keep = F.col("hetflag") == " "
     if modified:
         keep = keep | F.col("resname").isin(list(modified))
-    if ligand:
+    other = F.lit(False)
+    if ligand and ligand_chain:
+        other = (F.col("resname") == ligand) & (F.col("chain") == ligand_chain)
+    elif ligand:
         keep = keep | (F.col("resname") == ligand)
     if nucleotides:
         keep = keep | F.col("resname").isin(NUCLEOTIDES)
-    return atoms.filter(F.col("chain").isin(list(chains)) & keep)
+    return atoms.filter((F.col("chain").isin(list(chains)) & keep) | other)
 
 
 def first_altloc(atoms: DataFrame, letters: tuple[str, ...] = ("A", "1")) -> DataFrame:

@@ -102,6 +102,8 @@ def score_histogram(df: DataFrame, cls: str, score: str, bins: int = 100, low: f
     if low is None or high is None:
         edge = df.agg(F.min(score).alias("lo"), F.max(score).alias("hi")).first()
         low, high = float(edge["lo"]), float(edge["hi"])
+    if high == low:  # a unit range around the single value
+        low, high = low - 0.5, high + 0.5
     width = (high - low) / bins
     s = F.col(score)
     b = F.least(F.floor((s - low) / width), F.lit(bins - 1)).cast("int")

@@ -55,5 +55,21 @@ def listed_split(df: DataFrame, id_col: str, train: DataFrame, test: DataFrame)
     return a.unionByName(b)
 
 
+def split_faults(df: DataFrame, id_col: str, train: DataFrame, test: DataFrame) -> DataFrame:
+    """One row: how many distinct ids lie on neither list (``left_over``) and on both (``in_both``)."""
+    side = lambda lst, name: lst.select(F.col("id").alias(id_col)).distinct().withColumn(name, F.lit(1))
+    ids = df.select(id_col).distinct().join(side(train, "_a"), id_col, "left").join(side(test, "_b"), id_col, "left")
+    count = lambda cond: F.coalesce(F.sum(cond.cast("long")), F.lit(0))
+    a, b = F.col("_a").isNotNull(), F.col("_b").isNotNull()
+    return ids.agg(count(~a & ~b).alias("left_over"), count(a & b).alias("in_both"))
+
+
+def assert_split_covers(df: DataFrame, id_col: str, train: DataFrame, test: DataFrame) -> None:
+    """Raise unless every id lies on exactly one list."""
+    found = split_faults(df, id_col, train, test).first()
+    if found["left_over"] or found["in_both"]:
+        raise ValueError(f"{found['left_over']} ids on neither list, {found['in_both']} on both")
+
+
 def shard(id_col: Column, n: int = 1000) -> Column:
     return F.pmod(id_col, F.lit(n))

@@ -7,96 +7,12 @@ add the totals of earlier segments afterwards.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from facetry.session import materialize
 
 SEGMENT_ROWS = 2_000_000
-MAX_SEGMENTS = 4096
-_FAN = 64
-
-
-def order_number(df: DataFrame, name: str) -> Column:
-    """A number that never falls where the column rises, whatever its type."""
-    kind, col = dict(df.dtypes)[name], F.col(name)
-    if kind == "string":  # leading bytes, read as one number
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    if kind == "timestamp_ntz":  # no time zone on the way
-        seconds = F.hour(col) * 3600 + F.minute(col) * 60 + F.extract(F.lit("SECOND"), col).cast("double")
-        return F.unix_date(col.cast("date")) * F.lit(86400.0) + seconds
-    if kind == "date":
-        return F.unix_date(col).cast("double")
-    return col.cast("double")
-
-
-def _position(value: Column, splits: list[float]) -> Column:
-    """How many ``splits`` are <= ``value``; two short scans instead of one long."""
-    if not splits:
-        return F.lit(0)
-    chunks = [splits[i : i + _FAN] for i in range(0, len(splits), _FAN)]
-    count = lambda arr: F.size(F.filter(arr, lambda s: s <= value))
-    lit_array = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    if len(chunks) == 1:
-        return count(lit_array(splits))
-    heads = lit_array([c[0] for c in chunks])
-    bodies = F.array(*[lit_array(c) for c in chunks])
-    chunk = count(heads)
-    inside = F.when(chunk == 0, F.lit(0)).otherwise((chunk - 1) * _FAN + count(F.element_at(bodies, F.greatest(chunk, F.lit(1)))))
-    return inside
-
-
-@dataclass
-class Segments:
-    """Literal cut points; the same row gets the same segment in every branch of a plan."""
-
-    splits: list[float]
-    heavy: dict[float, list[float]]
-
-    @property
-    def single(self) -> bool:
-        return not self.splits
-
-    def column(self, value: Column, second: Column | None = None) -> Column:
-        # values above a heavy one share its cut position, so they sort after all its parts
-        part = F.lit(MAX_SEGMENTS + 1)
-        for heavy_value, cuts in self.heavy.items():
-            if second is not None and cuts:
-                part = F.when(value == F.lit(heavy_value), _position(second, cuts)).otherwise(part)
-        seg = _position(value, self.splits).cast("long") * F.lit(2 * (MAX_SEGMENTS + 1)) + part
-        return seg
-
-
-def order_segments(df: DataFrame, lead: Column, second: Column | None = None, segment_rows: int = SEGMENT_ROWS) -> Segments:
-    """Measure ``df`` once and choose cut points so that a segment holds about ``segment_rows`` rows.
-
-    ``lead`` and ``second`` are numbers (see :func:`order_number`). Values tied so often that they fill whole segments are cut again along ``second``.
-    """
-    n = df.count()
-    wanted = min(MAX_SEGMENTS, -(-n // segment_rows))
-    if wanted <= 1:
-        return Segments([], {})
-    probs = [i / wanted for i in range(1, wanted)]
-    accuracy = max(10_000, 10 * wanted)
-    cuts = df.select(F.percentile_approx(lead, probs, accuracy).alias("q")).first()["q"] or []
-    repeated = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
-    splits = sorted(set(cuts))
-    heavy: dict[float, list[float]] = {}
-    if repeated and second is not None:
-        rows = (
-            df.select(lead.alias("v"), second.alias("s"))
-            .filter(F.col("v").isin(repeated))
-            .groupBy("v")
-            .agg(F.percentile_approx("s", probs, accuracy).alias("q"))
-            .collect()  # at most MAX_SEGMENTS heavy values
-        )
-        heavy = {r["v"]: sorted(set(r["q"] or [])) for r in rows}
-        splits = sorted(set(splits) | set(heavy))
-    return Segments(splits, heavy)
-
-
 def running(
     df: DataFrame,
     keys: list[str],
@@ -105,20 +21,19 @@ def running(
     segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Inclusive running sums per key in ``order``; each value is exact whatever the key's size."""
-    lead = order_number(df, order[0])
-    second = order_number(df, order[1]) if len(order) > 1 else None
-    segments = order_segments(df, lead, second, segment_rows)
     base = df
     for name, expr in sums.items():
         base = base.withColumn(f"_in_{name}", expr)
     inner = [f"_in_{name}" for name in sums]
-    if segments.single:
+    segments = max(1, -(-df.count() // segment_rows))
+    if segments == 1:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         for name in sums:
             base = base.withColumn(name, F.sum(f"_in_{name}").over(w))
         return base.drop(*inner)
 
-    base = base.withColumn("_seg", segments.column(lead, second))
+    # runs of the real order, whatever its types; written once, so every branch sees the same cut
+    base = materialize(base.repartitionByRange(segments, *keys, *order).withColumn("_seg", F.spark_partition_id()))
     local = Window.partitionBy(*keys, "_seg").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     totals = base.groupBy(*keys, "_seg").agg(*[F.sum(f"_in_{n}").alias(f"_tot_{n}") for n in sums])
     before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)

@@ -23,11 +23,26 @@ def normalized(value: str, area: str) -> Column:
 
 
 # Quantile and direction per metric (at most the upper quartile, at least the lower one).
-QUANTILE_RULES = {"ddg": (0.75, "<="), "nddg": (0.75, "<="), "bunsh": (0.75, "<="), "sc": (0.25, ">="), "hbonds": (0.25, ">="), "sasa": (0.25, ">=")}
+QUANTILE_RULES = {
+    "ddg": (0.75, "<="),
+    "nddg": (0.75, "<="),
+    "bunsh": (0.75, "<="),
+    "bunsh2": (0.75, "<="),
+    "sc": (0.25, ">="),
+    "hbonds": (0.25, ">="),
+    "sasa": (0.25, ">="),
+    "mol_contacts": (0.25, ">="),
+}
+
+
+def _present(df: DataFrame, rules: dict[str, tuple[float, str]]) -> dict[str, tuple[float, str]]:
+    """Rules of the metrics that the table has."""
+    return {m: r for m, r in rules.items() if m in df.columns}
 
 
 def quantile_cutoffs(df: DataFrame, rules: dict[str, tuple[float, str]] = QUANTILE_RULES) -> DataFrame:
     """One row with a cutoff per metric, each taken over all designs."""
+    rules = _present(df, rules)
     # an upper quantile is a lower one of the negated values, so one probability serves both
     side = {m: (-1.0, 1 - p) if p > 0.5 else (1.0, p) for m, (p, _) in rules.items()}
     name = lambda p: f"p{round(p * 1000)}"
@@ -39,7 +54,7 @@ def quantile_cutoffs(df: DataFrame, rules: dict[str, tuple[float, str]] = QUANTI
 
 def select_by_cutoffs(df: DataFrame, cutoffs: DataFrame | dict[str, float], rules: dict[str, tuple[float, str]] = QUANTILE_RULES, optional: dict[str, float] | None = None) -> DataFrame:
     """Keep designs inside every cutoff; an optional metric counts only where the column exists."""
-    cols = df.columns
+    cols, rules = df.columns, _present(df, rules)
     if isinstance(cutoffs, dict):
         value = lambda m: F.lit(cutoffs[m])
     else:

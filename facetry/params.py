@@ -27,7 +27,7 @@ class SearchParams:
     vote_inlier: float = 1.5
     refine_rounds: int = 5
     min_fitness: float = 0.3
-    max_members: int = 100
+    max_members: int = 200
 
     def overridden(self, **custom) -> "SearchParams":
         return replace(self, **custom)

@@ -99,12 +99,12 @@ def training_pairs(rings: DataFrame, pairs: DataFrame, vertices: DataFrame, sc:
     return a.join(b, ["pair_id", "_i"]).drop("_i").withColumn("split", split_column(["pair_id"], {"train": 1 - validation, "val": validation}, seed + 2))
 
 
-def run_matrix(setups: DataFrame, cases: DataFrame) -> DataFrame:
-    """Setup x case x direction work list; setups are a handful of rows."""
+def run_matrix(setups: DataFrame, cases: DataFrame, parts: int = 32) -> DataFrame:
+    """Setup x case x direction work list. The product is the result; setups are copied to ``parts`` keys, so no side has to be small."""
     both = F.array(*[F.struct(F.col(a).alias("target_chains"), F.col(b).alias("binder_chains")) for a, b in (("chain1", "chain2"), ("chain2", "chain1"))])
-    rows = cases.withColumn("d", F.explode(both)).withColumn("_k", F.lit(0))
-    few = setups.limit(1000).withColumn("_k", F.lit(0))
-    return rows.join(F.broadcast(few), "_k").drop("_k").select("*", "d.*").drop("d")
+    rows = cases.withColumn("d", F.explode(both)).withColumn("_k", F.pmod(F.xxhash64(*cases.columns), F.lit(parts)))
+    copies = setups.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return rows.join(copies, "_k").drop("_k").select("*", "d.*").drop("d")
 
 
 def interface_center_point(target_atoms: DataFrame, binder_atoms: DataFrame, vertices: DataFrame, keys: list[str], contact: float = 5.0, reach: float = 10.0, least: int = 3) -> DataFrame:

@@ -52,9 +52,7 @@ def hydrogen_bonds(vertices: DataFrame, atoms: DataFrame, with_chain: bool = Fal
     co, hn = satisfied_backbone(atoms, with_chain)
     res = co.columns
     at = lambda p: atoms.select(*RESIDUE, F.col("atom").alias(f"{p}_atom"), *[F.col(c).alias(p + c) for c in "xyz"])
-    side = F.split(chem.lookup({k: ",".join(v) for k, v in chem.SIDE_POLAR_H.items()}, F.col("resname"), ""), ",")
-    donor_residue = F.col("resname").isin(list(chem.HYDROPATHY)) & (F.col("resname") != "PRO")
-    is_h = donor_residue & ((F.col("atom") == "H") | F.array_contains(side, F.col("atom")))
+    is_h = chem.is_polar_hydrogen(F.col("resname"), F.col("atom"))
     has = lambda name: F.max((F.col("atom") == name).cast("int")) == 1
     his = atoms.filter("resname = 'HIS'").groupBy(*RESIDUE).agg(has("HD1").alias("_hd1"), has("HE2").alias("_he2"))
     v = vertices.join(his, RESIDUE, "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facetry.functions.chem import SIDE_POLAR_H, SURFACE_RADII, lookup, surface_radius
+from facetry.functions.chem import SURFACE_RADII, is_polar_hydrogen, surface_radius
 from facetry.functions.text import RESIDUE_LETTERS, fixed
 from facetry.operators.filters import not_hydrogen_name
 
@@ -56,7 +56,7 @@ def hit_line(name="name", point="point_id") -> Column:
         ("score", fixed("score", 4)),
         *[(k, c(k)) for k in ("clashing_ca", "clashing_heavy", "desc_dist_score", "mean_desc_dist_score", "match_vix", "desc_dist", "iface_score")],
     ]
-    return F.concat_ws(", ", *[F.concat(F.lit(f"{k}: "), v) for k, v in pairs])
+    return F.concat_ws(", ", *[F.concat(F.lit(f"{k}: "), F.coalesce(v, F.lit(""))) for k, v in pairs])  # an empty value keeps its place
 
 
 def scan_lines(hits: DataFrame) -> DataFrame:
@@ -99,9 +99,7 @@ def surface_input(atoms: DataFrame, keep_hetero: list[str] = ()) -> DataFrame:
     known = list(RESIDUE_LETTERS) + list(keep_hetero)
     kind = F.substring("atom", 1, 1)
     src = atoms.filter(((F.col("hetflag") == " ") | F.col("resname").isin(list(keep_hetero))) & F.col("resname").isin(known) & kind.isin(list(SURFACE_RADII)))
-    names = F.split(lookup({k: ",".join(v) for k, v in SIDE_POLAR_H.items()}, F.col("resname"), ""), ",")
-    polar = F.array_contains(names, F.col("atom"))
-    polar = (polar | ((F.col("atom") == "H") & (F.col("resname") != "PRO"))) & ~F.col("resname").isin(list(keep_hetero) or [""])
+    polar = is_polar_hydrogen(F.col("resname"), F.col("atom")) & ~F.col("resname").isin(list(keep_hetero) or [""])
     color = F.when(kind == "O", "Red").when(kind == "N", "Blue").when((kind == "H") & polar, "Blue").otherwise("Green")
     code = F.when(F.col("icode") == " ", F.lit("x")).otherwise(F.col("icode"))
     key = F.concat_ws("_", "chain", F.col("resid").cast("string"), code, "resname", "atom", color)
