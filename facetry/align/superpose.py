@@ -63,6 +63,36 @@ def place(points: DataFrame, poses: DataFrame, keys: list[str], normals: bool =
     return m.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in m.columns if c != "pose"])
 
 
+VOTE_CHUNK = 256
+
+
+def _vote_chunk(p, q, pn, qn, pick, edge_ratio: float, max_dist: float, inlier: float):
+    """(pose, fitness, inliers, rmse) of the best of some triplets; None if no triplet holds."""
+    a, b = p[pick], q[pick]
+    ea = np.linalg.norm(a - np.roll(a, 1, 1), axis=2)
+    eb = np.linalg.norm(b - np.roll(b, 1, 1), axis=2)
+    keep = (np.minimum(ea, eb) >= edge_ratio * np.maximum(ea, eb)).all(1)
+    pick, a, b = pick[keep], a[keep], b[keep]
+    if not len(a):
+        return None
+    ca, cb = a.mean(1, keepdims=True), b.mean(1, keepdims=True)
+    r = _kabsch(np.einsum("bki,bkj->bij", a - ca, b - cb))
+    t = (cb - np.einsum("bij,bkj->bki", r, ca))[:, 0]
+    off = np.linalg.norm(np.einsum("bij,bkj->bki", r, a) + t[:, None] - b, axis=2).max(1)
+    facing = (np.einsum("bij,bkj->bki", r, pn[pick]) * qn[pick]).sum(2).min(1)
+    ok = (off <= max_dist) & (facing >= 0)
+    r, t = r[ok], t[ok]
+    if not len(r):
+        return None
+    d = np.linalg.norm(np.einsum("bij,kj->bki", r, p) + t[:, None] - q[None], axis=2)
+    hit = d < inlier
+    count = hit.sum(1)
+    rmse = np.sqrt((d * d * hit).sum(1) / np.maximum(count, 1))
+    i = np.lexsort((rmse, -count))[0]
+    pose = {n: r[i, int(n[1]) - 1, int(n[2]) - 1] for n in ROTATION} | {n: t[i, j] for j, n in enumerate(SHIFT)}
+    return pose, count[i] / len(p), int(count[i]), rmse[i]
+
+
 def _vote_udf(rounds: int, edge_ratio: float, max_dist: float, inlier: float, seed: int):
     @F.pandas_udf(VOTE)
     def vote(name: pd.Series, src: pd.Series, dst: pd.Series, src_n: pd.Series, dst_n: pd.Series) -> pd.DataFrame:
@@ -74,27 +104,10 @@ def _vote_udf(rounds: int, edge_ratio: float, max_dist: float, inlier: float, se
                 rng = np.random.default_rng(zlib.crc32(f"{seed}|{key}".encode()))
                 pick = rng.integers(0, len(p), (rounds, 3))
                 pick = pick[(pick[:, 0] != pick[:, 1]) & (pick[:, 1] != pick[:, 2]) & (pick[:, 0] != pick[:, 2])]
-                a, b = p[pick], q[pick]
-                ea = np.linalg.norm(a - np.roll(a, 1, 1), axis=2)
-                eb = np.linalg.norm(b - np.roll(b, 1, 1), axis=2)
-                keep = (np.minimum(ea, eb) >= edge_ratio * np.maximum(ea, eb)).all(1)
-                pick, a, b = pick[keep], a[keep], b[keep]
-                if len(a):
-                    ca, cb = a.mean(1, keepdims=True), b.mean(1, keepdims=True)
-                    r = _kabsch(np.einsum("bki,bkj->bij", a - ca, b - cb))
-                    t = (cb - np.einsum("bij,bkj->bki", r, ca))[:, 0]
-                    off = np.linalg.norm(np.einsum("bij,bkj->bki", r, a) + t[:, None] - b, axis=2).max(1)
-                    facing = (np.einsum("bij,bkj->bki", r, pn[pick]) * qn[pick]).sum(2).min(1)
-                    ok = (off <= max_dist) & (facing >= 0)
-                    r, t = r[ok], t[ok]
-                    if len(r):
-                        d = np.linalg.norm(np.einsum("bij,kj->bki", r, p) + t[:, None] - q[None], axis=2)
-                        hit = d < inlier
-                        count = hit.sum(1)
-                        rmse = np.sqrt((d * d * hit).sum(1) / np.maximum(count, 1))
-                        i = np.lexsort((rmse, -count))[0]
-                        pose = {n: r[i, int(n[1]) - 1, int(n[2]) - 1] for n in ROTATION} | {n: t[i, j] for j, n in enumerate(SHIFT)}
-                        best = (pose, count[i] / len(p), int(count[i]), rmse[i])
+                for first in range(0, len(pick), VOTE_CHUNK):  # memory stays bounded for any number of rounds
+                    found = _vote_chunk(p, q, pn, qn, pick[first : first + VOTE_CHUNK], edge_ratio, max_dist, inlier)
+                    if found and (best is None or (-found[2], found[3]) < (-best[2], best[3])):
+                        best = found
             rows.append(best or (IDENTITY, 0.0, 0, 0.0))
         return pd.DataFrame(rows, columns=VOTE.names)
 
@@ -104,7 +117,7 @@ def _vote_udf(rounds: int, edge_ratio: float, max_dist: float, inlier: float, se
 def vote_poses(
     correspondences: DataFrame,
     keys: list[str],
-    rounds: int = 256,
+    rounds: int = 2000,
     edge_ratio: float = 0.9,
     max_dist: float = 1.0,
     inlier: float = 1.5,

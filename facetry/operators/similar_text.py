@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetry.functions.text import alignment_score, strip_gaps
+from facetry.session import materialize
 
 
 def _slack(length: Column, above: float) -> Column:
@@ -15,11 +18,56 @@ def _slack(length: Column, above: float) -> Column:
     return F.greatest(F.ceil(length * (1 - above) - 1e-9) - 1, F.lit(0)).cast("int")
 
 
-def closest_designs(designs: DataFrame, name: str = "description", seq: str = "seq", above: float = 0.7) -> DataFrame:
+def _aligned(a: np.ndarray, b: np.ndarray) -> int:
+    """Best global alignment: +1 per match, 0 per mismatch, -1 per gap position."""
+    ramp = np.arange(len(b) + 1)
+    row = -ramp
+    for i, letter in enumerate(a, 1):
+        new = np.empty_like(row)
+        new[0] = -i
+        new[1:] = np.maximum(row[:-1] + (b == letter), row[1:] - 1)
+        row = np.maximum.accumulate(new + ramp) - ramp
+    return int(row[-1])
+
+
+def _block_best(df: pd.DataFrame) -> pd.DataFrame:
+    """Best partner of each owner within one block of strings; shared letters bound a score from above."""
+    codes = lambda s: np.frombuffer(s.encode("utf-32-le"), dtype="<u4")
+    own, other = df[df["_side"] == 0], df[df["_side"] == 1]
+    letters = sorted(set("".join(df["_text"])))
+    counts = lambda part: np.array([[s.count(c) for c in letters] for s in part["_text"]]).reshape(len(part), len(letters))
+    ca, cb = counts(own), counts(other)
+    texts = [codes(s) for s in other["_text"]]
+    names, strings, out = other["_name"].tolist(), other["_text"].tolist(), []
+    for (name, text), have in zip(own[["_name", "_text"]].itertuples(index=False), ca):
+        bound = np.minimum(have, cb).sum(axis=1)
+        a, best = codes(text), None
+        for j in np.argsort(-bound, kind="stable"):
+            if best and bound[j] < best[0]:
+                break
+            if strings[j] != text:
+                best = max(best or (-(10**9), names[j]), (_aligned(a, texts[j]), names[j]))
+        if best:
+            out.append((name, best[0] / len(text), best[1]))
+    return pd.DataFrame(out, columns=["_id", "similarity", "closest"])
+
+
+def _below(owners: DataFrame, others: DataFrame, block: int) -> DataFrame:
+    """Best partner of ``owners`` (_id, _s) among ``others`` (_t, _t_id), block against block."""
+    kind = dict(owners.dtypes)["_id"]
+    parts = lambda df: max(1, -(-df.count() // block))
+    left, right = parts(owners), parts(others)
+    a = owners.select(F.col("_id").alias("_name"), F.col("_s").alias("_text"), F.pmod(F.xxhash64("_s"), F.lit(left)).alias("_a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(right - 1).cast("long"))).alias("_b"), F.lit(0).alias("_side"))
+    b = others.select(F.col("_t_id").alias("_name"), F.col("_t").alias("_text"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(left - 1).cast("long"))).alias("_a"), F.pmod(F.xxhash64("_t"), F.lit(right)).alias("_b"), F.lit(1).alias("_side"))
+    best = a.unionByName(b).groupBy("_a", "_b").applyInPandas(_block_best, f"_id {kind}, similarity double, closest {kind}")
+    return best.groupBy("_id").agg(F.max(F.struct("similarity", "closest")).alias("m")).select("_id", "m.similarity", "m.closest")
+
+
+def closest_designs(designs: DataFrame, name: str = "description", seq: str = "seq", above: float = 0.7, block: int = 500) -> DataFrame:
     """Best other design per design: name, ``similarity`` (score / own length), ``closest``; the last name wins ties.
 
-    Exact for every similarity over ``above``; otherwise similarity is null (0 for an empty string).
-    Copies of a string are settled among themselves, each by the last other name. Distinct strings
+    Similarities over ``above`` are found through shared pieces, lower ones by comparing the designs left with all strings in
+    blocks of both sides (0 for an empty string, null without any other). Copies of a string are settled among themselves, each by the last other name. Distinct strings
     are only aligned if one of the owner's ``slack + 1`` pieces turns up in the other string near its
     place, which every partner within the slack must satisfy.
     """
@@ -50,5 +98,7 @@ def closest_designs(designs: DataFrame, name: str = "description", seq: str = "s
     scored = pairs.withColumn("_sc", alignment_score("_s", "_t")).filter(F.col("_sc") >= F.col("_len") - F.col("_slack"))
     best = scored.groupBy("_id", "_len").agg(F.max(F.struct("_sc", "_t_id")).alias("b"))
     found = best.select("_id", (F.col("b._sc") / F.col("_len")).alias("similarity"), F.col("b._t_id").alias("closest")).filter(F.col("similarity") > above)
-    out = d.join(copies.unionByName(found), "_id", "left")
+    found = materialize(copies.unionByName(found))
+    far = owners.select("_id", "_s").join(found.select("_id"), "_id", "left_anti")
+    out = d.join(found.unionByName(_below(far, others, block)), "_id", "left")
     return out.select(F.col("_id").alias(name), F.when(F.col("_s") == "", 0.0).otherwise(F.col("similarity")).alias("similarity"), "closest")

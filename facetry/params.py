@@ -23,7 +23,7 @@ class SearchParams:
     region_radius: float = 10.0
     sites: int = 1
     attempts: int = 1
-    vote_rounds: int = 256
+    vote_rounds: int = 2000
     vote_inlier: float = 1.5
     refine_rounds: int = 5
     min_fitness: float = 0.3

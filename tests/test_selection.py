@@ -101,7 +101,8 @@ def test_alignment_score(spark):
     assert all(r.s == _nw(r.a, r.b) for r in got)
 
 
-def test_closest_designs_equals_all_pairs(spark):
+@pytest.mark.parametrize("block", [500, 7])
+def test_closest_designs_equals_all_pairs(spark, block):
     rng = np.random.default_rng(3)
     base = ["".join(rng.choice(list("ACDEFGHIK-"), 14)) for _ in range(12)]
     rows = []
@@ -113,7 +114,7 @@ def test_closest_designs_equals_all_pairs(spark):
             s[p : p + 1] = [] if op == 0 else [rng.choice(list("ACDEFG"))] if op == 1 else [s[p], rng.choice(list("ACDEFG"))]
         rows.append((f"d{i:02d}", "--" + "".join(s) + "-"))
     rows += [("e1", "---"), ("e2", "")]
-    got = {r.description: r for r in closest_designs(spark.createDataFrame(rows, "description string, seq string")).collect()}
+    got = {r.description: r for r in closest_designs(spark.createDataFrame(rows, "description string, seq string"), block=block).collect()}
     strip = {n: s.strip("-") for n, s in rows}
     hits = 0
     for n, s in strip.items():
@@ -121,12 +122,9 @@ def test_closest_designs_equals_all_pairs(spark):
             assert got[n].similarity == 0.0
             continue
         score, best = max((_nw(s, t), m) for m, t in strip.items() if m != n and t)
-        if score / len(s) > 0.7:
-            hits += 1
-            assert got[n].closest == best and abs(got[n].similarity - score / len(s)) < 1e-12
-        else:
-            assert got[n].similarity is None
-    assert hits > 20
+        hits += score / len(s) > 0.7
+        assert got[n].closest == best and abs(got[n].similarity - score / len(s)) < 1e-12
+    assert 20 < hits < 60
 
 
 def test_id_parts_and_names(spark):
