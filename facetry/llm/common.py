@@ -10,12 +10,23 @@ from pyspark.sql import functions as F
 
 from facetry.session import checkpoint_root, materialize
 
-__all__ = ["table", "materialize", "shared_folder", "hash_bucket", "with_rank", "slots_for", "WORK", "uint64_mix"]
+__all__ = ["table", "materialize", "shared_folder", "hash_bucket", "with_rank", "slots_for", "WORK", "uint64_mix", "filled", "unfilled"]
 
 WORK = 2_000  # rows that one window partition should hold, on average
 SLOTS = 1 << 16  # and the most of them; beyond it they get larger instead, still far below a task's memory
 
 
+NO_ID = -(2**63)  # stands for a null id on the way through pandas, which would turn a column with nulls into floats
+
+
+def filled(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+
+
+def unfilled(name: str) -> Column:
+    return F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

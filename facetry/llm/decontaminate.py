@@ -9,7 +9,8 @@ several automata that scan the same text one after the other, each within that s
 
 Defined results: null and word-less texts have no words and no hits; null and word-less items have no windows; items with
 equal texts are all reported; a repeated item_id is reported once; null item_ids are left out of the item list but
-their windows hit; an empty benchmark contaminates nothing; repeated documents are separate rows; other columns are ignored.
+their windows hit; an empty benchmark contaminates nothing; repeated documents are separate rows; other
+columns pass through, but columns with the names of results are replaced by them.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facetry.llm.common import table
 
@@ -119,29 +121,33 @@ def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+FOUND = T.StructType(
+    [
+        T.StructField("n_words", T.LongType()),
+        T.StructField("n_hit", T.LongType()),
+        T.StructField("items", T.ArrayType(T.StringType())),
+        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+    ]
+)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = AUTOMATON_BYTES) -> DataFrame:
     """All columns of ``docs`` with ``n_words``, ``n_hit``, ``items`` (sorted item ids found) and ``spans`` of hit text."""
     blocks = pattern_blocks(benchmark, window, block_bytes)
-    clash = {"n_words", "n_hit", "items", "spans"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"rename the columns {sorted(clash)} first")
-    names = docs.columns
+    docs = docs.select(*[c for c in docs.columns if c not in FOUND.names])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = automata(blocks)
-        for df in batches:
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+        for batch in batches:
             rows = []
-            for t in df[text]:
+            for t in batch.column(text).to_pylist():
                 n, hit, items = scan(t, machines)
                 rows.append((n, len(hit), sorted(items), [{"start": a, "end": b} for a, b in spans(t, hit)] if len(hit) else []))
-            out = pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"], index=df.index)
-            yield pd.concat([df[names], out], axis=1)
+            made = [pa.array([r[i] for r in rows], type=kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *FOUND.names])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInPandas(run, f"{schema}, {SCHEMA}")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *FOUND.fields]))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

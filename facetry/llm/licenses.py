@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm.common import materialize, table
+from facetry.llm.common import filled, materialize, table, unfilled
 
 MIN_SHARED = 3
 LEAST = 0.7
@@ -146,8 +146,9 @@ def scan(docs: DataFrame) -> DataFrame:
                 rows.append((doc, path, best[1] if hit else None, -best[0] if hit else None, best[2] if hit else None))
             yield pd.DataFrame(rows, columns=["doc_id", "path", "licence", "score", "line"]).astype({"doc_id": "Int64", "line": "Int64"})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "path", "text")
-    return materialize(rows.mapInPandas(score, "doc_id long, path string, licence string, score double, line int"))
+    rows = docs.select(filled("doc_id").alias("doc_id"), "path", "text")
+    made = rows.mapInPandas(score, "doc_id long, path string, licence string, score double, line int")
+    return materialize(made.select(unfilled("doc_id"), *made.columns[1:]))
 
 
 def _folder(path: Column) -> Column:

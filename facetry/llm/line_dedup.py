@@ -11,7 +11,7 @@ accounts for more than ``DOMINANCE`` of its documents. So lines of a text that w
 finding copies is the task of near-duplicate detection), and boilerplate put into unrelated texts goes. Each document counts once per template.
 
 Texts are known by a 64-bit hash in the counts. Defined results: a null text stays null; blank lines stay; an empty table gives no rows; repeated
-rows get the same result; other columns pass through unchanged (``n_lines`` and ``n_dropped`` may not exist before).
+rows get the same result; other columns pass through, but ``n_lines`` and ``n_dropped`` are replaced.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ def recurring(met: DataFrame, min_docs: int = MIN_DOCS, dominance: float = DOMIN
 
 def line_dedup(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, dominance: float = DOMINANCE) -> DataFrame:
     """``docs`` with recurring lines cut out of ``text``, and ``n_lines`` and ``n_dropped`` of each row."""
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -90,7 +90,7 @@ def line_dedup(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, do
     hashed = F.xxhash64(text)
     met = materialize(docs.select(hashed.alias("h"), F.col(text).alias("text")).mapInPandas(find, "g long, h long, around long"))
     again = materialize(recurring(met, min_docs, dominance))
-    cut = met.select("g", "h").join(again, "g").distinct().groupBy("h").agg(F.collect_set("g").alias("_cut"))  # at most the templates of one text
+    cut = met.select("g", "h").join(again, "g").distinct().groupBy("h").agg(F.collect_set("g").alias("__cut"))  # at most the templates of one text
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
     def apply(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
@@ -105,8 +105,8 @@ def line_dedup(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, do
             out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
-    made = docs.withColumn("_h", hashed).join(cut.withColumnRenamed("h", "_h"), "_h", "left").withColumn("_new", apply(F.col(text), F.col("_cut")))
-    return made.select(*[F.col("_new.text").alias(text) if c == text else F.col(c) for c in names], "_new.n_lines", "_new.n_dropped")
+    made = docs.select(*names).withColumn("__h", hashed).join(cut.withColumnRenamed("h", "__h"), "__h", "left").withColumn("__new", apply(F.col(text), F.col("__cut")))
+    return made.select(*[F.col("__new.text").alias(text) if c == text else F.col(c) for c in names], "__new.n_lines", "__new.n_dropped")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

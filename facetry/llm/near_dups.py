@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm.common import materialize, table, uint64_mix
+from facetry.llm.common import filled, materialize, table, uint64_mix, unfilled
 
 HASHES = 128
 ROWS = 4
@@ -111,9 +111,10 @@ def sketch(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n", "f1", "f2", "sig"])
             out.insert(0, "h", df["h"].to_numpy())
             out.insert(0, "doc_id", df["doc_id"].to_numpy())
-            yield out.astype({"doc_id": "Int64"})
+            yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, h long, n long, f1 long, f2 long, sig binary")
+    made = docs.select(filled(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, h long, n long, f1 long, f2 long, sig binary")
+    return made.select(unfilled("doc_id"), "h", "n", "f1", "f2", "sig")
 
 
 def buckets(nodes: DataFrame) -> DataFrame:

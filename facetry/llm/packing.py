@@ -30,10 +30,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.llm.common import WORK, hash_bucket, materialize, slots_for, table, with_rank
+from facetry.llm.common import WORK, filled, hash_bucket, materialize, slots_for, table, unfilled, with_rank
 
 CAPACITY = 2048
 END_ID = 0
@@ -63,6 +64,7 @@ def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
 def to_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 and, if asked, the token ids."""
     kind = dict(docs.dtypes)[id_col]
+    kept = "bigint" if kind in ("int", "smallint", "tinyint") else kind
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer).encode_ordinary
@@ -75,8 +77,10 @@ def to_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
                     rows.append((doc, i, start, length, zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if with_ids else [])))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    schema = f"doc_id {kept}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
+    number = kind in ("bigint", "int", "smallint", "tinyint")
+    made = docs.select((filled(id_col) if number else F.col(id_col)).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return made.select(unfilled("doc_id"), *made.columns[1:]) if number else made
 
 
 def knapsack(prices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,14 +233,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, bucket_rows: int = WORK) -
     ranked = with_rank(pieces.withColumn("_b", hash_bucket(h, buckets)), ["length"], "_b", ["doc_id", "piece", "ids_crc32"], "_rank").drop("_b")
     names = [c for c in ranked.columns if c != "_rank"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            if len(df):
-                seq, off = plan.place(df["length"].to_numpy(), df["_rank"].to_numpy())
-                yield df[names].assign(sequence_id=seq, offset=off)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                seq, off = plan.place(batch.column("length").to_numpy(), batch.column("_rank").to_numpy())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields if f.name != "_rank")
-    return ranked.mapInPandas(run, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
 def sequences(packed_with_ids: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetry.llm.common import materialize, table, uint64_mix
+from facetry.llm.common import filled, materialize, table, uint64_mix, unfilled
 
 BLOCK_BYTES = 16 << 20  # text per block
 BLOB_BYTES = 4 << 20
@@ -204,7 +204,7 @@ def _packed(rows: DataFrame) -> DataFrame:
         for df in batches:
             made = []
             for block, g in df.groupby("block"):
-                ids = [None if pd.isna(i) else int(i) for i in g["doc_id"]]
+                ids = g["doc_id"].tolist()
                 data = [None if t is None else t.encode("utf-8", "surrogatepass") for t in g["text"]]
                 size = np.cumsum([len(x or b"") for x in data]) // BLOB_BYTES
                 for s in np.unique(size):
@@ -213,7 +213,7 @@ def _packed(rows: DataFrame) -> DataFrame:
                     made.append((block, pick(ids), pick(g["h"].tolist()), pick(g["lang"].tolist()), pick(g["role"].tolist()), [-1 if x is None else len(x) for x in pick(data)], z.compress(b"".join(x or b"" for x in pick(data)))))
             yield pd.DataFrame(made, columns=["block", "ids", "hs", "langs", "roles", "sizes", "body"])
 
-    return rows.mapInPandas(run, _PACKED)
+    return rows.withColumn("doc_id", filled("doc_id")).mapInPandas(run, _PACKED)
 
 
 def _score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -241,8 +241,7 @@ def _score(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
                     keys, logp = by_lang[lang]
                     total = np.add.reduceat(logp[np.searchsorted(keys, packed)], np.cumsum(size) - size)
                 out += [(ids[i], hs[i], lang, int(roles[i]), int(n), t) for i, n, t in zip(at[a:b], size, total)]
-    made = pd.DataFrame(out, columns=["doc_id", "h", "lang", "role", "n_units", "logp"])
-    return made.astype({"doc_id": "Int64"})
+    return pd.DataFrame(out, columns=["doc_id", "h", "lang", "role", "n_units", "logp"])
 
 
 def _look_up(asked: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
@@ -274,7 +273,8 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     asked = held.select("block", "lang", "shard", "keys", F.pmod("block", F.lit(salts)).cast("int").alias("salt"))
     at = ["lang", "shard", "salt"]
     known = asked.groupBy(*at).cogroup(salted.groupBy(*at)).applyInPandas(_look_up, "block long, lang string, keys array<bigint>, logps array<float>")
-    return _packed(rows).groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_score, SCORES)
+    scored = _packed(rows).groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_score, SCORES)
+    return scored.select(unfilled("doc_id"), *scored.columns[1:])
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:

@@ -59,6 +59,10 @@ def test_against_brute_force(spark, tmp_path):
 def test_repeats_nulls_and_empty(spark, tmp_path):
     docs = fixtures.docs(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None, None, "q"], ids=[1, 1, None, None, 4, 5])
     tables = {"labels": spark.createDataFrame([], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([], "item_id long, text string")}
+    for name in ("_h", "n_hit", "g", "n_lines", "h.x"):  # names that operators use inside
+        docs = docs.withColumn(name, F.lit(7))
+    big = 2**62 + 1
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") == 5, F.lit(big)).otherwise(F.col("doc_id"))).coalesce(1)
     got = corpus_pipeline.run(spark, fixtures.write(spark, tmp_path, documents=docs, **tables))
-    assert sorted((r["doc_id"] for r in got.collect()), key=str) == sorted([1, None, 4, 5], key=str)
+    assert sorted((r["doc_id"] for r in got.collect()), key=str) == sorted([1, None, 4, big], key=str)
     assert corpus_pipeline.run(spark, fixtures.write(spark, tmp_path / "e", documents=docs.filter(F.lit(False)), **tables)).count() == 0
