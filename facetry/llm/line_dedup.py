@@ -92,21 +92,26 @@ def line_dedup(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, do
     again = materialize(recurring(met, min_docs, dominance))
     cut = met.select("g", "h").join(again, "g").distinct().groupBy("h").agg(F.collect_set("g").alias("__cut"))  # at most the templates of one text
 
-    @F.pandas_udf("text string, n_lines long, n_dropped long")
+    @F.pandas_udf("text string, n_dropped long")
     def apply(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
         out = []
         for t, gone in zip(texts, cuts):
-            lines = t.split("\n") if t is not None else []
-            if gone is None or not len(gone):
-                out.append((t, len(lines), 0))
+            if t is None:
+                out.append((None, 0))
                 continue
+            lines = t.split("\n")
             gone = {int(x) & (2**64 - 1) for x in gone}
             kept = [x for x in lines if gone.isdisjoint(templates(x))]
-            out.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
-        return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
-
-    made = docs.select(*names).withColumn("__h", hashed).join(cut.withColumnRenamed("h", "__h"), "__h", "left").withColumn("__new", apply(F.col(text), F.col("__cut")))
-    return made.select(*[F.col("__new.text").alias(text) if c == text else F.col(c) for c in names], "__new.n_lines", "__new.n_dropped")
+            out.append(("\n".join(kept), len(lines) - len(kept)))
+        return pd.DataFrame(out, columns=["text", "n_dropped"])
+
+    made = docs.select(*names).withColumn("__h", hashed).join(cut.withColumnRenamed("h", "__h"), "__h", "left")
+    touched = F.col("__cut").isNotNull()  # other texts do not travel to Python
+    made = made.withColumn("__new", apply(F.when(touched, F.col(text)), F.col("__cut")))
+    new_text = F.when(touched, F.col("__new.text")).otherwise(F.col(text)).alias(text)
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1)
+    n_dropped = F.when(touched, F.col("__new.n_dropped")).otherwise(0).cast("long").alias("n_dropped")
+    return made.select(*[new_text if c == text else F.col(f"`{c}`") for c in names], n_lines.cast("long").alias("n_lines"), n_dropped)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
