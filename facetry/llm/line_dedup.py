@@ -31,6 +31,7 @@ DEPTH = 2
 LEAST_TOKENS = 8
 MIN_DOCS = 10
 DOMINANCE = 0.5
+FLUSH = 100_000  # rows that a task holds before it hands them on
 _DIGIT = re.compile("[0-9]")
 _FIELD = re.compile(r"[^\s]*[0-9][^\s]*")
 _ANY = "\x00"
@@ -56,8 +57,8 @@ def templates(line: str) -> list[int]:
     return out
 
 
-def _met(text: str | None) -> list[tuple[int, int]]:
-    """(template, neighbours) of each template of a text, at its first place."""
+def _met(text: str | None) -> dict[int, int]:
+    """Neighbours of each template of a text, at its first place."""
     each = [t for t in map(templates, text.split("\n")) if t] if text else []
     seen: dict[int, int] = {}
     for i, own in enumerate(each):
@@ -67,7 +68,12 @@ def _met(text: str | None) -> list[tuple[int, int]]:
         for g in own:
             if g not in seen:
                 seen[g] = around
-    return list(seen.items())
+    return seen
+
+
+def _frame(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    h = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
+    return pd.DataFrame({"g": np.concatenate([f[1] for f in found]).view(np.int64), "h": h, "around": np.concatenate([f[2] for f in found]).view(np.int64)})
 
 
 def recurring(met: DataFrame, min_docs: int = MIN_DOCS, dominance: float = DOMINANCE) -> DataFrame:
@@ -83,9 +89,17 @@ def line_dedup(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, do
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            rows = [(g, h, around) for h, t in zip(df["h"].tolist(), df["text"]) for g, around in _met(t)]
-            g, h, around = np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.uint64)
-            yield pd.DataFrame({"g": g.view(np.int64), "h": h, "around": around.view(np.int64)})
+            found, size = [], 0
+            for h, t in zip(df["h"].tolist(), df["text"]):
+                seen = _met(t)
+                if seen:
+                    found.append((h, np.fromiter(seen, np.uint64, len(seen)), np.fromiter(seen.values(), np.uint64, len(seen))))
+                    size += len(seen)
+                if size >= FLUSH:
+                    yield _frame(found)
+                    found, size = [], 0
+            if found:
+                yield _frame(found)
 
     hashed = F.xxhash64(text)
     met = materialize(docs.select(hashed.alias("h"), F.col(text).alias("text")).mapInPandas(find, "g long, h long, around long"))
