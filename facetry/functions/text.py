@@ -47,6 +47,12 @@ def stem(path, extension: str = ".pdb") -> Column:
     return F.regexp_replace(base_name(path), extension.replace(".", "\\.") + "$", "")
 
 
+def owner(path: Column | str, ext: str = ".pdb") -> Column:
+    """Whose file it is: the value of a ``key=value`` folder that holds it, as the writers lay files out, else the file's name."""
+    folder = F.regexp_extract(path, r"/[^/=]+=([^/=]+)/[^/]*$", 1)
+    return F.when(folder != "", folder).otherwise(stem(path, ext))
+
+
 def collapse_gaps(s) -> Column:
     return F.regexp_replace(_c(s), "-+", "-")
 

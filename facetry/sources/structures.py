@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetry.functions.text import RESIDUE_LETTERS, atom_key_parts, stem
+from facetry.functions.text import RESIDUE_LETTERS, atom_key_parts, owner, stem
 from facetry.operators.scale import SEGMENT_ROWS
 from facetry.operators.sequence import model_numbers
 
@@ -37,7 +37,7 @@ def atoms(spark: SparkSession, path: str, glob: str = "*.pdb", segment_rows: int
     name = _field(12, 16)
     element = F.when(_field(76, 78) != "", F.initcap(_field(76, 78))).otherwise(F.upper(F.regexp_extract(name, "[A-Za-z]", 0)))
     return src.select(
-        stem("file").alias("structure_id"),
+        owner("file").alias("structure_id"),
         "model",
         raw(21, 22).alias("chain"),
         _field(22, 26).try_cast("int").alias("resid"),
@@ -55,13 +55,13 @@ def atoms(spark: SparkSession, path: str, glob: str = "*.pdb", segment_rows: int
 def nonstandard_residues(spark: SparkSession, path: str, glob: str = "*.pdb") -> DataFrame:
     """Residue names of the sequence records that are none of the twenty."""
     seq = lines(spark, path, glob).filter(F.col("value").startswith("SEQRES"))
-    names = seq.select(stem("file").alias("structure_id"), F.explode(F.split(F.trim(F.substring("value", 20, 61)), "\\s+")).alias("resname"))
+    names = seq.select(owner("file").alias("structure_id"), F.explode(F.split(F.trim(F.substring("value", 20, 61)), "\\s+")).alias("resname"))
     return names.filter((F.col("resname") != "") & ~F.col("resname").isin(list(RESIDUE_LETTERS))).distinct()
 
 
 def mesh_text(spark: SparkSession, path: str, glob: str = "*.ply") -> tuple[DataFrame, DataFrame]:
     """ASCII meshes with a property header: vertices (missing attributes are 0) and faces."""
-    text = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(stem("_metadata.file_path", ".ply").alias("protein_id"), "value")
+    text = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(owner("_metadata.file_path", ".ply").alias("protein_id"), "value")
     parts = F.split("value", "end_header\\s*\n", 2)
     head = F.split(parts[0], "element face")[0]
     m = text.select(
