@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from facetry import fixtures
 from facetry.catalog.registry import ATOMS, query, lattice_sql, r6
 from facetry.session import checkpoint_root
+from facetry.sinks.tables import rmsd_json
 from facetry.sinks.text import atom_line, write_files, write_meshes
 from facetry.sources import structures, tables
 
@@ -19,13 +20,14 @@ def _folder(spark, what: str) -> str:
 
 @query(
     "structure_file_roundtrip",
-    "WITH " + ATOMS + """ SELECT protein_id::VARCHAR AS structure_id, chain, (resid % 10000)::INT AS resid, CASE WHEN vix % 7 = 0 THEN 'H_LIG' ELSE ' ' END AS hetflag, atom, element,
+    "WITH " + ATOMS + """ SELECT (vix // 100)::VARCHAR AS structure_id, chain, (resid % 10000)::INT AS resid, CASE WHEN vix % 7 = 0 THEN 'H_LIG' ELSE ' ' END AS hetflag, atom, element,
   round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y, round(z, 3) + 0.0 AS z, vix % 2 AS model FROM atm""",
 )
 def structure_file_roundtrip(spark, sf):
-    """One file per protein with two models, atoms and hetero atoms; the fixed columns come back."""
+    """One file per hundred atoms with two models, atoms and hetero atoms; the fixed columns come back."""
     a = fixtures.atoms(spark, sf).withColumns(
         {
+            "protein_id": F.expr("vix div 100"),
             "hetflag": F.when(F.col("vix") % 7 == 0, F.lit("H_LIG")).otherwise(F.lit(" ")),
             "resname": F.when(F.col("vix") % 7 == 0, F.lit("LIG")).otherwise(F.lit("ALA")),
             "resid": F.col("resid") % 10000,
@@ -105,3 +107,50 @@ def score_file_roundtrip(spark, sf):
     write_files(rows.unionByName(heads), path, "key", ["part", "description"])
     got = tables.score_table(spark, path, ["ddG", "sasa"], repair=True, glob="*.txt", path_pattern=r"key=(\d+)()/")
     return got.select("seed", "description", r6("ddG"), r6("sasa"))
+
+
+@query("sequence_records", "SELECT DISTINCT (p_partkey // 50)::VARCHAR AS structure_id, ['MSE','SEP','TPO'][(p_partkey % 4)::INT] AS resname FROM part WHERE p_partkey % 4 <> 0")
+def sequence_records(spark, sf):
+    """Residue names of sequence records that are none of the twenty."""
+    p = fixtures.table(spark, sf, "part")
+    name = F.element_at(F.array(*[F.lit(n) for n in ("ALA", "MSE", "SEP", "TPO")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    line = F.format_string("SEQRES %3d A %4d  ALA %s GLY", (F.col("p_partkey") % 1000).cast("int"), F.lit(3), name)
+    path = _folder(spark, "sequences")
+    write_files(p.select(F.expr("p_partkey div 50").alias("key"), "p_partkey", line.alias("value")), path, "key", ["p_partkey"])
+    return structures.nonstandard_residues(spark, path, "*.txt")
+
+
+@query("charge_file_roundtrip", "WITH " + lattice_sql() + " SELECT protein_id::VARCHAR AS protein_id, row_number() OVER (PARTITION BY protein_id ORDER BY vix) - 1 AS vix, round(charge, 6) + 0.0 AS charge FROM lat")
+def charge_file_roundtrip(spark, sf):
+    """Electrostatics files in vertex order: the line gives the vertex."""
+    v = fixtures.lattice_vertices(spark, sf)
+    path = _folder(spark, "charges")
+    v.repartition("protein_id").sortWithinPartitions("protein_id", "vix").select("protein_id", "x", "y", "z", "charge").write.partitionBy("protein_id").csv(path)
+    got = structures.charges(spark, path)
+    return got.select("protein_id", F.col("vix").cast("long").alias("vix"), r6("charge"))
+
+
+@query(
+    "chain_accession_json",
+    "SELECT 'P' || s_suppkey // 8 AS pdb_id, chr((65 + s_suppkey % 3)::INT) AS chain, 'Q' || min(s_suppkey) AS accession FROM supplier GROUP BY s_suppkey // 8, s_suppkey % 3",
+)
+def chain_accession_json(spark, sf):
+    """Nested accession mappings as text, one document per structure; the first accession that lists a chain wins."""
+    s = fixtures.table(spark, sf, "supplier")
+    chain = F.char((F.col("s_suppkey") % 3 + 65).cast("long"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col("s_suppkey").alias("k"), chain.alias("chain_id"))))  # eight per structure
+    entry = lambda e: F.struct(F.concat(F.lit("Q"), e["k"].cast("string")), F.struct(F.array(F.struct(e["chain_id"].alias("chain_id"))).alias("mappings")))
+    per = s.groupBy(F.expr("s_suppkey div 8").alias("_p")).agg(F.map_from_entries(F.transform(listed, entry)).alias("u"))
+    pdb = F.concat(F.lit("P"), F.col("_p").cast("string"))
+    return tables.chain_accessions(per.select(F.to_json(F.create_map(pdb, F.struct(F.col("u").alias("UniProt")))).alias("value")))
+
+
+@query("rmsd_json_documents", "SELECT 'P' || s_suppkey // 8 AS pdb_id, s_suppkey % 2 + 1 AS interactor, s_suppkey::VARCHAR AS chain, s_acctbal AS rmsd, s_name AS url FROM supplier")
+def rmsd_json_documents(spark, sf):
+    """Fit documents as JSON text and back as rows."""
+    s = fixtures.table(spark, sf, "supplier")
+    fits = s.select(F.concat(F.lit("P"), F.expr("s_suppkey div 8").cast("string")).alias("pdb_id"), (F.col("s_suppkey") % 2 + 1).alias("interactor"), F.col("s_suppkey").cast("string").alias("chain"), F.col("s_acctbal").alias("rmsd"), F.col("s_name").alias("url"))
+    inner = "map<string, struct<rmsd: double, af2_pdb_url: string>>"
+    doc = rmsd_json(fits).select(F.from_json("value", f"pdb_id string, interactor_1 {inner}, interactor_2 {inner}").alias("d"))
+    side = lambda i: doc.select("d.pdb_id", F.lit(i).cast("long").alias("interactor"), F.explode(f"d.interactor_{i}").alias("chain", "m"))
+    return side(1).unionAll(side(2)).select("pdb_id", "interactor", "chain", "m.rmsd", F.col("m.af2_pdb_url").alias("url"))

@@ -115,7 +115,7 @@ def check_counts(spark: SparkSession, path: str, rows: DataFrame, glob: str, ext
 def charges(spark: SparkSession, path: str) -> DataFrame:
     """Electrostatics per vertex by position: x, y, z, value."""
     src = lines(spark, path, "*.csv").filter(F.trim("value") != "")
-    return src.select(stem("file", ".csv").alias("protein_id"), F.col("line_no").alias("vix"), F.split("value", ",")[3].try_cast("double").alias("charge"))
+    return src.select(owner("file", ".csv").alias("protein_id"), F.col("line_no").alias("vix"), F.split("value", ",")[3].try_cast("double").alias("charge"))
 
 
 def with_atom_keys(vertices: DataFrame) -> DataFrame:
