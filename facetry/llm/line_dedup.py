@@ -6,9 +6,11 @@ behind the leading ones as wildcard (odd or even places), or with the first or s
 a template if they agree in all that is left; as the tree is fixed, the result does not depend on the order of lines, and any number of
 tasks can build it at once.
 
-A template recurs if at least ``MIN_DOCS`` documents hold it between different neighbours, and no single pair of neighbours
-accounts for more than ``DOMINANCE`` of its documents. So lines of a text that was copied as a whole stay (their neighbours were copied too;
-finding copies is the task of near-duplicate detection), and boilerplate put into unrelated texts goes. Each document counts once per template.
+A template recurs if the texts that hold it amount to at least ``MIN_DOCS`` independent ones. Where in the text it stands and what its neighbours are does not
+matter, so blocks of many lines go as single lines do. A text counts as 1/q: q is the number of documents that share the rarer lines of the text, up to a
+``1/REST`` of its characters (each line in its most frequent template). A text whose other lines are its own counts in full; n copies of a text, exact or with small edits,
+count as one text together, however many they are (finding copies is the task of near-duplicate detection), and cannot save a line that other texts hold too.
+Texts that share over three quarters of their characters count as copies of each other.
 
 Texts are known by a 64-bit hash in the counts. Defined results: a null text stays null; blank lines stay; an empty table gives no rows; repeated
 rows get the same result; other columns pass through, but ``n_lines`` and ``n_dropped`` are replaced.
@@ -30,7 +32,8 @@ from facetry.llm.common import materialize, table
 DEPTH = 2
 LEAST_TOKENS = 8
 MIN_DOCS = 10
-DOMINANCE = 0.5
+REST = 4
+ONE = 1 << 32  # a text in full, in whole numbers so that sums do not depend on the order
 FLUSH = 100_000  # rows that a task holds before it hands them on
 _DIGIT = re.compile("[0-9]")
 _FIELD = re.compile(r"[^\s]*[0-9][^\s]*")
@@ -57,33 +60,59 @@ def templates(line: str) -> list[int]:
     return out
 
 
-def _met(text: str | None) -> dict[int, int]:
-    """Neighbours of each template of a text, at its first place."""
-    each = [t for t in map(templates, text.split("\n")) if t] if text else []
-    seen: dict[int, int] = {}
-    for i, own in enumerate(each):
-        before = each[i - 1][0] if i else 0
-        after = each[i + 1][0] if i + 1 < len(each) else 0
-        around = (before * 0x9E3779B97F4A7C15 + after * 0xC2B2AE3D27D4EB4F + 1) & (2**64 - 1)
+def _met(text: str | None) -> list[tuple[int, int, int, int]]:
+    """(template, line, characters of the line, 1 at the template's first place) for all different lines of a text."""
+    lines: dict[int, tuple[list[int], int]] = {}
+    for line in text.split("\n") if text else ():
+        own = templates(line)
+        if own:
+            before = lines.get(own[0])
+            lines[own[0]] = (own, len(line) + (before[1] if before else 0))
+    seen: set[int] = set()
+    out = []
+    for i, (own, size) in enumerate(lines.values()):
         for g in own:
-            if g not in seen:
-                seen[g] = around
-    return seen
-
-
-def _frame(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    h = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[1]) for f in found])
-    return pd.DataFrame({"g": np.concatenate([f[1] for f in found]).view(np.int64), "h": h, "around": np.concatenate([f[2] for f in found]).view(np.int64)})
-
-
-def recurring(met: DataFrame, min_docs: int = MIN_DOCS, dominance: float = DOMINANCE) -> DataFrame:
-    """Templates (g) that recur; ``met`` has a row (g, around) per document and template."""
-    pairs = met.groupBy("g", "around").agg(F.count(F.lit(1)).alias("n"))
-    stats = pairs.groupBy("g").agg(F.count(F.lit(1)).alias("contexts"), F.max("n").alias("most"), F.sum("n").alias("docs"))
-    return stats.filter((F.col("contexts") >= min_docs) & (F.col("most") <= dominance * F.col("docs"))).select("g")
+            out.append((g, i, size, int(g not in seen)))
+            seen.add(g)
+    return out
 
 
-def line_dedup(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, dominance: float = DOMINANCE) -> DataFrame:
+def _frame(found: list[tuple[int, list[tuple[int, int, int, int]]]]) -> pd.DataFrame:
+    n = [len(f) for _, f in found]
+    g, line, size, first = zip(*(x for _, f in found for x in f))
+    total = [sum({i: s for _, i, s, _ in f}.values()) for _, f in found]
+    return pd.DataFrame(
+        {
+            "g": np.array(g, np.uint64).view(np.int64),
+            "h": np.repeat(np.array([h for h, _ in found], np.int64), n),
+            "line": np.array(line, np.int32),
+            "size": np.array(size, np.int64),
+            "first": np.array(first, np.int8),
+            "total": np.repeat(np.array(total, np.int64), n),
+        }
+    )
+
+
+def held_weights(met: DataFrame) -> DataFrame:
+    """(h, g, w, docs) of each different text and template that is in two documents at least: documents with that text and what they count for."""
+    often = materialize(met.groupBy("g").agg(F.sum("first").alias("n")).filter("n >= 2"))
+    hits = met.join(often, "g").groupBy("h", "g", "line").agg(F.sum("first").alias("docs"), *[F.first(c).alias(c) for c in ("size", "total", "n")])
+    each = hits.repartition("h").groupBy("h", "line").agg(F.max("n").alias("n"), F.first("size").alias("size"), F.first("total").alias("total"), F.collect_list(F.struct("g", "docs")).alias("gs"))
+    # the lines of one text
+    text = each.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("n", "size", "gs"))).alias("ls"), F.first("total").alias("total"), F.sum("size").alias("met"))
+    start, more = "named_struct('chars', total - met, 'q', 1L)", "named_struct('chars', a.chars + x.size, 'q', x.n)"
+    rarer = F.expr(f"aggregate(ls, {start}, (a, x) -> if(a.chars * {REST} >= total, a, {more})).q")
+    flat = text.select("h", rarer.alias("q"), F.explode(F.flatten(F.col("ls.gs"))).alias("x"))
+    return flat.select("h", "x.g", "x.docs", (F.col("x.docs") * F.expr(f"{ONE} div q")).alias("w"))
+
+
+def recurring(held: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """Templates (g) that recur."""
+    stats = held.groupBy("g").agg(F.sum("w").alias("w"), F.sum("docs").alias("docs"))
+    return stats.filter(F.col("w") + F.col("docs") >= min_docs * ONE).select("g")  # each document was rounded down by less than 1
+
+
+def line_dedup(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with recurring lines cut out of ``text``, and ``n_lines`` and ``n_dropped`` of each row."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
 
@@ -91,10 +120,10 @@ def line_dedup(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, do
         for df in batches:
             found, size = [], 0
             for h, t in zip(df["h"].tolist(), df["text"]):
-                seen = _met(t)
-                if seen:
-                    found.append((h, np.fromiter(seen, np.uint64, len(seen)), np.fromiter(seen.values(), np.uint64, len(seen))))
-                    size += len(seen)
+                rows = _met(t)
+                if rows:
+                    found.append((h, rows))
+                    size += len(rows)
                 if size >= FLUSH:
                     yield _frame(found)
                     found, size = [], 0
@@ -102,9 +131,11 @@ def line_dedup(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, do
                 yield _frame(found)
 
     hashed = F.xxhash64(text)
-    met = materialize(docs.select(hashed.alias("h"), F.col(text).alias("text")).mapInPandas(find, "g long, h long, around long"))
-    again = materialize(recurring(met, min_docs, dominance))
-    cut = met.select("g", "h").join(again, "g").distinct().groupBy("h").agg(F.collect_set("g").alias("__cut"))  # at most the templates of one text
+    schema = "g long, h long, line int, size long, first byte, total long"
+    met = materialize(docs.select(hashed.alias("h"), F.col(text).alias("text")).mapInPandas(find, schema))
+    held = materialize(held_weights(met))
+    again = materialize(recurring(held, min_docs))
+    cut = held.select("g", "h").join(again, "g").groupBy("h").agg(F.collect_set("g").alias("__cut"))  # at most the templates of one text
 
     @F.pandas_udf("text string, n_dropped long")
     def apply(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:

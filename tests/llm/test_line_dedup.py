@@ -71,3 +71,16 @@ def test_query_nulls_and_empty(spark, tmp_path):
     assert len(got) == 20 and sum(r["n_dropped"] for r in got) == 18 >= MIN_DOCS
     assert sorted((r["n_lines"], r["n_chars"]) for r in got if r["doc_id"] is None) == [(0, None), (0, None)]
     assert op4_line_dedup(spark, fixtures.write(spark, tmp_path / "e", documents=docs.limit(0))).count() == 0
+
+
+def own_lines(rng, n):
+    return [" ".join("".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(6)) for _ in range(n)]
+
+
+def test_copies_of_one_text_do_not_save_a_line_elsewhere(spark):
+    rng = random.Random(5)
+    common = "Share this article with your friends"
+    copied = "\n".join([*own_lines(rng, 2), common, *own_lines(rng, 2)])
+    texts = ["\n".join([*own_lines(rng, 2), common, *own_lines(rng, 1)]) for _ in range(30)] + [copied] * 200
+    got = {r["doc_id"]: r for r in line_dedup(fixtures.docs(spark, texts).repartition(5)).collect()}
+    assert all(got[i]["text"] == "\n".join(x for x in t.split("\n") if x != common) for i, t in enumerate(texts))
