@@ -84,3 +84,27 @@ def test_copies_of_one_text_do_not_save_a_line_elsewhere(spark):
     texts = ["\n".join([*own_lines(rng, 2), common, *own_lines(rng, 1)]) for _ in range(30)] + [copied] * 200
     got = {r["doc_id"]: r for r in line_dedup(fixtures.docs(spark, texts).repartition(5)).collect()}
     assert all(got[i]["text"] == "\n".join(x for x in t.split("\n") if x != common) for i, t in enumerate(texts))
+
+
+def test_blocks_of_lines_go_wherever_they_stand(spark):
+    rng = random.Random(6)
+    block = ["Home and News and Contact", "Terms of use apply here", "Written for all our readers", "Follow us on every channel"]
+    texts = []
+    for i in range(36):
+        lines = own_lines(rng, 4)
+        lines[(0, 2, 4)[i % 3] : (0, 2, 4)[i % 3]] = block[: 2 + i % 2 * 2] if i % 3 == 1 else block
+        texts.append("\n".join(lines))
+    for texts in (texts[0::3], texts[1::3], texts[2::3]):  # at the start, inside, at the end
+        got = {r["doc_id"]: r for r in line_dedup(fixtures.docs(spark, texts).repartition(5), min_docs=6).collect()}
+        assert all(got[i]["text"] == "\n".join(x for x in t.split("\n") if x not in block) for i, t in enumerate(texts))
+
+
+def test_copies_with_small_edits_keep_their_lines(spark):
+    rng = random.Random(7)
+    base = own_lines(rng, 10)
+    texts = []
+    for i in range(40):
+        lines = list(base)
+        lines[i % 10] = own_lines(rng, 1)[0]
+        texts.append("\n".join(lines))
+    assert all(r["n_dropped"] == 0 for r in line_dedup(fixtures.docs(spark, texts).repartition(5)).collect())
