@@ -108,3 +108,14 @@ def test_copies_with_small_edits_keep_their_lines(spark):
         lines[i % 10] = own_lines(rng, 1)[0]
         texts.append("\n".join(lines))
     assert all(r["n_dropped"] == 0 for r in line_dedup(fixtures.docs(spark, texts).repartition(5)).collect())
+
+
+def test_long_passages_need_fewer_texts(spark):
+    rng = random.Random(8)
+    passage, middle, short = (" ".join(own_lines(rng, n)) for n in (10, 5, 1))  # 60, 30 and 6 tokens
+    texts = ["\n".join([*own_lines(rng, 8), *[x for x, n in ((passage, 2), (middle, 4), (short, 9)) if i < n], *own_lines(rng, 8)]) for i in range(12)]
+    other = " ".join(own_lines(rng, 10))
+    copied = "\n".join([*own_lines(rng, 2), other])
+    texts += [copied] * 5
+    got = {r["doc_id"]: r for r in line_dedup(fixtures.docs(spark, texts).repartition(5)).collect()}
+    assert all(got[i]["text"] == "\n".join(x for x in t.split("\n") if x not in (passage, middle)) for i, t in enumerate(texts))
