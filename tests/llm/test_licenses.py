@@ -71,3 +71,31 @@ def test_query_nulls_repeats_and_empty(spark, tmp_path):
     got = op10_licenses(spark, fixtures.write(spark, tmp_path, documents=docs)).collect()
     assert sorted(((r["doc_id"], r["licence"], r["source"]) for r in got), key=str) == sorted([(1, "MIT", "own"), (2, "MIT", "inherited"), (2, "MIT", "inherited"), (None, None, "none"), (700, None, "none")], key=str)
     assert op10_licenses(spark, fixtures.write(spark, tmp_path / "e", documents=docs.limit(0))).count() == 0
+
+
+NOTICES = [
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nsome preamble"),
+    ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    (None, "Licensed under CC BY 3.0."),
+    (None, "Licensed under the Foo License."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", TEMPLATES["BSD-3-Clause"][1] + "\n\nRedistributions in binary form must reproduce the above copyright notice."),
+    ("BSD-3-Clause", TEMPLATES["BSD-3-Clause"][1] + "\n\nRedistributions in binary form must reproduce the above copyright notice.\n\nNeither the name may be used to endorse products."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MIT", "Some words about nothing much at all come before it here. Released under the MIT License. More words of the text follow on the very same line."),
+    ("MPL-2.0", "Own words come first in here, quite a few. This Source Code Form is subject to the terms of\nthe Mozilla Public License, v. 2.0. Other words follow again here."),
+]
+
+
+def test_versions_variants_and_sentences(spark):
+    texts = [t for _, t in NOTICES] + ["filler text"] * 200
+    df = spark.createDataFrame([(i, str(i), t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r["doc_id"]: r for r in scan(df.repartition(4)).collect()}
+    assert [got[i]["licence"] for i in range(len(NOTICES))] == [name for name, _ in NOTICES]
+    assert got[0]["opens"] and not got[14]["opens"] and got[14]["line"] == 0
