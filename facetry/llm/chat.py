@@ -1,8 +1,8 @@
 """Chat formatting by schema fingerprints, built from DataFrame functions alone.
 
 Records arrive in different layouts: prompt and response columns, instruction/input/output, or lists of
-messages under several names. The nested field paths that a record really fills are sorted and hashed; the hash picks a
-declarative mapping that turns the record into canonical turns (role, text). A template then writes the turns
+messages under several names. Of the nested field paths (of any depth) that some mapping uses, those that a record really fills
+are sorted and hashed; the hash picks a declarative mapping that turns the record into canonical turns (role, text). A template then writes the turns
 with control strings between them, and escapes control strings inside texts so that they can be read back.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` per turn. A control string inside a text gets a backslash after its first
@@ -11,11 +11,12 @@ text holds a control string and removing one backslash restores it. In roles ``&
 
 Defined results: null texts and roles are empty; turns are ordered by (turn, role, text) with null turns first, ties
 and repeated rows stay as separate turns; a record whose paths match no mapping gets layout null and null turns (never
-dropped); an empty table gives no rows; other columns are ignored.
+dropped); an empty table gives no rows; other columns, and fields of items or structures that no mapping uses, are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
@@ -53,7 +54,7 @@ def _role_back(role: Column) -> Column:
 
 @dataclass(frozen=True)
 class Mapping:
-    """``fields`` gives (role, path) pairs in order; or ``items`` names a list with a role and a text field."""
+    """``fields`` gives (role, path) pairs in order; or ``items`` is the path of a list with a role and a text field. Paths into structures have dots."""
 
     name: str
     fields: tuple[tuple[str, str], ...] = ()
@@ -63,6 +64,10 @@ class Mapping:
     text: str = ""
     roles: dict[str, str] = field(default_factory=dict)
 
+    def paths(self) -> frozenset[str]:
+        """All paths that this mapping uses."""
+        return frozenset().union(*self.path_sets())
+
     def path_sets(self) -> list[frozenset[str]]:
         """Every set of filled paths that this mapping takes."""
         if self.items:
@@ -83,27 +88,34 @@ MAPPINGS = (
 )
 
 
-def _has(name: str):
-    return lambda item: item[name].isNotNull()
+def _walk(kind: T.DataType, path: str) -> Iterator[tuple[str, Callable[[Column], Column]]]:
+    """(path, test whether a value fills it) of a field and all fields below it; fields of list items as ``name[].field``."""
+    yield path, lambda c: c.isNotNull()
+    if isinstance(kind, T.StructType):
+        for f in kind.fields:
+            for p, test in _walk(f.dataType, f"{path}.{f.name}"):
+                yield p, lambda c, test=test, name=f.name: test(c.getField(name))
+    elif isinstance(kind, T.ArrayType):
+        for p, test in _walk(kind.elementType, f"{path}[]"):
+            yield p, lambda c, test=test: F.exists(c, lambda item: test(item))
+
+
+def _tests(schema: T.StructType, used: frozenset[str]) -> dict[str, Column]:
+    """Tests of the paths in ``used`` that the schema has."""
+    return {p: test(F.col(f"`{f.name}`")) for f in schema.fields for p, test in _walk(f.dataType, f.name) if p in used}
 
 
-def _filled(schema: T.StructType) -> Column:
-    """Sorted names of the fields that a record fills; list fields as ``name[].field``."""
-    found = []
-    for f in schema.fields:
-        at = F.col(f.name)
-        found.append(F.when(at.isNotNull(), F.lit(f.name)))
-        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
-            for g in f.dataType.elementType.fields:
-                found.append(F.when(F.exists(at, _has(g.name)), F.lit(f"{f.name}[].{g.name}")))
-        elif isinstance(f.dataType, T.StructType):
-            found += [F.when(at[g.name].isNotNull(), F.lit(f"{f.name}.{g.name}")) for g in f.dataType.fields]
-    return F.array_sort(F.array_compact(F.array(*found)))
+def fingerprint(schema: T.StructType, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    """Hash of the nested paths that a record fills, of those that a mapping uses."""
+    tests = _tests(schema, frozenset().union(*[m.paths() for m in mappings]))
+    filled = F.array_compact(F.array(*[F.when(test, F.lit(p)) for p, test in tests.items()], F.lit(None).cast("string")))
+    return F.sha2(F.array_join(F.array_sort(filled), "\n"), 256)
 
 
-def fingerprint(schema: T.StructType) -> Column:
-    """Hash of the nested paths that a record fills."""
-    return F.sha2(F.array_join(_filled(schema), "\n"), 256)
+def _below(item: Column, path: str) -> Column:
+    for name in path.split("."):
+        item = item.getField(name)
+    return item
 
 
 def _known(mapping: Mapping) -> list[Column]:
@@ -114,7 +126,7 @@ def _turns(mapping: Mapping, present: set[str]) -> Column:
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     if mapping.items:
         renamed = lambda r: F.coalesce(F.create_map(*[F.lit(x) for kv in mapping.roles.items() for x in kv])[r], r) if mapping.roles else r
-        return F.transform(mapping.items, lambda m: F.struct(text(renamed(m[mapping.role])).alias("role"), text(m[mapping.text]).alias("text")))
+        return F.transform(mapping.items, lambda m: F.struct(text(renamed(_below(m, mapping.role))).alias("role"), text(_below(m, mapping.text)).alias("text")))
     each = [F.when(F.col(p).isNotNull(), F.struct(F.lit(r).alias("role"), text(F.col(p)).alias("text"))) for r, p in mapping.fields if p in present]
     return F.array_compact(F.array(*each))
 
@@ -122,9 +134,9 @@ def _turns(mapping: Mapping, present: set[str]) -> Column:
 def canonical_turns(records: DataFrame, key: list[str], mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """``key`` columns, ``fingerprint``, ``layout`` and ``turns`` of every record; unfilled fields have to be null."""
     schema = T.StructType([f for f in records.schema.fields if f.name not in key])
-    present = {f.name for f in schema.fields}
-    usable = [m for m in mappings if (m.items or not m.fields) and m.items in present or m.fields and {p for _, p in m.fields} - m.optional <= present]
-    out = records.withColumn("_fp", fingerprint(schema))
+    present = set(_tests(schema, frozenset().union(*[m.paths() for m in mappings])))
+    usable = [m for m in mappings if m.paths() - m.optional <= present]
+    out = records.withColumn("_fp", fingerprint(schema, mappings))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for m in usable:
         hit = F.col("_fp").isin(*[k for k in _known(m)])

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facetry.llm.chat import CONTROL, canonical_turns, escape, formatted, op7_chat_formatting, read_back, unescape
+from facetry.llm.chat import CONTROL, Mapping, canonical_turns, escape, formatted, op7_chat_formatting, read_back, unescape
 from tests.llm import fixtures
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -65,3 +65,30 @@ def test_query_against_brute_force(spark, tmp_path):
         assert got[conv]["loss_chars"] == len(loss) and got[conv]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
     empty = op7_chat_formatting(spark, fixtures.write(spark, tmp_path / "e", conversations=spark.createDataFrame([], TURNS)))
     assert [r["conv_id"] for r in empty.collect()] == [-1]
+
+
+def test_further_filled_fields_do_not_hide_a_layout(spark):
+    item = "struct<role:string,content:string,name:string,weight:double,meta:struct<tags:array<struct<k:string>>>>"
+    schema = f"k long, prompt string, response string, system string, instruction string, input string, output string, messages array<{item}>, conversations array<struct<from:string,value:string,weight:int>>, id string, source string, category string, text string, meta struct<a:struct<b:string>,tags:array<string>>"
+    more = {"id": "i", "source": "s", "category": "c", "text": "whole text", "meta": (("b",), ["t"])}
+    none = dict.fromkeys([f.name for f in T._parse_datatype_string(schema).fields])
+    made = [
+        {"k": 0, "prompt": "q", "response": "a"},
+        {"k": 1, "messages": [("user", "q", "n", 1.0, ([("x",)],)), ("assistant", "a", None, 0.0, None)]},
+        {"k": 2, "conversations": [("human", "q", 1), ("gpt", "a", None)]},
+        {"k": 3, "instruction": "q", "output": "a"},
+        {"k": 4, "instruction": "q", "input": "x", "output": "a"},
+        {"k": 5, "system": "s", "prompt": "q", "response": "a"},
+    ]
+    df = spark.createDataFrame([tuple({**none, **more, **m}.values()) for m in made], schema)
+    got = {r["k"]: [tuple(t) for t in r["turns"] or ()] for r in canonical_turns(df, ["k"]).collect()}
+    qa = [("user", "q"), ("assistant", "a")]
+    assert got == {0: qa, 1: qa, 2: qa, 3: qa, 4: [("user", "q"), ("user", "x"), ("assistant", "a")], 5: [("system", "s"), *qa]}
+
+
+def test_paths_of_any_depth(spark):
+    rows = [(1, (([(("user",), "q"), (("assistant",), "a")],), None)), (2, (None, ("q", "a")))]
+    df = spark.createDataFrame(rows, "k long, data struct<log:struct<turns:array<struct<by:struct<role:string>,text:string>>>,pair:struct<ask:string,say:string>>")
+    deep = (Mapping("deep", items="data.log.turns", role="by.role", text="text"), Mapping("pair", fields=(("user", "data.pair.ask"), ("assistant", "data.pair.say"))))
+    got = {r["k"]: (r["layout"], [tuple(t) for t in r["turns"] or ()]) for r in canonical_turns(df, ["k"], deep).collect()}
+    assert got == {1: ("deep", [("user", "q"), ("assistant", "a")]), 2: ("pair", [("user", "q"), ("assistant", "a")])}
