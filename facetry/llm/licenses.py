@@ -270,9 +270,27 @@ def inherited(scanned: DataFrame, is_licence_file: Column) -> DataFrame:
     )
 
 
+def laid_out(place: Column, doc_id: Column, opens: Column) -> Column:
+    """Path of a document of ``place`` (source, lang): files lie in source/lang/(id div 500), each fourth one a directory (id div 50) deeper;
+    documents that open with a statement are licence files, most of them there, some in source/lang or in source."""
+    number = lambda n: F.coalesce(F.expr(f"doc_id div {n}").cast("string"), F.lit("-"))
+    source, lang, name = place[0], place[1], F.coalesce(doc_id.cast("string"), F.lit("-"))
+    licence = F.concat(F.lit("LICENSE."), name)
+    leaf = F.concat_ws("/", source, lang, number(500))
+    return (
+        F.when(opens & (F.pmod(doc_id, F.lit(50)) == 0), F.concat_ws("/", source, licence))
+        .when(opens & (F.pmod(doc_id, F.lit(10)) == 5), F.concat_ws("/", source, lang, licence))
+        .when(opens, F.concat_ws("/", leaf, licence))
+        .when(F.pmod(doc_id, F.lit(4)) == 3, F.concat_ws("/", leaf, number(50), name))
+        .otherwise(F.concat_ws("/", leaf, name))
+    )
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files source/lang/(id div 500)/id; one whose best match is its opening line or sentence is the licence file of its directory."""
+    """Documents as files in directories of several depths; those whose best match is their opening line or sentence are licence files."""
     docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.expr("doc_id div 500"), F.lit(-1)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
-    got = inherited(scan(docs.select("doc_id", path.alias("path"), "text")), F.col("opens"))
+    place = F.concat_ws("\x00", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")))
+    scanned = scan(docs.select("doc_id", place.alias("path"), "text"))
+    path = laid_out(F.split("path", "\x00"), F.col("doc_id"), F.col("opens"))
+    got = inherited(scanned.withColumn("path", path), F.col("path").rlike(LICENCE_FILE))
     return got.select("doc_id", "licence", F.round("score", 6).alias("score"), "source", "from_dir")

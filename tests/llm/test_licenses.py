@@ -99,3 +99,13 @@ def test_versions_variants_and_sentences(spark):
     got = {r["doc_id"]: r for r in scan(df.repartition(4)).collect()}
     assert [got[i]["licence"] for i in range(len(NOTICES))] == [name for name, _ in NOTICES]
     assert got[0]["opens"] and not got[14]["opens"] and got[14]["line"] == 0
+
+
+def test_query_inherits_from_directories_of_all_depths(spark, tmp_path):
+    texts = {1: "Released under the MIT License.\nbody", 2: "plain", 3: "deep", 505: "Licensed under CC BY 4.0.\nbody", 1002: "plain", 5050: "All rights reserved.\nbody", 7: "other language"}
+    docs = fixtures.docs(spark, list(texts.values()), ids=list(texts), lang=["en"] * 6 + ["de"])
+    got = {r["doc_id"]: (r["licence"], r["source"], r["from_dir"]) for r in op10_licenses(spark, fixtures.write(spark, tmp_path, documents=docs)).collect()}
+    assert got[2] == got[3] == ("MIT", "inherited", "s/en/0")
+    assert got[1002] == ("CC-BY-4.0", "inherited", "s/en")
+    assert got[7] == ("Proprietary", "inherited", "s")
+    assert (got[1][:2], got[505][:2], got[5050][:2]) == (("MIT", "own"), ("CC-BY-4.0", "own"), ("Proprietary", "own"))
