@@ -92,20 +92,30 @@ def _placed(vectors: DataFrame, dim: int, trees: range, route: int, keep: list[s
     return vectors.select(*keep).mapInPandas(run, ", ".join(f"{c} {types[c]}" for c in keep) + ", tree int, array long, string long")
 
 
-def _top(queries: np.ndarray, entries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of all queries with all entries and the places of the best ``k`` of each."""
+def _top(queries: np.ndarray, entries: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, entries and scores of the best ``k`` entries of each query, smaller ``ids`` first among equal scores."""
     score = queries @ entries.T
-    if score.shape[1] <= k:
-        return score, np.broadcast_to(np.arange(score.shape[1]), score.shape)
-    return score, np.argpartition(-score, k - 1, axis=1)[:, :k]
+    least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k] if score.shape[1] > k else np.full(len(score), -np.inf)
+    row, at = np.nonzero(score >= least[:, None])
+    value = score[row, at]
+    order = np.lexsort((ids[at], -value, row))
+    row, at, value = row[order], at[order], value[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], at[keep], value[keep]
 
 
-FOUND = "query long, class long, score double"
+FOUND = "query long, class long, id long, score double"
 
 
-def _frame(q: list, c: list, s: list) -> pd.DataFrame:
+def _frame(q: list, c: list, i: list, s: list) -> pd.DataFrame:
     cat = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, dtype=kind)
-    return pd.DataFrame({"query": cat(q, np.int64), "class": cat(c, np.int64), "score": cat(s, np.float64)})
+    return pd.DataFrame({"query": cat(q, np.int64), "class": cat(c, np.int64), "id": cat(i, np.int64), "score": cat(s, np.float64)})
+
+
+def _sorted(entries: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Strings in order, classes, their smallest ids and vectors."""
+    order = np.argsort(entries["string"].to_numpy(), kind="stable")
+    return entries["string"].to_numpy()[order], entries["class"].to_numpy()[order], entries["id"].to_numpy()[order], _read(entries["vector"], dim)[order]
 
 
 def _descend(dim: int, k: int):
@@ -113,19 +123,18 @@ def _descend(dim: int, k: int):
 
     def run(queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         if not len(entries):
-            return _frame([], [], [])
-        order = np.argsort(entries["string"].to_numpy(), kind="stable")
-        strings, ids, x = entries["string"].to_numpy()[order], entries["class"].to_numpy()[order], _read(entries["vector"], dim)[order]
-        q, c, s = [], [], []
+            return _frame([], [], [], [])
+        strings, classes, ids, x = _sorted(entries, dim)
+        q, c, d, s = [], [], [], []
         for query, vector, string in zip(queries["class"], _read(queries["vector"], dim), queries["string"]):
             at = int(np.searchsorted(strings, string))
             lo, hi = max(0, at - PROBE), min(len(strings), at + PROBE)
             common = strings[lo:hi] ^ string
             near = lo + (np.argpartition(common, PROBE - 1)[:PROBE] if len(common) > PROBE else np.arange(len(common)))
             score = x[near] @ vector
-            best = np.argsort(-score)[: k + 1]
-            q.append(np.full(len(best), query)), c.append(ids[near][best]), s.append(score[best])
-        return _frame(q, c, s)
+            best = np.lexsort((ids[near], -score))[: k + 1]
+            q.append(np.full(len(best), query)), c.append(classes[near][best]), d.append(ids[near][best]), s.append(score[best])
+        return _frame(q, c, d, s)
 
     return run
 
@@ -135,20 +144,19 @@ def _ascend(dim: int, k: int):
 
     def run(queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         if not len(entries) or not len(queries):
-            return _frame([], [], [])
-        order = np.argsort(entries["string"].to_numpy(), kind="stable")
-        strings, ids, x = entries["string"].to_numpy()[order], entries["class"].to_numpy()[order], _read(entries["vector"], dim)[order]
-        q, c, s = [], [], []
+            return _frame([], [], [], [])
+        strings, classes, ids, x = _sorted(entries, dim)
+        q, c, d, s = [], [], [], []
         for (length, prefix), g in queries.assign(prefix=queries["string"].to_numpy() >> (BITS - queries["length"].to_numpy())).groupby(["length", "prefix"]):
             lo, hi = np.searchsorted(strings, [prefix << (BITS - length), (prefix + 1) << (BITS - length)])
             for a in range(lo, hi, 8192):
                 b = min(hi, a + 8192)
                 for i in range(0, len(g), 256):
                     part = g.iloc[i : i + 256]
-                    score, best = _top(_read(part["vector"], dim), x[a:b], k + 1)
-                    q.append(np.repeat(part["class"].to_numpy(), best.shape[1])), c.append(ids[a:b][best.ravel()]), s.append(np.take_along_axis(score, best, 1).ravel())
-        out = _frame(q, c, s)  # of several steps the best remain
-        return out.sort_values(["score", "class"], ascending=[False, True]).groupby("query").head(k + 1) if len(out) else out
+                    row, best, score = _top(_read(part["vector"], dim), x[a:b], ids[a:b], k + 1)
+                    q.append(part["class"].to_numpy()[row]), c.append(classes[a:b][best]), d.append(ids[a:b][best]), s.append(score)
+        out = _frame(q, c, d, s)  # of several steps the best remain
+        return out.sort_values(["score", "id"], ascending=[False, True]).groupby("query").head(k + 1) if len(out) else out
 
     return run
 
@@ -162,8 +170,9 @@ def _visits(entries: DataFrame, queries: DataFrame, array_rows: int) -> tuple[Da
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    by = Window.partitionBy("query").orderBy(F.desc("score"), "class")
-    once = found.groupBy("query", "class").agg(F.max("score").alias("score"))
+    """The best ``k + 1`` classes of each query; a class stands in the order by its smallest id."""
+    by = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    once = found.groupBy("query", "class", "id").agg(F.max("score").alias("score"))
     return once.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k + 1).drop("r")
 
 
@@ -174,13 +183,13 @@ def nearest(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vect
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     by_id = Window.partitionBy("class", "vector").orderBy("id")
     few = packed.withColumn("r", F.row_number().over(by_id)).filter(F.col("r") <= k + 1)
-    made = materialize(few.groupBy("class", "vector").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+    made = materialize(few.groupBy("class", "vector").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min("id").alias("id")))
     asked = packed.filter(is_query(F.col("id"))).select("id", "class", "vector", "norm")
     wanted = materialize(asked.select("class", "vector", "norm").distinct())
     route = max(0, min(BITS - 1, math.ceil(math.log2(max(1, made.count() / array_rows)))))
 
     probe = range(PROBE_TREES)
-    entries, queries, at = _visits(_placed(made, dim, probe, route, ["class", "vector"]), _placed(wanted, dim, probe, route, ["class", "vector"]), array_rows)
+    entries, queries, at = _visits(_placed(made, dim, probe, route, ["class", "id", "vector"]), _placed(wanted, dim, probe, route, ["class", "vector"]), array_rows)
     first = queries.groupBy(*at).cogroup(entries.groupBy(*at)).applyInPandas(_descend(dim, k), FOUND)
     first = materialize(_best(first, k))
     kth = first.groupBy("query").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("got"))
@@ -198,7 +207,7 @@ def nearest(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vect
         below = F.expr(f"shiftleft(1L, greatest(0, {route} - length)) - 1")
         start = F.expr(f"shiftleft(shiftright(string, {BITS} - least(length, {route})), greatest(0, {route} - length))")
         searches = searches.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), below))).withColumn("array", start + F.col("_i")).drop("_i")
-    entries, queries, at = _visits(_placed(made, dim, every, route, ["class", "vector"]), searches, array_rows)
+    entries, queries, at = _visits(_placed(made, dim, every, route, ["class", "id", "vector"]), searches, array_rows)
     more = queries.groupBy(*at).cogroup(entries.groupBy(*at)).applyInPandas(_ascend(dim, k), FOUND)
     best = materialize(_best(first.unionByName(more), k))
 

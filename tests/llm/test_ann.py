@@ -70,3 +70,19 @@ def test_copies_ties_nulls_and_few_rows(spark, tmp_path):
     few = spark.createDataFrame([(0, one, 0), (1, two, 0)], VECTORS)
     assert [tuple(r) for r in op9_ann(spark, fixtures.write(spark, tmp_path / "f", embeddings=few)).collect()] == [(0, 1, 1, 0.0)]
     assert op9_ann(spark, fixtures.write(spark, tmp_path / "e", embeddings=df.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("array_rows", [20_000, 100])
+def test_ties_between_different_vectors_go_to_smaller_ids(spark, array_rows):
+    """Many different 0/1 vectors with one and the same inner product, ids dealt at random, some vectors with several ids."""
+    rng = np.random.default_rng(8)
+    x = (rng.random((1_200, 32)) < 0.4).astype(float)
+    x[:, 0] = 1
+    x[rng.integers(0, 1_200, 40)] = x[3]
+    ids = rng.permutation(1_200).tolist()
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in zip(ids, x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in nearest(df, lambda i: i % 20 == 0, array_rows=array_rows, miss=1e-9).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    want = brute(ids, x, [i for i in ids if i % 20 == 0], 20)
+    assert {q: [(v, s) for _, v, s in sorted(rows)] for q, rows in got.items()} == want
