@@ -48,20 +48,19 @@ def test_ids_equal_the_json_tokenizer(spark, sf):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
-    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + ["", " ", "a b c\x85d", "日本語 🙂‍", "<|endoftext|>x", "\t\n  \r\n x"]
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + ["", " ", "a b c\x85d", "日本語 🙂‍", "<|endoftext|>x", "x <|endoftext|>", "<|endoftext|>", "a<|endoftext|><|endoftext|> b\n<|endoftext|>\n", "<|endoftext|", "\t\n  \r\n x"]
     enc = encoder()
     for t in texts:
-        assert enc.encode_ordinary(t) == tok.encode(t, add_special_tokens=False).ids
+        assert enc.encode(t, allowed_special="all") == tok.encode(t, add_special_tokens=False).ids
 
 
 def test_query_is_whole_and_gapless(spark, tmp_path):
-    texts = [None, "", "short one", "short one", "word " * 7000, "é" * 3000, *[f"text number {i} " * (i % 50) for i in range(300)]]
+    texts = [None, "", "short one", "short one", "one <|endoftext|> two", "word " * 7000, "é" * 3000, *[f"text number {i} " * (i % 50) for i in range(300)]]
     docs = fixtures.docs(spark, texts, ids=[None, 1, 2, 2, *range(3, len(texts) - 1)]).withColumnRenamed("n_chars", "piece")
     got = op1_packing(spark, fixtures.write(spark, tmp_path, documents=docs)).toPandas()
     enc, want = encoder(), []
     for r in docs.collect():
-        ids = np.array([*enc.encode_ordinary(r["text"] or ""), 0], dtype="<u4")
+        ids = np.array([*enc.encode(r["text"] or "", allowed_special="all"), 0], dtype="<u4")
         want += [(-1 if r["doc_id"] is None else r["doc_id"], i, s, n, zlib.crc32(ids[s : s + n].tobytes())) for i, (s, n) in enumerate(piece_bounds(len(ids), CAPACITY))]
     assert sorted(map(tuple, got.fillna(-1)[["doc_id", "piece", "start", "length", "ids_crc32"]].astype(int).values.tolist())) == sorted(want)
     for _, g in got.sort_values("offset").groupby("sequence_id"):
@@ -79,5 +78,5 @@ def test_sequences_carry_ids_and_small_buckets_agree(spark):
     enc = encoder()
     for s in made:
         assert len(s["ids"]) <= 64 and s["ids"].count(0) >= 1
-    total = sum(len(enc.encode_ordinary(r["text"])) + 1 for r in docs.collect())
+    total = sum(len(enc.encode(r["text"], allowed_special="all")) + 1 for r in docs.collect())
     assert sum(len(s["ids"]) for s in made) == total
