@@ -6,7 +6,7 @@ A token's probability mixes the maximum-likelihood estimates of all orders, c(co
 estimates leave out at that time. The final scores use the counts of all training documents with these weights.
 
 1. Documents are packed, as they lie, into compressed blobs of ``BLOB_BYTES`` of text (a written table).
-2. Each blob sends its distinct n-grams (64-bit hashes, sorted, as differences) with its own counts, cut into shards by hash. A shard adds
+2. Each blob sends its distinct n-grams (hashes of 56 bits, single tokens of 64, sorted, as differences) with its own counts, cut into shards by hash. A shard adds
    up what all blobs sent and answers each with the totals in the order asked, so no blob sees more of the model than it asked for and
    a frequent n-gram is one number per blob.
 3. Blobs of the part that was left out turn tokens into cells: bucket and ratios of the estimates to the uniform share, on a
@@ -45,6 +45,7 @@ TOP_BUCKET = 31
 ROUNDS = 60
 TOLERANCE = 1e-7
 
+LONGER = np.uint64((1 << 64) - 256)  # n-grams of several tokens are known by 56 bits, single tokens by 64
 _END, _START, _ODD = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -128,8 +129,8 @@ class Grams:
         start = uint64_mix(np.array([_START]) + _ODD)
         for n in range(2, order + 1):
             before = self.previous(self.keys[-1], start)
-            self.keys.append(uint64_mix(before * _ODD + token + np.uint64(n)))
-            start = uint64_mix(start * _ODD + _START + np.uint64(n))
+            self.keys.append(uint64_mix(before * _ODD + token + np.uint64(n)) & LONGER)
+            start = uint64_mix(start * _ODD + _START + np.uint64(n)) & LONGER
 
     def previous(self, x: np.ndarray, at_start: int | np.ndarray) -> np.ndarray:
         """``x`` one token earlier in the same text."""
