@@ -13,26 +13,84 @@ from facetry.session import materialize
 CENTER_RHO = 1e-8
 
 
-def geodesics(edges: DataFrame, cutoff: float, sources: DataFrame | None = None) -> DataFrame:
+ROUNDS = 16
+
+
+def sweep(starts: DataFrame, step: DataFrame, cutoff: float, width: float | None = None, inside: DataFrame | None = None, trace: list | None = None) -> DataFrame:
+    """Nearest start of every (protein, src, vertex) along paths of at most ``cutoff``: protein_id, src, v, d, tag.
+
+    ``starts``: protein_id, src, v, d, tag. ``step``: protein_id, v, dst, w. Ties go to the smaller ``tag``. Bucketed delta-stepping: labels below
+    the current bound are final, are appended once and never written again; only they are extended, and only labels beyond the bound wait.
+    If edges are no shorter than the bucket ``width`` a bucket is one pass, otherwise it is repeated over the labels that
+    improved. Where every edge is there in both directions, a path from u can only come back to a final
+    vertex at most one edge behind u, so that is all of the settled part that a round reads. ``inside``
+    (protein_id, src, v) bounds where a source's paths may go. ``trace`` gets a row per round.
+    """
+    step = materialize(step.filter((F.col("w") <= cutoff) & F.col("w").isNotNull()))
+    back = step.select("protein_id", F.col("dst").alias("v"), F.col("v").alias("dst"), "w")
+    stats = step.agg(F.min("w").alias("least"), F.max("w").alias("most")).first()
+    least, most = stats["least"] or 0.0, stats["most"] or 0.0
+    both_ways = not step.join(back, ["protein_id", "v", "dst", "w"], "left_anti").head(1)
+    width = width or max(least, cutoff / ROUNDS) or 1.0
+    at = ["protein_id", "src", "v"]
+    best = lambda df: df.groupBy(*at).agg(F.min(F.struct("d", "tag")).alias("b")).select(*at, "b.d", "b.tag")
+
+    def extended(labels: DataFrame, settled: list[tuple[float, DataFrame]], lower: float) -> DataFrame:
+        reach = labels.join(step, ["protein_id", "v"]).select("protein_id", "src", F.col("dst").alias("v"), (F.col("d") + F.col("w")).alias("d"), "tag").filter(F.col("d") <= cutoff)
+        if inside is not None:
+            reach = reach.join(inside, at, "left_semi")
+        for upper, part in settled:
+            if not both_ways or upper > lower - most - 1e-9:
+                reach = reach.join(part.select(*at), at, "left_anti")
+        return reach
+
+    waiting, settled = materialize(best(starts)), []
+    while True:
+        state = waiting.agg(F.min("d").alias("d"), F.count("*").alias("n")).first()
+        if state["d"] is None:
+            break
+        lower = state["d"]
+        upper = lower + width
+        labels = materialize(waiting.filter(F.col("d") < upper))
+        later = waiting.filter(F.col("d") >= upper)
+        fresh, proposals = labels, []
+        while True:
+            reach = best(extended(fresh, settled, lower))
+            if least >= width:  # nothing reached lies within the bucket
+                proposals.append(reach)
+                break
+            reach = materialize(reach)
+            proposals.append(reach.filter(F.col("d") >= upper))
+            known = labels.select(*at, F.struct("d", "tag").alias("_k"))
+            fresh = reach.filter(F.col("d") < upper).join(known, at, "left").filter(F.col("_k").isNull() | (F.struct("d", "tag") < F.col("_k"))).drop("_k")
+            fresh = materialize(fresh)
+            if not fresh.head(1):
+                break
+            labels = materialize(best(labels.unionByName(fresh)))
+        for more in proposals:
+            later = later.unionByName(more)
+        waiting = materialize(best(later.join(labels.select(*at), at, "left_anti")))
+        settled.append((upper, labels))
+        if trace is not None:
+            trace.append({"upper": upper, "waiting": state["n"], "settled": labels.count()})
+    out = settled[0][1] if settled else waiting
+    for _, part in settled[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def geodesics(edges: DataFrame, cutoff: float, sources: DataFrame | None = None, width: float | None = None, trace: list | None = None) -> DataFrame:
     """Shortest path lengths up to ``cutoff`` from every source: protein_id, src, v, d.
 
-    One round extends the paths that improved last time by one edge. State is keyed by (protein,
-    source, vertex), so neither a large protein nor a hub gathers in a task; each round is written
-    to the checkpoint folder and a lost executor repeats one round at most.
+    State is keyed by (protein, source, vertex), so neither a large protein nor a hub gathers in a task; a lost
+    executor repeats one round at most.
     """
     if sources is None:
         sources = edges.select("protein_id", "src").distinct()
-    step = edges.filter(F.col("w") <= cutoff).select("protein_id", F.col("src").alias("v"), F.col("dst"), "w")
-    none = F.lit(None).cast("double")
-    state = materialize(sources.select("protein_id", "src", F.col("src").alias("v"), F.lit(0.0).alias("d"), none.alias("old")))
-    while True:  # edges are positive, so paths up to the cutoff settle
-        changed = state.filter(F.col("old").isNull() | (F.col("d") < F.col("old")))
-        if changed.isEmpty():
-            return state.drop("old")
-        reach = changed.join(step, ["protein_id", "v"]).withColumn("nd", F.col("d") + F.col("w")).filter(F.col("nd") <= cutoff)
-        reach = reach.select("protein_id", "src", F.col("dst").alias("v"), F.col("nd").alias("d"), none.alias("old"))
-        known = state.select("protein_id", "src", "v", "d", F.col("d").alias("old"))
-        state = materialize(known.unionByName(reach).groupBy("protein_id", "src", "v").agg(F.min("d").alias("d"), F.min("old").alias("old")))
+    starts = sources.select("protein_id", "src", F.col("src").alias("v"), F.lit(0.0).alias("d"), F.lit(0).alias("tag"))
+    step = edges.select("protein_id", F.col("src").alias("v"), "dst", "w")
+    return sweep(starts, step, cutoff, width, trace=trace).drop("tag")
+
 
 def patches(geo: DataFrame, max_members: int, radius: float | None = None) -> DataFrame:
     """Members of each centre in order of distance, at most ``max_members`` (the operator's own limit).
@@ -62,11 +120,12 @@ def shrink_to_fit(geo: DataFrame, radius: float, max_members: int, factor: float
     return inside.join(bound, ["protein_id", "src"], "left").filter(F.col("d") < F.coalesce("_cut", F.lit(radius))).drop("_cut")
 
 
-def polar_angles(members: DataFrame, vertices: DataFrame, geo: DataFrame, radius: float) -> DataFrame:
+def polar_angles(members: DataFrame, vertices: DataFrame, edges: DataFrame, radius: float) -> DataFrame:
     """Angle of each member around its centre in the tangent plane; adds ``theta`` in [0, 2 pi).
 
     Members beyond half the radius take the angle of the inner member nearest to them along the
-    surface. The zero direction points to the first member after the centre.
+    surface within the patch: labels spread outwards from all inner members of a centre at once, so each
+    member is met once per centre and not once per inner member. The zero direction points to the first member after the centre.
     """
     half = radius / 2
     pt = lambda side, p: vertices.select("protein_id", F.col("vix").alias(side), *[F.col(c).alias(p + c) for c in "xyz"])
@@ -92,11 +151,14 @@ def polar_angles(members: DataFrame, vertices: DataFrame, geo: DataFrame, radius
     theta = F.pmod(F.atan2(dot(q, v), dot(q, u)), F.lit(2 * math.pi))
     m = m.withColumn("_t", F.coalesce(theta, F.lit(0.0))).select("protein_id", "center_vix", "pos", "member_vix", "rho", "_t")
 
+    m = materialize(m)
     inner, outer = m.filter(F.col("rho") < half), m.filter(F.col("rho") >= half)
-    links = geo.select("protein_id", F.col("src").alias("member_vix"), F.col("v").alias("_in"), F.col("d").alias("_gd"))
-    cand = outer.select("protein_id", "center_vix", "member_vix").join(links, ["protein_id", "member_vix"])
-    angle = inner.select("protein_id", "center_vix", F.col("member_vix").alias("_in"), "_t")
-    near = cand.join(angle, ["protein_id", "center_vix", "_in"]).groupBy("protein_id", "center_vix", "member_vix").agg(F.min_by("_t", F.struct("_gd", "_in")).alias("_it"))
+    starts = inner.select("protein_id", F.col("center_vix").alias("src"), F.col("member_vix").alias("v"), F.lit(0.0).alias("d"), F.col("member_vix").alias("tag"))
+    inside = members.select("protein_id", F.col("center_vix").alias("src"), F.col("member_vix").alias("v"))
+    step = edges.select("protein_id", F.col("src").alias("v"), "dst", "w")
+    spread = sweep(starts, step, radius, inside=inside).filter("d > 0")
+    angle = inner.select("protein_id", "center_vix", F.col("member_vix").alias("tag"), F.col("_t").alias("_it"))
+    near = spread.select("protein_id", F.col("src").alias("center_vix"), F.col("v").alias("member_vix"), "tag").join(angle, ["protein_id", "center_vix", "tag"]).drop("tag")
     outer = outer.join(near, ["protein_id", "center_vix", "member_vix"], "left").withColumn("_t", F.coalesce("_it", "_t")).drop("_it")
     return inner.unionByName(outer).withColumnRenamed("_t", "theta")
 
