@@ -178,6 +178,33 @@ def curvature_histogram(spark, sf):
     return h.filter("value > 0").select("protein_id", "center_vix", "bin", r6("value"))
 
 
+_POLAR = (
+    _W + geodesic_sql(CUTOFF) + normals_sql()
+    + f""",
+mem AS (SELECT protein_id, src AS c, v, d, row_number() OVER (PARTITION BY protein_id, src ORDER BY d, v) AS pos FROM geo),
+off AS (SELECT m.*, k.nx AS kx, k.ny AS ky, k.nz AS kz, e.x-k.x AS dx, e.y-k.y AS dy, e.z-k.z AS dz
+  FROM mem m JOIN vn k ON k.protein_id=m.protein_id AND k.vix=m.c JOIN vn e ON e.protein_id=m.protein_id AND e.vix=m.v),
+flat AS (SELECT *, dx-(dx*kx+dy*ky+dz*kz)*kx AS qx, dy-(dx*kx+dy*ky+dz*kz)*ky AS qy, dz-(dx*kx+dy*ky+dz*kz)*kz AS qz FROM off),
+zero AS (SELECT protein_id, c, arg_min(qx, pos) AS ux, arg_min(qy, pos) AS uy, arg_min(qz, pos) AS uz FROM flat WHERE sqrt(qx*qx+qy*qy+qz*qz) > 1e-9 GROUP BY ALL),
+own AS (SELECT f.protein_id, f.c, f.v, f.d, atan2(qx*(ky*uz-kz*uy)+qy*(kz*ux-kx*uz)+qz*(kx*uy-ky*ux)+0.0, qx*ux+qy*uy+qz*uz+0.0) AS t FROM flat f JOIN zero z ON z.protein_id=f.protein_id AND z.c=f.c),
+one AS (SELECT i.protein_id, i.c, g.dst AS v, g.w AS d, i.v AS tag FROM own i JOIN edg g ON g.protein_id=i.protein_id AND g.src=i.v
+  JOIN mem m ON m.protein_id=i.protein_id AND m.c=i.c AND m.v=g.dst WHERE i.d < {CUTOFF / 2} AND g.w <= {CUTOFF}),
+two AS (SELECT o.protein_id, o.c, g.dst AS v, o.d + g.w AS d, o.tag FROM one o JOIN edg g ON g.protein_id=o.protein_id AND g.src=o.v
+  JOIN mem m ON m.protein_id=o.protein_id AND m.c=o.c AND m.v=g.dst WHERE o.d + g.w <= {CUTOFF}),
+lab AS (SELECT * FROM (SELECT * FROM one UNION ALL SELECT * FROM two) QUALIFY row_number() OVER (PARTITION BY protein_id, c, v ORDER BY d, tag) = 1),
+ang AS (SELECT o.protein_id, o.c, o.v, CASE WHEN o.d < {CUTOFF / 2} THEN o.t ELSE n.t END AS t FROM own o
+  LEFT JOIN lab l ON l.protein_id=o.protein_id AND l.c=o.c AND l.v=o.v LEFT JOIN own n ON n.protein_id=o.protein_id AND n.c=o.c AND n.v=l.tag)
+SELECT protein_id, c AS center_vix, v AS member_vix, round(cos(t), 6) + 0.0 AS cos_theta, round(sin(t), 6) + 0.0 AS sin_theta FROM ang"""
+)
+
+
+@query("patch_polar_angles", _POLAR)  # edges of the lattice are 1 or longer, so its labels travel two edges at most
+def patch_polar_angles(spark, sf):
+    v, f = with_normals(spark, sf)
+    t = geodesic.polar_angles(members(spark, sf), v, mesh.edges(v, f), CUTOFF)
+    return t.select("protein_id", "center_vix", "member_vix", r6(F.cos("theta"), "cos_theta"), r6(F.sin("theta"), "sin_theta"))
+
+
 @query("patch_channels", _W + lattice_sql() + """ SELECT protein_id, vix, round(greatest(-3, least(3, charge*10))/3, 6) + 0.0 AS charge, round(-hbond, 6) + 0.0 AS hbond, round(hphob/4.5, 6) + 0.0 AS hphob, round(2*pi()-abs(score), 6) AS theta FROM lat""")
 def patch_channels(spark, sf):
     v = fixtures.lattice_vertices(spark, sf)

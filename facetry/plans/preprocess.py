@@ -107,12 +107,12 @@ def build_patches(vertices: DataFrame, faces: DataFrame, limits: dict[str, tuple
     v = vertices
     if "nx" not in v.columns:
         v = materialize(v.join(vertex_normals(v, faces), ["protein_id", "vix"]))
-    geo = geodesics(edges(v, faces), top, v.select("protein_id", F.col("vix").alias("src")))
+    links = materialize(edges(v, faces))
+    geo = geodesics(links, top, v.select("protein_id", F.col("vix").alias("src")))
     curv = materialize(curvatures(v, faces, v.select("protein_id", "vix", "nx", "ny", "nz")))
     out = {}
     for name, (radius, most) in limits.items():
-        near = geo if radius == top else geo.filter(F.col("d") <= radius)
-        m = polar_angles(patches(geo, most, radius), v, near, radius)
+        m = polar_angles(patches(geo, most, radius), v, links, radius)
         out[name] = materialize(patch_features(m, v, curv))
     return out
 

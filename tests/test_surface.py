@@ -180,7 +180,7 @@ def test_polar_angles_on_a_plane(spark):
     v = v.withColumns({"nx": F.lit(0.0), "ny": F.lit(0.0), "nz": F.lit(1.0)})
     geo = geodesic.geodesics(mesh.edges(v, f), 4.0)
     m = geodesic.patches(geo, 200)
-    t = geodesic.polar_angles(m, v, geo, 4.0).filter("center_vix = 40").toPandas()
+    t = geodesic.polar_angles(m, v, mesh.edges(v, f), 4.0).filter("center_vix = 40").toPandas()
     inner = t[(t.rho < 2.0) & (t.rho > 1e-6)]
     d = pts[inner.member_vix] - pts[40]
     ref = pts[int(inner.sort_values("pos").iloc[0].member_vix)] - pts[40]
