@@ -13,11 +13,13 @@ HEADLINE = [
     "vector_threshold_match",
     "vector_global_topk",
     "vector_rank_of_partner",
+    "pivot_index_match",
     "radius_join",
     "nearest_neighbour",
     "knn_interpolate",
     "clash_gate",
     "geodesic_patches",
+    "patch_polar_angles",
     "ring_percentiles",
     "tiered_selection",
     "quantile_cutoff_selection",
@@ -54,6 +56,16 @@ def scan_rate(spark, sf_dir: str, copies: int = 1000) -> dict[str, float]:
     return out
 
 
+def pivot_share(spark, sf_dir: str) -> dict[str, float]:
+    """Shares of all pairs of rows and sites that the pivot index visits, measures and finds."""
+    from facetry import fixtures
+    from facetry.catalog.search import MAX_DIST, site_targets
+    from facetry.operators.pivots import build_index, measured_share
+
+    d = fixtures.descriptors(spark, sf_dir)
+    return {k: round(v, 6) for k, v in measured_share(build_index(d), site_targets(d), MAX_DIST).items()}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -65,7 +77,7 @@ def main() -> None:
         started = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - started, 3)
-    extra = {} if os.environ.get("BENCH_SKIP_SCAN") else {"scan": scan_rate(spark, sf_dir)}
+    extra = {} if os.environ.get("BENCH_SKIP_SCAN") else {"scan": scan_rate(spark, sf_dir), "pivots": pivot_share(spark, sf_dir)}
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir), **extra}))
 
 

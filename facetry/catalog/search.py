@@ -13,9 +13,10 @@ from facetry.catalog.registry import POINTS, query, r6
 from facetry.functions.geometry import apply_transform, rotation_from_uniforms, uniform_from_hash
 from facetry.models.pooling import PolarGrid, pool_relational
 from facetry.operators.mesh import vertex_normals
-from facetry.operators.ranking import auc, best_positive_rank
+from facetry.operators.pivots import build_index, pivot_match
+from facetry.operators.ranking import auc
 from facetry.operators.scale import top_k
-from facetry.operators.vector_search import match_lists, rank_database, scan_counters, scan_distances, threshold_match
+from facetry.operators.vector_search import match_lists, partner_ranks, rank_database, scan_counters, scan_distances, threshold_match
 from facetry.session import materialize
 
 MAX_DIST, MIN_SCORE = 1.3, 0.5
@@ -83,8 +84,19 @@ SELECT m.target, count(*) FILTER (NOT pos AND d < b) + 1 AS rank FROM m JOIN bp
 )
 def vector_rank_of_partner(spark, sf):
     d = fixtures.descriptors(spark, sf)
-    m = scan_distances(d, site_targets(d, flip=False)).filter(F.col("vix") != F.col("t_vix"))
-    return best_positive_rank(m, ["target"], "desc_dist", F.col("protein_id") == F.col("target"), lower_is_better=True)
+    ranks = partner_ranks(d, site_targets(d, flip=False), ("protein_id", "target"), F.col("vix") == F.col("t_vix"))
+    return ranks.select("target", "rank")
+
+
+@query(
+    "pivot_index_match",
+    "WITH " + POINTS + f""" SELECT t.vix AS t_vix, p.protein_id, p.vix, round(list_distance(p.descr, t.descr), 6) AS desc_dist
+FROM pts p, pts t WHERE t.vix % 20 = 0 AND p.score > {MIN_SCORE} AND list_distance(p.descr, t.descr) < {MAX_DIST}""",
+)
+def pivot_index_match(spark, sf):
+    d = fixtures.descriptors(spark, sf)
+    targets = d.filter(F.col("vix") % 20 == 0).select(F.col("vix").alias("t_vix"), F.col("desc").alias("t_desc"))
+    return pivot_match(build_index(d), targets, MAX_DIST, MIN_SCORE).select("t_vix", "protein_id", "vix", r6("desc_dist"))
 
 
 @query(

@@ -81,6 +81,25 @@ def rank_database(database: DataFrame, targets: DataFrame, target_keys: list[str
     return top_k(scanned, target_keys, [F.col("desc_dist"), *[F.col(c) for c in order_ids]], k)
 
 
+def partner_ranks(database: DataFrame, targets: DataFrame, partner: tuple[str, str], left_out: Column | None = None) -> DataFrame:
+    """1 + number of rows outside the partner that are nearer to a target than the partner's nearest row; null where the partner has no row.
+
+    ``partner``: the columns of database and targets that are equal for rows of a target's partner. ``left_out`` (over columns of both)
+    names pairs that don't count. The partner's distance comes first, from an equi-join; then each task counts
+    what is nearer, so one number per target and task is shuffled and no pair.
+    """
+    own, of = partner
+    keys = [c for c in targets.columns if c != "t_desc"]
+    asked = materialize(targets.withColumn("_t", F.monotonically_increasing_id()))
+    counted = F.lit(True) if left_out is None else ~left_out
+    meant = database.join(asked, F.col(own) == F.col(of)).filter(counted)
+    best = materialize(meant.groupBy("_t").agg(F.min(vec_dist("desc", "t_desc")).alias("_best")))
+    scanned = scan_distances(database, asked.join(best, "_t")).filter(counted & (F.col(own) != F.col(of)) & (F.col("desc_dist") < F.col("_best")))
+    nearer = scanned.groupBy("_t").agg(F.count("*").alias("_n"))
+    rank = F.when(F.col("_best").isNotNull(), F.coalesce("_n", F.lit(0)) + 1)
+    return asked.join(best, "_t", "left").join(nearer, "_t", "left").select(*keys, rank.alias("rank"))
+
+
 def match_lists(candidates: DataFrame, keys: list[str], per_row: int = 100_000, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Matches of a protein as aligned lists, ``per_row`` at a time (``part``): for output only."""
     m = with_ordinals(candidates.select(*keys, "vix", "desc_dist", "score"), keys, ["vix"], "_i", segment_rows)

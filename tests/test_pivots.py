@@ -86,3 +86,23 @@ def test_nulls_and_empty_tables(spark):
     assert set(got) == {(0, 0), (2, 2), (4, 4)}
     assert pivot_match(build_index(db.limit(0)), t, 0.1).count() == 0
     assert pivot_match(build_index(db), t.limit(0), 0.1).collect() == []
+
+
+def test_partner_ranks_count_what_is_nearer(spark, monkeypatch):
+    from facetry.operators import vector_search
+
+    rng = np.random.default_rng(6)
+    x, t = unit(rng, 210), unit(rng, 9)
+    x[5], x[12], x[20] = t[0], t[0], t[0]
+    sites = spark.createDataFrame([(i, i, [float(v) for v in row]) for i, row in enumerate(t)], "target long, t_vix long, t_desc array<double>")
+    d = np.sqrt(((x[:, None] - t[None]) ** 2).sum(axis=2))
+    want = {}
+    for j in range(9):
+        mine = [i for i in range(210) if i % 7 == j and i != j]
+        want[j] = 1 + sum(d[i, j] < d[mine, j].min() for i in range(210) if i % 7 != j and i != j) if mine else None
+    assert want[7] is None and want[8] is None
+    for size in (1 << 20, 0):
+        monkeypatch.setattr(vector_search, "BROADCAST_BYTES", size)
+        monkeypatch.setattr(vector_search, "SALT_TARGETS", 4)
+        got = vector_search.partner_ranks(frame(spark, x), sites, ("protein_id", "target"), F.col("vix") == F.col("t_vix"))
+        assert {r["target"]: r["rank"] for r in got.collect()} == want

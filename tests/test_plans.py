@@ -15,7 +15,7 @@ from facetry.plans import evaluation, model_fit, search
 from facetry.session import materialize
 
 FAST = [
-    "vector_threshold_match", "per_protein_match_lists", "vector_global_topk", "vector_rank_of_partner", "distance_auc", "grid_pooling", "ball_filter", "radius_join",
+    "vector_threshold_match", "per_protein_match_lists", "vector_global_topk", "vector_rank_of_partner", "pivot_index_match", "patch_polar_angles", "distance_auc", "grid_pooling", "ball_filter", "radius_join",
     "nearest_neighbour", "contact_counts", "clash_gate", "rmsd_by_pair", "apply_rigid_transform", "mesh_edges", "submesh", "vertex_normals", "best_of_retries",
     "roc_auc_by_group", "roc_auc_global", "topk_counters", "recovery_curve", "confusion_matrix", "score_histogram", "quantile_cutoff_selection", "tiered_selection",
     "metric_left_joins", "pre_post_compare", "sliding_window_best_fragment", "run_detection", "run_detection_compat", "fragment_numbering", "trim_hotspots", "sample_per_group",
