@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from facetry import fixtures
 from facetry.catalog.registry import ATOMS, query, lattice_sql, r6
 from facetry.session import checkpoint_root
+from facetry.sinks import tables as sink_tables
 from facetry.sinks.tables import rmsd_json
 from facetry.sinks.text import atom_line, write_files, write_meshes
 from facetry.sources import structures, tables
 
+BUCKETS = 8
+
 
 def _folder(spark, what: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -154,3 +157,20 @@ def rmsd_json_documents(spark, sf):
     doc = rmsd_json(fits).select(F.from_json("value", f"pdb_id string, interactor_1 {inner}, interactor_2 {inner}").alias("d"))
     side = lambda i: doc.select("d.pdb_id", F.lit(i).cast("long").alias("interactor"), F.explode(f"d.interactor_{i}").alias("chain", "m"))
     return side(1).unionAll(side(2)).select("pdb_id", "interactor", "chain", "m.rmsd", F.col("m.af2_pdb_url").alias("url"))
+
+
+@query(
+    "positional_join_bucketed",
+    "WITH " + ATOMS + " SELECT protein_id, vix, round(x, 6) + 0.0 AS x, round(charge, 6) + 0.0 AS charge, round(score, 6) + 0.0 AS score, atom FROM atm WHERE score > 0.5",
+)
+def positional_join_bucketed(spark, sf):
+    """Vertices, scores and names written as bucketed tables and joined by position, bucket by bucket."""
+    p, a = fixtures.points(spark, sf), fixtures.atoms(spark, sf)
+    sides = [p.select("protein_id", "vix", "x", "charge"), p.select("protein_id", "vix", "score"), a.select("protein_id", "vix", "atom")]
+    names = []
+    for side in sides:
+        path = _folder(spark, "bucketed")
+        names.append("side_" + path.rsplit("-", 1)[-1])
+        sink_tables.write_bucketed(side, names[-1], ["protein_id", "vix"], BUCKETS, sort_by=["protein_id", "vix"], path=path)
+    out = sink_tables.positional_join(spark, names, ["protein_id", "vix"]).filter("score > 0.5")
+    return out.select("protein_id", "vix", r6("x"), r6("charge"), r6("score"), "atom")

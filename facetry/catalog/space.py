@@ -11,10 +11,12 @@ from facetry.catalog.registry import ATOMS, POINTS, query, r6
 from facetry.functions.geometry import angle_at, apply_transform, compose_transforms, plane_deviation, transform_struct
 from facetry.operators.contact import clash_counts, contact_counts, exposed_area, hotspot_string, hotspots, interface_rmsd, min_distances, rmsd, sphere_points
 from facetry.operators.filters import clash_ok
+from facetry.operators.fragments import fragment_classes, fragment_vectors, rmsd_clusters, rmsd_pairs, touching_fragments
 from facetry.operators.patch import interpolate, label_interface, pocket_points
 from facetry.operators.sequence import fragment_spans
 from facetry.operators.spatial import argmin_to_point, ball, exists_within, nearest, radius_pairs
 from facetry.plans.evaluation import farthest_atom, interface_center_point, middle_atom
+from facetry.session import materialize
 
 _D = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z))"
 CENTER = (2.0, -1.0, 0.5)
@@ -256,3 +258,46 @@ SELECT protein_id, vix AS serial, round(d, 6) AS reach FROM f QUALIFY row_number
 def middle_atom_query(spark, sf):
     p = fixtures.points(spark, sf).select("protein_id", F.col("vix").alias("serial"), "x", "y", "z")
     return middle_atom(p, _moved(p), ["protein_id"], 4.0).select("protein_id", "serial", r6("reach"))
+
+
+# peptides: hundred atoms each, in five placements: as they are (twice), and drifting further with the placement number
+FRAGMENT_CUTOFF = 1.2
+_FRAGMENTS = "WITH RECURSIVE " + ATOMS + """,
+pl AS (SELECT (vix // 100) * 10 + k AS frag, resid, atom, x + greatest(k - 1, 0) * descr[12] * 5 AS x, y + greatest(k - 1, 0) * descr[13] * 5 AS y, z + greatest(k - 1, 0) * descr[14] * 5 AS z
+  FROM atm, range(5) t(k)),
+dots AS (SELECT x + 1 AS x, y, z FROM pts WHERE vix % 10 = 7),
+near AS (SELECT a.frag, a.resid, count(*) AS n FROM pl a WHERE EXISTS (SELECT 1 FROM dots b WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) < 3) GROUP BY ALL),
+res AS (SELECT d.frag, d.resid, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY d.frag ORDER BY d.resid) - 1 AS ord FROM (SELECT DISTINCT frag, resid FROM pl) d LEFT JOIN near ON near.frag = d.frag AND near.resid = d.resid),
+win AS (SELECT frag, ord AS start FROM (SELECT frag, ord, sum(n) OVER w AS total, count(*) OVER w AS c FROM res WINDOW w AS (PARTITION BY frag ORDER BY ord ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING))
+  WHERE c = 12 QUALIFY row_number() OVER (PARTITION BY frag ORDER BY total DESC, ord) = 1),
+ca AS (SELECT pl.frag, ord - start AS pos, x, y, z FROM pl JOIN res ON res.frag = pl.frag AND res.resid = pl.resid JOIN win ON win.frag = pl.frag WHERE atom = 'CA' AND ord - start BETWEEN 0 AND 11),
+rms AS (SELECT a.frag AS f, b.frag AS g, sqrt(sum((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) / 12) AS rmsd FROM ca a JOIN ca b ON a.pos = b.pos GROUP BY ALL HAVING count(*) = 12),
+cls AS (SELECT f AS frag, min(g) AS class_id FROM rms WHERE rmsd = 0 GROUP BY f)"""
+
+
+def _fragments(spark, sf):
+    a = fixtures.atoms(spark, sf).join(fixtures.descriptors(spark, sf).select("vix", "desc"), "vix").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    drift = F.greatest(F.col("k") - 1, F.lit(0))
+    moved = {c: F.col(c) + drift * F.col("desc")[i] * 5 for c, i in zip("xyz", (11, 12, 13))}
+    a = a.withColumns({**moved, "frag": F.expr("(vix div 100) * 10 + k")}).select("frag", "resid", "atom", "x", "y", "z")
+    dots = fixtures.points(spark, sf).filter("vix % 10 = 7").select(F.col("vix").alias("dot"), (F.col("x") + 1).alias("x"), "y", "z")
+    v = materialize(fragment_vectors(touching_fragments(materialize(a), dots, "dot", "frag"), "frag"))
+    return v, materialize(fragment_classes(v, "frag"))
+
+
+@query(
+    "fragment_rmsd_pairs",
+    _FRAGMENTS + f" SELECT f AS class_id, g AS n_class_id, round(rmsd, 6) AS rmsd FROM rms WHERE f < g AND rmsd <= {FRAGMENT_CUTOFF} AND f IN (SELECT class_id FROM cls) AND g IN (SELECT class_id FROM cls)",
+)
+def fragment_rmsd_pairs(spark, sf):
+    return rmsd_pairs(_fragments(spark, sf)[1], FRAGMENT_CUTOFF).select("class_id", "n_class_id", r6("rmsd"))
+
+
+@query(
+    "fragment_rmsd_clusters",
+    _FRAGMENTS + f""", reach(f, g) AS (SELECT frag, frag FROM cls UNION SELECT reach.f, rms.g FROM reach JOIN rms ON rms.f = reach.g WHERE rmsd <= {FRAGMENT_CUTOFF})
+SELECT cls.frag, class_id, min(g) AS cluster_id FROM cls JOIN reach ON reach.f = cls.frag GROUP BY ALL""",
+)
+def fragment_rmsd_clusters(spark, sf):
+    v, classes = _fragments(spark, sf)
+    return rmsd_clusters(v, classes, materialize(rmsd_pairs(classes, FRAGMENT_CUTOFF)), "frag")

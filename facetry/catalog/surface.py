@@ -99,6 +99,22 @@ def mesh_clean_vertices(spark, sf):
     return _dirty(spark, sf)[0].select("protein_id", "vix", *[(F.col(c) + 0.0).alias(c) for c in "xyz"])
 
 
+# vertices in bunches on a line across the raster of the tolerance: steps of 0.0008 chain up, also over raster lines
+_CHAIN = """ raw AS (SELECT label AS protein_id, vec_id AS vix, vec_id // 40 + (vec_id % 4) * 0.0008 + CASE WHEN vec_id % 8 = 3 THEN 0.3 ELSE 0 END AS x, round(embedding[2]::DOUBLE * 4) AS y, 0.0 AS z FROM embeddings),
+link AS (SELECT a.protein_id, a.vix AS f, b.vix AS g FROM raw a JOIN raw b ON a.protein_id = b.protein_id WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) <= 0.001),
+reach(protein_id, f, g) AS (SELECT protein_id, vix, vix FROM raw UNION SELECT r.protein_id, r.f, l.g FROM reach r JOIN link l ON l.protein_id = r.protein_id AND l.f = r.g)
+SELECT protein_id, f AS vix, min(g) AS keep_vix FROM reach GROUP BY ALL"""
+
+
+@query("mesh_merge_chains", "WITH RECURSIVE" + _CHAIN)
+def mesh_merge_chains(spark, sf):
+    e = fixtures.table(spark, sf, "embeddings")
+    i = F.col("vec_id")
+    x = F.expr("vec_id div 40") + (i % 4) * 0.0008 + F.when(i % 8 == 3, 0.3).otherwise(0.0)
+    v = e.select(F.col("label").alias("protein_id"), i.alias("vix"), x.alias("x"), F.round(F.col("embedding")[1].cast("double") * 4).alias("y"), F.lit(0.0).alias("z"))
+    return mesh.merged(v).select("protein_id", "vix", F.col("_keep").alias("keep_vix"))
+
+
 @query("submesh", _W + lattice_sql() + """, m AS (SELECT protein_id, vix, row_number() OVER (PARTITION BY protein_id ORDER BY vix) - 1 AS n FROM lat WHERE score > 0.45)
 SELECT f.protein_id, f.fix, a.n AS v0, b.n AS v1, c.n AS v2 FROM fac f JOIN m a ON a.protein_id=f.protein_id AND a.vix=v0 JOIN m b ON b.protein_id=f.protein_id AND b.vix=v1 JOIN m c ON c.protein_id=f.protein_id AND c.vix=v2""")
 def submesh(spark, sf):

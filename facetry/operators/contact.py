@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facetry.functions.chem import CONTACT_DEFAULT, CONTACT_RADII, CONTACT_SLACK, contact_radius
 from facetry.operators.sequence import fragment_spans
-from facetry.operators.spatial import exists_within, nearest
+from facetry.operators.spatial import exists_within, nearest, radius_pairs
+from facetry.session import materialize
 
 # Atom names that do not count as side chain.
 BACKBONE = ["N", "CA", "C", "O", "H", "HA"]
 FAR = 1000.0
+WORD = 62  # sphere points per long
 
 
 def clash_counts(posed: DataFrame, targets: DataFrame, keys: list[str], target_id: str, radius: float = 2.0, max_ca: float | None = None, on: list[str] = ()) -> DataFrame:
@@ -105,29 +109,31 @@ def sphere_points(n: int = 100) -> list[tuple[float, float, float]]:
 def exposed_area(atoms: DataFrame, keys: list[str], atom_id: str, radius: str, probe: float = 1.4, n_points: int = 100, on: list[str] = ()) -> DataFrame:
     """Solvent-exposed area per atom: share of its probe sphere outside every other atom's sphere.
 
-    Radii come in few classes, so a sphere point is buried exactly when, for some class, the
-    nearest atom of that class (its own atom aside) is closer than that class's sphere.
+    Atoms whose spheres meet are found by one cell join. Each such pair marks the sphere points it buries as bits, a matrix product per
+    Arrow batch, and bits are united per atom before and after the shuffle, so radii are free and no list of neighbours is held.
     """
-    on = list(on)
-    directions = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("abc", p)]) for p in sphere_points(n_points)])
+    on, ids = list(on), list(dict.fromkeys([*on, *keys, atom_id]))
+    directions = np.array(sphere_points(n_points))
+    words = [slice(i, i + WORD) for i in range(0, n_points, WORD)]
+    names = [f"_w{i}" for i in range(len(words))]
     base = atoms.withColumn("_R", F.col(radius) + probe)
-    classes = [r[0] for r in base.select(F.round("_R", 9)).distinct().collect()]  # one per element radius
-    pts = base.withColumn("_d", F.explode(directions))
-    for c, a in zip("xyz", "abc"):
-        pts = pts.withColumn(c, F.col(c) + F.col("_R") * F.col(f"_d.{a}"))
-    pts = pts.withColumn("_p", F.xxhash64("_d")).drop("_d")
-    pts = pts.withColumn("_class", F.explode(F.array(*[F.lit(float(c)) for c in sorted(classes)])))
-    t = base.withColumn("_class", F.round("_R", 9))
-    # the own atom lies exactly one radius away, so the two nearest of a class are enough
-    found = nearest(pts, t, atom_id, [*on, "_class"], 2, max(classes) if classes else probe, closed=False)
-    buried = (
-        found.filter((F.col(f"n_{atom_id}") != F.col(atom_id)) & (F.col("n_dist") < F.col("_class") - 1e-9))
-        .select(*dict.fromkeys([*keys, atom_id, "_p"]))
-        .distinct()
-        .groupBy(*dict.fromkeys([*keys, atom_id]))
-        .agg(F.count("*").alias("_buried"))
-    )
-    out = base.join(buried, list(dict.fromkeys([*keys, atom_id])), "left").na.fill(0, ["_buried"])
+    balls = materialize(base.select(*ids, *[F.col(c).cast("double").alias(c) for c in "xyz"], F.col("_R").cast("double").alias("_R")))
+    widest = balls.agg(F.max("_R")).first()[0] or probe
+
+    @F.pandas_udf(", ".join(f"{n} long" for n in names))
+    def hidden(dx: pd.Series, dy: pd.Series, dz: pd.Series, own: pd.Series, other: pd.Series) -> pd.DataFrame:
+        d = np.column_stack([dx, dy, dz])
+        limit = np.maximum(other.to_numpy() - 1e-9, 0)
+        # |own direction - d|^2 < limit^2
+        left = (own.to_numpy() ** 2 + (d * d).sum(1) - limit**2) / 2
+        inside = (d @ directions.T) * own.to_numpy()[:, None] > left[:, None]
+        return pd.DataFrame({n: inside[:, w] @ (1 << np.arange(min(WORD, n_points - w.start), dtype=np.int64)) for n, w in zip(names, words)})
+
+    meet = radius_pairs(balls, balls, 2 * widest, on).filter((F.col("dist") < F.col("_R") + F.col("n__R")) & (F.col(f"n_{atom_id}") != F.col(atom_id)))
+    bits = meet.select(*ids, hidden(*[F.col(f"n_{c}") - F.col(c) for c in "xyz"], "_R", "n__R").alias("_b")).select(*ids, "_b.*")
+    bits = bits.groupBy(*ids).agg(*[F.bit_or(n).alias(n) for n in names])
+    buried = bits.select(*ids, sum(F.bit_count(n) for n in names).alias("_buried"))
+    out = base.join(buried, ids, "left").na.fill(0, ["_buried"])
     return out.withColumn("area", (F.lit(1.0) - F.col("_buried") / n_points) * 4 * math.pi * F.pow("_R", F.lit(2.0))).drop("_R", "_buried")
 
 

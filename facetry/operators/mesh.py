@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facetry.functions.geometry import angle_at, cross3, dist, dot3, norm3, sub3, unit3
+from facetry.operators.components import connected
 from facetry.operators.scale import SEGMENT_ROWS, with_ordinals
+from facetry.operators.spatial import XYZ, radius_pairs
+from facetry.session import materialize
 
 EPS = 1e-6
 CORNERS = ("v0", "v1", "v2")
@@ -99,12 +102,22 @@ def curvatures(vertices: DataFrame, faces: DataFrame, normals: DataFrame) -> Dat
     return s.select("protein_id", "vix", mean.alias("mean_curv"), ((2 * math.pi - F.col("_angle")) / F.col("_area")).alias("gauss_curv"), F.col("_angle").alias("angle_sum"))
 
 
+def merged(vertices: DataFrame, tolerance: float = 0.001) -> DataFrame:
+    """(protein_id, vix, _keep): vertices at most ``tolerance`` apart, also over several steps, become the one with the smallest number.
+
+    Where they lie on any raster does not matter. Copies at the same place are counted once before distances are taken.
+    """
+    spots = vertices.groupBy("protein_id", *XYZ).agg(F.min("vix").alias("_spot"))
+    at = materialize(spots.select("protein_id", "_spot", *XYZ))
+    close = radius_pairs(at, at, tolerance, ["protein_id"], closed=True).filter(F.col("_spot") < F.col("n__spot"))
+    low = connected(close, "_spot", "n__spot", ["protein_id"]).withColumnsRenamed({"node": "_spot", "component": "_low"})
+    at = at.join(low, ["protein_id", "_spot"], "left").withColumn("_keep", F.coalesce("_low", "_spot"))
+    return vertices.join(at, ["protein_id", *XYZ]).select("protein_id", "vix", "_keep")
+
+
 def clean(vertices: DataFrame, faces: DataFrame, tolerance: float = 0.001) -> tuple[DataFrame, DataFrame]:
-    """Merge vertices equal on a ``tolerance`` raster, drop degenerate and repeated faces and unused vertices."""
-    raster = [F.round(F.col(c) / tolerance).cast("long").alias(f"_r{c}") for c in "xyz"]
-    keyed = vertices.select("*", *raster)
-    rep = keyed.groupBy("protein_id", "_rx", "_ry", "_rz").agg(F.min("vix").alias("_keep"))
-    to = keyed.join(rep, ["protein_id", "_rx", "_ry", "_rz"]).select("protein_id", "vix", "_keep")
+    """Merge vertices up to ``tolerance`` apart, drop degenerate and repeated faces and unused vertices."""
+    to = merged(vertices, tolerance)
     f = faces
     for v in CORNERS:
         f = f.join(to.withColumnsRenamed({"vix": v, "_keep": f"_k{v}"}), ["protein_id", v]).drop(v).withColumnRenamed(f"_k{v}", v)

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,20 +45,20 @@ def _prefixed(df: DataFrame, on: list[str]) -> DataFrame:
 def radius_pairs(left: DataFrame, right: DataFrame, radius: float, on: list[str] = (), closed: bool = False, block: int = BLOCK_ROWS) -> DataFrame:
     """Every pair within ``radius`` (strict unless ``closed``): the pairs themselves are the result.
 
-    Cells as wide as the radius turn the range test into an equi-join over 27 cells. Crowded cells
+    Cells twice as wide as the radius turn the range test into an equi-join: a point of the right side is
+    sent to the cells its box touches, two per axis. Crowded cells
     are cut into blocks on both sides, so one join key never stands for more than ``block`` x
     ``block`` pairs. Use :func:`nearest` where only existence, the minimum or a few neighbours are
     wanted.
     """
     on = list(on)
     key = [*on, "_cx", "_cy", "_cz"]
-    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in product((-1, 0, 1), repeat=3)])
-    near = _cells(_prefixed(right, on).withColumnsRenamed({f"n_{c}": c for c in XYZ}), radius).withColumnsRenamed({c: f"n_{c}" for c in XYZ})
-    near = near.withColumn("_o", F.explode(offsets))
-    for c, part in zip(XYZ, "abc"):
-        near = near.withColumn(f"_c{c}", F.col(f"_c{c}") + F.col(f"_o.{part}"))
-    near = near.drop("_o")
-    cells = _cells(left, radius)
+    side, reach = 2 * radius, radius * (1 + 1e-9)  # a little more, as the box is rounded in another way than the distance
+    near = _prefixed(right, on)
+    for c in XYZ:
+        ends = [F.floor((F.col(f"n_{c}") + F.lit(r)) / F.lit(side)).cast("long") for r in (-reach, reach)]
+        near = near.withColumn(f"_c{c}", F.explode(F.sequence(*ends)))
+    cells = _cells(left, side)
     size = lambda df, name: df.groupBy(*key).agg(F.count("*").alias(name))
     both = size(cells, "_nl").join(size(near, "_nr"), key)
     worst = both.agg(F.max("_nl").alias("l"), F.max("_nr").alias("r")).first()

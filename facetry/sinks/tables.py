@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetry.functions.text import fixed
@@ -14,14 +14,31 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] = (), mode: st
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
-def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, partition_by: list[str] = (), sort_by: list[str] = ()) -> None:
-    """Managed table bucketed on (protein, vertex), so a later join on them needs no shuffle and no protein fills a bucket."""
-    w = df.write.mode("errorifexists").format("parquet").bucketBy(buckets, *keys)
+def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, partition_by: list[str] = (), sort_by: list[str] = (), path: str | None = None) -> None:
+    """Table bucketed on (protein, vertex), so a later join on them needs no shuffle and no protein fills a bucket.
+
+    Rows are dealt to the buckets before they are written: one file per bucket (and partition) instead of one per task and bucket.
+    ``path`` is a shared folder for the files; without it the table lies in the warehouse.
+    """
+    w = df.repartition(buckets, *keys).write.mode("errorifexists").format("parquet").bucketBy(buckets, *keys)
     if sort_by:
         w = w.sortBy(*sort_by)
+    if path:
+        w = w.option("path", path)
     (w.partitionBy(*partition_by) if partition_by else w).saveAsTable(name)
 
 
+def positional_join(spark: SparkSession, names: list[str], keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` of tables that :func:`write_bucketed` wrote with the same keys and buckets: bucket meets bucket, without a shuffle.
+
+    Rows with a null key do not meet; other columns need different names.
+    """
+    out = spark.table(names[0])
+    for name in names[1:]:
+        out = out.join(spark.table(name).hint("merge"), keys)
+    return out
+
+
 def write_descriptors(straight: DataFrame, flipped: DataFrame, path: str) -> None:
     write_table(straight.unionByName(flipped), path, ["variant"])
 
