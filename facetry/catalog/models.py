@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import replace
+
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from facetry import fixtures
 from facetry.align.superpose import place
-from facetry.catalog.registry import DESIGNS, query, r6
+from facetry.catalog.registry import DESIGNS, POINTS, query, r6
 from facetry.catalog.search import random_poses
 from facetry.catalog.surface import with_normals
 from facetry.models.pooling import PolarGrid, DescriptorWeights, InterfaceWeights, descriptors, interface_scores
@@ -50,6 +54,91 @@ def interface_model(spark, sf):
     return s.groupBy("protein_id").agg(F.count("*").alias("vertices"), F.bool_and(F.col("score").between(0, 1)).alias("valid"))
 
 
+# a small net with given weights over blocks of 20 vertices: every vertex is a centre, its block is its patch
+NET = PolarGrid(n_rho=2, n_theta=3, n_rotations=2, max_rho=20.0)
+NET_CHANNELS = ("charge", "hphob")
+
+
+def _net() -> InterfaceWeights:
+    w = InterfaceWeights.seeded(2, 2, NET, seed=5)
+    steps = lambda a: a + np.linspace(-0.1, 0.1, a.size).reshape(a.shape)
+    w.first = replace(w.first, conv_bias=steps(w.first.conv_bias), dense_bias=steps(w.first.dense_bias))
+    (a, ab), (b, bb) = w.head
+    return replace(w, mix_bias=steps(w.mix_bias), deep=[(m, steps(v)) for m, v in w.deep], head=[(a, steps(ab)), (b, steps(bb))])
+
+
+def _weights(name: str, a: np.ndarray) -> str:
+    """A weight array as a view: its indices i0, i1, ... and the weight w."""
+    cols = ", ".join(f"i{k}" for k in range(a.ndim))
+    return f"{name}({cols}, w) AS (VALUES " + ", ".join(f"({', '.join(map(str, i))}, {float(x)!r}::DOUBLE)" for i, x in np.ndenumerate(a)) + ")"
+
+
+def _pool_sql(name: str, values: str) -> str:
+    """Pooled values (c, f, r, cell, v) of the view ``values`` (c, rho, theta, f, x)."""
+    g, eps = NET, NET.eps
+    return f"""{name}t AS (SELECT c, rho, f, x, r, CASE WHEN theta + r * pi() >= 2 * pi() THEN theta + r * pi() - 2 * pi() ELSE theta + r * pi() END AS t FROM {values}, range({g.n_rotations}) q(r)),
+{name}g AS (SELECT c, f, r, x, i * {g.n_theta} + j AS cell, exp(-((rho - {g.max_rho} * (i + 1) / {g.n_rho}) ** 2) / {g.sigma_rho**2 + eps}) * exp(-((t - 2 * pi() * j / {g.n_theta}) ** 2) / {g.sigma_theta**2 + eps}) AS gs
+  FROM {name}t, range({g.n_rho}) a(i), range({g.n_theta}) b(j)),
+{name} AS (SELECT c, f, r, cell, sum(gs * x) / (sum(gs) + {eps}) AS v FROM {name}g GROUP BY ALL)"""
+
+
+def _net_sql() -> str:
+    w = _net()
+    parts = [
+        _weights("conv", w.first.conv), _weights("convb", w.first.conv_bias), _weights("dense", w.first.dense), _weights("denseb", w.first.dense_bias),
+        _weights("mix", w.mix), _weights("mixb", w.mix_bias), _weights("deep", w.deep[0][0]), _weights("deepb", w.deep[0][1]),
+        _weights("ha", w.head[0][0]), _weights("hab", w.head[0][1]), _weights("hb", w.head[1][0]), _weights("hbb", w.head[1][1]),
+        """mem AS (SELECT a.vix AS c, b.vix AS m, sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y)) AS rho, CASE WHEN atan2(b.y-a.y, b.x-a.x) < 0 THEN atan2(b.y-a.y, b.x-a.x) + 2*pi() ELSE atan2(b.y-a.y, b.x-a.x) END AS theta, b.charge, b.hphob
+  FROM pts a JOIN pts b ON a.vix // 20 = b.vix // 20),
+in1 AS (SELECT c, rho, theta, 0 AS f, charge AS x FROM mem UNION ALL SELECT c, rho, theta, 1, hphob FROM mem)""",
+        _pool_sql("p1", "in1"),
+        f"""cv AS (SELECT c, f, r, i2 AS d, sum(v * w) AS s FROM p1 JOIN conv ON i0 = f AND i1 = cell GROUP BY ALL),
+c1 AS (SELECT c, f, d, greatest(max(s) + any_value(w), 0) AS s FROM cv JOIN convb ON i0 = f AND i1 = d GROUP BY ALL),
+d0 AS (SELECT c, i1 AS o, sum(s * w) AS s FROM c1 JOIN dense ON i0 = f * {NET.size} + d GROUP BY ALL),
+d1 AS (SELECT c, o, s + w AS s FROM d0 JOIN denseb ON i0 = o)""",
+    ]
+    return "WITH " + POINTS + ",\n" + ",\n".join(parts)
+
+
+_DEEP = f""",
+m0 AS (SELECT c, i1 AS o, sum(greatest(s, 0) * w) AS s FROM d1 JOIN mix ON i0 = o GROUP BY ALL),
+o1 AS (SELECT c, o, greatest(s + w, 0) AS s FROM m0 JOIN mixb ON i0 = o),
+in2 AS (SELECT mem.c, rho, theta, o AS f, s AS x FROM mem JOIN o1 ON o1.c = mem.m),
+{_pool_sql("p2", "in2")},
+e0 AS (SELECT c, r, i1 AS o, sum(v * w) AS s FROM p2 JOIN deep ON i0 = f * {NET.size} + cell GROUP BY ALL),
+e1 AS (SELECT c, o, greatest(max(s) + any_value(w), 0) AS s FROM e0 JOIN deepb ON i0 = o GROUP BY ALL),
+o2 AS (SELECT c, o // {NET.size} AS f, avg(s) AS s FROM e1 GROUP BY ALL),
+a0 AS (SELECT c, i1 AS o, sum(s * w) AS s FROM o2 JOIN ha ON i0 = f GROUP BY ALL),
+a1 AS (SELECT c, o, greatest(s + w, 0) AS s FROM a0 JOIN hab ON i0 = o),
+z AS (SELECT c, sum(s * w) AS s FROM a1 JOIN hb ON i0 = o AND i1 = 0 GROUP BY c)
+SELECT c // 100 AS protein_id, c AS vix, round(1 / (1 + exp(-(s + w))), 6) AS score FROM z JOIN hbb ON i0 = 0"""
+
+
+def _block_members(spark, sf):
+    """Every vertex with the vertices of its block of 20, in polar coordinates around it."""
+    p = fixtures.points(spark, sf).withColumn("b", F.expr("vix div 20"))
+    c = p.select("b", F.expr("vix div 100").alias("protein_id"), F.col("vix").alias("center_vix"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    m = c.join(p.select("b", F.col("vix").alias("member_vix"), "x", "y", *NET_CHANNELS), "b")
+    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    polar = [F.sqrt(dx * dx + dy * dy).alias("rho"), F.pmod(F.atan2(dy, dx), F.lit(2 * math.pi)).alias("theta")]
+    return m.select("protein_id", "center_vix", "member_vix", (F.col("member_vix") % 20).cast("int").alias("pos"), *polar, *NET_CHANNELS)
+
+
+@query("descriptor_values", _net_sql() + " SELECT c // 100 AS protein_id, c AS vix, o AS place, round(s, 4) + 0.0 AS value FROM d1")
+def descriptor_values(spark, sf):
+    """Fingerprints of every vertex, number by number."""
+    d = descriptors(_block_members(spark, sf), _net().first, NET, NET_CHANNELS)
+    d = d.select("protein_id", "vix", F.posexplode("desc").alias("place", "v"))
+    return d.select("protein_id", "vix", "place", (F.round(F.col("v").cast("double"), 4) + 0.0).alias("value"))
+
+
+@query("interface_values", _net_sql() + _DEEP)
+def interface_values(spark, sf):
+    """Interface scores of every vertex after a layer over the outputs of its neighbours."""
+    s = interface_scores(materialize(_block_members(spark, sf)), _net(), NET, NET_CHANNELS)
+    return s.select("protein_id", "vix", r6("score"))
+
+
 def complexes(spark, sf) -> tuple[search.Surfaces, search.Surfaces]:
     """Database surfaces and, as targets, their mirror partners: same points, opposite normals, same fingerprints.
 

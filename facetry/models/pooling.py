@@ -7,6 +7,7 @@ limit, so one patch is one array row at the model boundary.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 CHANNELS = ("si", "ddc", "hbond", "charge", "hphob")
 PATCH = ["protein_id", "center_vix"]
+CHUNK = 4_000_000  # numbers in the arrays of one step
 
 
 @dataclass(frozen=True)
@@ -74,15 +76,50 @@ def patch_arrays(members: DataFrame, channels: list[str]) -> DataFrame:
     return g.select(*PATCH, F.col("m.rho").alias("rho"), F.col("m.theta").alias("theta"), *[F.col(f"m.{c}").alias(c) for c in channels])
 
 
+def pool_batch(rho: np.ndarray, theta: np.ndarray, values: np.ndarray, mask: np.ndarray, grid: PolarGrid) -> np.ndarray:
+    """(patches, rotations, channels, cells) of padded patches: rho, theta and mask (patches, members), values (patches, channels, members).
+
+    A cell's Gaussian is a ring's times a sector's, so exponentials are taken per ring and per sector only, and the sums over members
+    are one matrix product per patch.
+    """
+    n, f, width = values.shape
+    rings = grid.max_rho * np.arange(1, grid.n_rho + 1) / grid.n_rho
+    sectors = 2 * np.pi * np.arange(grid.n_theta) / grid.n_theta
+    turns = 2 * np.pi * np.arange(grid.n_rotations) / grid.n_rotations
+    ring = np.exp(-((rho[:, None] - rings[:, None]) ** 2) / (grid.sigma_rho**2 + grid.eps)) * mask[:, None]
+    turned = np.mod(theta[:, :, None] + turns, 2 * np.pi)
+    sector = np.exp(-((turned[..., None] - sectors) ** 2) / (grid.sigma_theta**2 + grid.eps))
+    weighed = np.concatenate([values, np.ones((n, 1, width))], 1)[:, :, None] * ring[:, None]
+    sums = weighed.reshape(n, (f + 1) * grid.n_rho, width) @ sector.reshape(n, width, -1)
+    sums = sums.reshape(n, f + 1, grid.n_rho, grid.n_rotations, grid.n_theta).transpose(0, 3, 1, 2, 4).reshape(n, grid.n_rotations, f + 1, grid.size)
+    return sums[:, :, :-1] / (sums[:, :, -1:] + grid.eps)
+
+
 def pool_patch(rho: np.ndarray, theta: np.ndarray, values: np.ndarray, grid: PolarGrid) -> np.ndarray:
     """(rotations, channels, cells) of one patch; ``values`` is (channels, members)."""
-    centers = np.array([c[1:] for c in grid.centers()])
-    radial = np.exp(-((rho[:, None] - centers[:, 0]) ** 2) / (grid.sigma_rho**2 + grid.eps))
-    turns = np.arange(grid.n_rotations) * 2 * np.pi / grid.n_rotations
-    turned = np.mod(theta[None] + turns[:, None], 2 * np.pi)
-    g = radial[None] * np.exp(-((turned[:, :, None] - centers[:, 1]) ** 2) / (grid.sigma_theta**2 + grid.eps))
-    g /= g.sum(1, keepdims=True) + grid.eps
-    return np.einsum("rmc,fm->rfc", g, values)
+    return pool_batch(rho[None], theta[None], values[None], np.ones((1, len(rho))), grid)[0]
+
+
+def pooled_chunks(rho: pd.Series, theta: pd.Series, vals: pd.Series, grid: PolarGrid) -> Iterator[np.ndarray]:
+    """Pooled patches of an Arrow batch, padded together in chunks of at most ``CHUNK`` numbers (or one patch)."""
+    rho, theta, vals = rho.to_numpy(), theta.to_numpy(), vals.to_numpy()
+    if not len(rho):
+        return
+    sizes = np.array([len(r) for r in rho])
+    f, width = len(vals[0]), max(1, int(sizes.max()))
+    each = width * (grid.n_rotations * grid.n_theta + (f + 1) * grid.n_rho) + (f + 1) * grid.n_rotations * grid.size
+    step = max(1, CHUNK // each)
+    for i in range(0, len(rho), step):
+        n = sizes[i : i + step]
+        mask = np.arange(int(n.max())) < n[:, None]
+
+        def padded(rows):
+            out = np.zeros(mask.shape)
+            out[mask] = np.concatenate(rows)
+            return out
+
+        v = np.stack([padded([x[c] for x in vals[i : i + step]]) for c in range(f)], 1)
+        yield pool_batch(padded(rho[i : i + step]), padded(theta[i : i + step]), v, mask, grid)
 
 
 @dataclass
@@ -105,8 +142,9 @@ class DescriptorWeights:
 
 
 def _convolve(pooled: np.ndarray, conv: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Per channel: dense layer per rotation, best rotation, positive part. (rotations, channels, cells) in."""
-    return np.maximum((np.einsum("rfc,fcd->rfd", pooled, conv) + bias[None]).max(0), 0.0)
+    """Per channel: dense layer per rotation, best rotation, positive part. (patches, rotations, channels, cells) in, one row per patch out."""
+    turned = pooled.transpose(0, 2, 1, 3) @ conv  # patches, channels, rotations, cells
+    return np.maximum(turned.max(2) + bias, 0.0).reshape(len(pooled), -1)
 
 
 def descriptors(members: DataFrame, weights: DescriptorWeights, grid: PolarGrid = DESCRIPTOR_GRID, channels: tuple = CHANNELS, flipped: bool = False) -> DataFrame:
@@ -123,9 +161,8 @@ def descriptors(members: DataFrame, weights: DescriptorWeights, grid: PolarGrid
     def score(rho: pd.Series, theta: pd.Series, vals: pd.Series) -> pd.Series:
         conv, conv_bias, dense, dense_bias = shared.value
         out = []
-        for r, t, v in zip(rho, theta, vals):
-            p = pool_patch(np.asarray(r), np.asarray(t), np.stack(v), grid)
-            out.append((_convolve(p, conv, conv_bias).reshape(-1) @ dense + dense_bias).astype(np.float32))
+        for p in pooled_chunks(rho, theta, vals, grid):
+            out.extend((_convolve(p, conv, conv_bias) @ dense + dense_bias).astype(np.float32))
         return pd.Series(out)
 
     arrays = patch_arrays(members, channels)
@@ -167,10 +204,9 @@ def interface_scores(members: DataFrame, weights: InterfaceWeights, grid: PolarG
     def first(rho: pd.Series, theta: pd.Series, vals: pd.Series) -> pd.Series:
         f, k = w.value.first, w.value
         out = []
-        for r, t, v in zip(rho, theta, vals):
-            h = _convolve(pool_patch(np.asarray(r), np.asarray(t), np.stack(v), grid), f.conv, f.conv_bias).reshape(-1)
-            h = np.maximum(h @ f.dense + f.dense_bias, 0.0)
-            out.append(np.maximum(h @ k.mix + k.mix_bias, 0.0))
+        for p in pooled_chunks(rho, theta, vals, grid):
+            h = np.maximum(_convolve(p, f.conv, f.conv_bias) @ f.dense + f.dense_bias, 0.0)
+            out.extend(np.maximum(h @ k.mix + k.mix_bias, 0.0))
         return pd.Series(out)
 
     def layer(i: int):
@@ -178,10 +214,9 @@ def interface_scores(members: DataFrame, weights: InterfaceWeights, grid: PolarG
         def deep(rho: pd.Series, theta: pd.Series, vals: pd.Series) -> pd.Series:
             conv, bias = w.value.deep[i]
             out = []
-            for r, t, v in zip(rho, theta, vals):
-                p = pool_patch(np.asarray(r), np.asarray(t), np.stack(v), grid)
-                h = np.maximum((p.reshape(len(p), -1) @ conv + bias).max(0), 0.0)
-                out.append(h.reshape(p.shape[1], -1).mean(1))
+            for p in pooled_chunks(rho, theta, vals, grid):
+                h = np.maximum((p.reshape(*p.shape[:2], -1) @ conv + bias).max(1), 0.0)
+                out.extend(h.reshape(*p.shape[:1], p.shape[2], -1).mean(2))
             return pd.Series(out)
 
         return deep

@@ -30,6 +30,8 @@ def pooled_features(features: DataFrame, keys: list[str], names: tuple = FEATURE
     agg = [F.avg(n).alias(f"mean_{n}") for n in names] + [F.coalesce(F.stddev_pop(n), F.lit(0.0)).alias(f"sd_{n}") for n in names]
     return features.groupBy(*keys).agg(*agg, F.avg((F.col("nn_dist") < 1.5).cast("double")).alias("near_share"))
 
+STEP_NUMBERS = 4_000_000  # numbers in the widest layer of one step
+
 
 @dataclass
 class HeuristicScorer:
@@ -104,12 +106,15 @@ class NetScorer:
         @F.pandas_udf("double")
         def run(x: pd.Series) -> pd.Series:
             s = net.value
-            out = np.empty(len(x))
-            for i, rows in enumerate(x):
-                a = np.zeros((1, s.max_points, len(s.names)))
-                a[0, : len(rows)] = np.stack(rows)
-                out[i] = s._predict(a)[0]
-            return pd.Series(out)
+            step = max(1, STEP_NUMBERS // (s.max_points * max(len(b) for _, b, *_ in s.points)))
+            out = [np.empty(0)]
+            for i in range(0, len(x), step):
+                some = x.iloc[i : i + step]
+                n = np.array([len(rows) for rows in some])
+                a = np.zeros((len(some), s.max_points, len(s.names)))
+                a[np.arange(s.max_points) < n[:, None]] = np.stack([p for rows in some for p in rows])
+                out.append(s._predict(a))
+            return pd.Series(np.concatenate(out))
 
         return self._arrays(features, keys).select(*keys, run("x").alias("score"))
 
