@@ -236,6 +236,71 @@ def alignment_net_scores(spark, sf):
     return s.select(*keys, F.col("score").between(0, 1).alias("valid"))
 
 
+# a small point net over plain arithmetic of the events
+POINT_NET = NetScorer(
+    points=[(np.linspace(-0.9, 0.8, 12).reshape(4, 3), np.array([0.1, -0.2, 0.3]), np.array([1.1, 0.9, 1.2]), np.array([0.05, 0.1, -0.1])), (np.linspace(0.7, -0.6, 12).reshape(3, 4), np.array([0.2, 0.1, 0.0, 0.3]), np.ones(4), np.zeros(4))],
+    dense=[(np.linspace(-8.0, 9.0, 12).reshape(4, 3), np.array([0.1, 0.0, -0.1]), None, None), (np.array([[-3.0, 4.0], [2.0, -1.0], [-2.0, 3.0]]), np.array([0.0, 0.2]), None, None)],
+)
+_EVENT_POINTS = "(event_id % 97) / 40.0 AS a, (event_id % 31) / 20.0 AS b, (event_id % 13) / 6.5 - 1 AS c, (event_id % 7) / 7.0 AS d"
+
+
+def _layer(name: str, source: str, i: int, kind: str, last: bool = False) -> str:
+    """View (k, p, o, s): one layer of ``source``, positive part unless it is the last."""
+    value = "sum(s * m.w) + any_value(b.w)"
+    if kind == "pw":
+        value = f"({value}) * any_value(a.w) + any_value(h.w)"
+    more = f"JOIN {kind}{i}a a ON a.i0 = m.i1 JOIN {kind}{i}h h ON h.i0 = m.i1 " if kind == "pw" else ""
+    value = value if last else f"greatest({value}, 0)"
+    return f"{name} AS (SELECT k, p, m.i1 AS o, {value} AS s FROM {source} JOIN {kind}{i} m ON m.i0 = o JOIN {kind}{i}b b ON b.i0 = m.i1 {more}GROUP BY k, p, m.i1)"
+
+
+def _point_net_sql() -> str:
+    n, parts = POINT_NET, []
+    for i, (m, b, scale, shift) in enumerate(n.points):
+        parts += [_weights(f"pw{i}", m), _weights(f"pw{i}b", b), _weights(f"pw{i}a", scale), _weights(f"pw{i}h", shift)]
+    for i, (m, b, *_) in enumerate(n.dense):
+        parts += [_weights(f"dw{i}", m), _weights(f"dw{i}b", b)]
+    parts.append(f"""ev AS (SELECT user_id || '/' || event_type AS k, event_id AS p, {_EVENT_POINTS} FROM events),
+q AS (SELECT k, p, 0 AS o, 1 / greatest(a, 0.5)::DOUBLE AS s FROM ev UNION ALL SELECT k, p, 1, 1 / (0.4 + b)::DOUBLE FROM ev UNION ALL SELECT k, p, 2, c::DOUBLE FROM ev UNION ALL SELECT k, p, 3, 1 / (0.5 + d)::DOUBLE FROM ev
+  UNION ALL SELECT '', -1, o, 0.0 FROM range(4) t(o))""")
+    last = "q"
+    for i in range(len(n.points)):
+        parts.append(_layer(f"q{i}", last, i, "pw"))
+        last = f"q{i}"
+    parts.append(f"""blank AS (SELECT o, s AS z FROM {last} WHERE p = -1), h AS (SELECT k, p, o, s, z FROM {last} JOIN blank USING (o) WHERE p <> -1),
+tot AS (SELECT k, o, sum(s) + ({n.max_points} - count(*)) * any_value(z) AS t, count(*) AS n FROM h GROUP BY ALL),
+r AS (SELECT k, -1 AS p, o, t / {n.max_points} AS s FROM tot UNION ALL SELECT k, p, o, (t - s + z) / {n.max_points} FROM h JOIN tot USING (k, o))""")
+    last = "r"
+    for i in range(len(n.dense)):
+        parts.append(_layer(f"r{i}", last, i, "dw", i + 1 == len(n.dense)))
+        last = f"r{i}"
+    parts.append(f"sc AS (SELECT k, p, 1 / (1 + exp(sum(CASE o WHEN 0 THEN s ELSE -s END))) AS score FROM {last} GROUP BY k, p)")
+    return "WITH " + ",\n".join(parts)
+
+
+def _event_points(spark, sf):
+    e = fixtures.table(spark, sf, "events").select(F.concat_ws("/", "user_id", "event_type").alias("k"), F.col("event_id").alias("vix"))
+    part = lambda n, by: (F.col("vix") % n) / by
+    return e.withColumns({"f_dist": 1 / F.greatest(part(97, 40.0), F.lit(0.5)), "f_desc": 1 / (0.4 + part(31, 20.0)), "f_normal": part(13, 6.5) - 1, "f_atom": 1 / (0.5 + part(7, 7.0))})
+
+
+@query("alignment_net_values", _point_net_sql() + " SELECT k, round(score, 6) AS score FROM sc WHERE p = -1")
+def alignment_net_values(spark, sf):
+    """Scores of every pose of the point net, its events being the points."""
+    return POINT_NET.score(_event_points(spark, sf), ["k"]).select("k", r6("score"))
+
+
+@query(
+    "point_importance_values",
+    _point_net_sql() + """, df AS (SELECT a.k, a.p, a.score - b.score AS d, b.score AS base FROM sc a JOIN sc b ON a.k = b.k AND b.p = -1 WHERE a.p <> -1), mx AS (SELECT k, max(abs(d)) AS m FROM df GROUP BY k)
+SELECT k, p AS vix, round(CASE WHEN base > 0.91 AND m > 0 THEN d / m ELSE 0 END, 4) + 0.0 AS importance FROM df JOIN mx USING (k)""",
+)
+def point_importance_values(spark, sf):
+    """Change of the score when one point is blanked, as a share of the largest change of the pose."""
+    out = POINT_NET.point_importance(_event_points(spark, sf), ["k"], cutoff=0.91)
+    return out.select("k", "vix", (F.round("importance", 4) + 0.0).alias("importance"))
+
+
 @query("pocket_sampling", """WITH p AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) >= 32) SELECT user_id, s::INT AS sample, 32 AS points FROM p, range(1, 101) t(s)""")
 def pocket_sampling(spark, sf):
     """A hundred random subsets of 32 points of every pocket that is large enough."""
