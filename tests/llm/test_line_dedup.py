@@ -1,11 +1,16 @@
+import math
 import random
+from collections import Counter
+from fractions import Fraction
+
+import pytest
 
 from facetry.llm.line_dedup import MIN_DOCS, line_dedup, op4_line_dedup
 from tests.llm import fixtures
 
 
-def brute(texts, min_docs, dominance):
-    """The same rule with strings instead of hashes, one document after the other."""
+def brute(texts, min_docs):
+    """The rule in force with strings and fractions instead of hashes and whole numbers, one document after the other: kept lines of each."""
 
     def forms(line):
         t = ["*" if any("0" <= c <= "9" for c in x) else x for x in line.split()]
@@ -16,17 +21,33 @@ def brute(texts, min_docs, dominance):
                 out.append((kind, tuple("*" if i >= 2 and test(i) else x for i, x in enumerate(t))))
         return out
 
-    contexts = {}
+    docs = []  # for each document its different lines by their exact form: (all forms, characters)
     for text in texts:
-        each = [f for f in map(forms, (text or "").split("\n")) if f]
-        seen = {}
-        for i, own in enumerate(each):
-            around = each[i - 1][0] if i else None, each[i + 1][0] if i + 1 < len(each) else None
-            for g in own:
-                seen.setdefault(g, around)
-        for g, around in seen.items():
-            contexts.setdefault(g, []).append(around)
-    gone = {g for g, a in contexts.items() if len(set(a)) >= min_docs and max(map(a.count, set(a))) <= dominance * len(a)}
+        lines = {}
+        for line in (text or "").split("\n"):
+            own = forms(line)
+            if own:
+                lines[own[0]] = own, len(line) + (lines[own[0]][1] if own[0] in lines else 0)
+        docs.append(list(lines.values()))
+    in_docs = Counter(g for lines in docs for g in {g for own, _ in lines for g in own})
+    weight = Counter()
+    for lines in docs:
+        # characters that no other document has, then the rarer lines until a quarter of the text is covered
+        shared = sorted((max(in_docs[g] for g in own), size) for own, size in lines if max(in_docs[g] for g in own) > 1)
+        total = sum(size for _, size in lines)
+        covered, q = total - sum(size for _, size in shared), 1
+        for n, size in shared:
+            if 4 * covered >= total:
+                break
+            covered, q = covered + size, n
+        for g in {g for own, _ in lines for g in own}:
+            weight[g] += Fraction(1, q)
+
+    def needed(g):
+        fixed = sum(x != "*" for x in g[1])
+        return min_docs if fixed <= 10 else max(math.ceil(Fraction(min_docs * 10, fixed)), min(2, min_docs))
+
+    gone = {g for g, w in weight.items() if in_docs[g] > 1 and w >= needed(g)}
     return [[] if t is None else [x for x in t.split("\n") if not gone & set(forms(x))] for t in texts]
 
 
@@ -49,7 +70,7 @@ def made(rng):
 def test_against_brute_force(spark):
     texts = made(random.Random(4))
     got = {r["doc_id"]: r for r in line_dedup(fixtures.docs(spark, texts).repartition(7), min_docs=8).collect()}
-    kept = brute(texts, 8, 0.5)
+    kept = brute(texts, 8)
     want = [None if t is None else "\n".join(k) for t, k in zip(texts, kept)]
     assert [got[i]["text"] for i in range(len(texts))] == want
     assert any("Dear" in (t or "") for t in texts) and not any("Dear" in (t or "") or "Posted" in (t or "") or "rights" in (t or "") for t in want)
@@ -58,6 +79,27 @@ def test_against_brute_force(spark):
         assert (got[i]["n_lines"], got[i]["n_dropped"]) == (n, n - len(kept[i]))
 
 
+@pytest.mark.parametrize("seed, min_docs", [(1, 2), (2, 4), (3, 7), (4, 10)])
+def test_against_brute_force_where_texts_share_much(spark, seed, min_docs):
+    rng = random.Random(seed)
+    short = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(14)]
+    long = [" ".join(own_lines(rng, n)) for n in (2, 3, 5, 8, 9)]
+    fields = lambda: f"seen {rng.randint(1, 99)} times by {rng.choice('uvwxyz')} near the old mill of {rng.choice('uvwxyz')}"
+    texts = []
+    for _ in range(150):
+        lines = rng.choices(short, k=rng.randint(0, 5)) + rng.choices(long, k=rng.choice([0, 0, 1])) + own_lines(rng, rng.randint(0, 3))
+        lines += [fields()] if rng.random() < 0.3 else []
+        rng.shuffle(lines)
+        texts.append("\n".join(lines))
+    texts += [texts[i] for i in rng.choices(range(150), k=40)]
+    texts += [texts[i] + "\n" + own_lines(rng, 1)[0] for i in rng.choices(range(150), k=20)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup(fixtures.docs(spark, texts).repartition(6), min_docs=min_docs).collect()}
+    want = ["\n".join(k) for k in brute(texts, min_docs)]
+    assert [got[i] for i in range(len(texts))] == want
+    changed = sum(a != b for a, b in zip(texts, want))
+    assert 0 < changed < len(texts)
+
+
 def test_copied_texts_keep_their_lines(spark):
     texts = ["first line of a text\nsecond line of it\nthird"] * 50
     got = line_dedup(fixtures.docs(spark, texts), min_docs=2).collect()
