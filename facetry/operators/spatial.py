@@ -23,6 +23,8 @@ BLOCK_ROWS = 10_000
 MAX_DEPTH = 24
 STEP = 2
 SAMPLE_POINTS = 1_000_000
+SHARES = sorted({i / 16 for i in range(1, 16)} | {t for e in (2, 3, 4, 5) for t in (10.0**-e, 1 - 10.0**-e)})
+ACCURACY = 100_000
 
 
 def ball(points: DataFrame, center: tuple[float, float, float], radius: float) -> DataFrame:
@@ -76,19 +78,46 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius: float, on: list[str]
     return pairs.withColumn("dist", d).filter(hit).drop("_cx", "_cy", "_cz", "_bl", "_br")
 
 
-def _depth(points: DataFrame, on: list[str], n: int, origin: list[float], side: float, leaf: int) -> int:
+def _spread(points: DataFrame) -> tuple[int, dict[str, Column]]:
+    """Number of points, and per axis a column in [0, 1) that rises with the coordinate and deals the points about evenly.
+
+    It runs straight between quantiles of the data (a bounded sketch), closer ones towards both ends, so that neither a far outlier nor a
+    dense spot leaves most points in a few cells. Only the cut into cells depends on it, never a distance.
+    """
+    q = [F.percentile_approx(c, F.array(*[F.lit(x) for x in SHARES]), F.lit(ACCURACY)).alias(f"q_{c}") for c in XYZ]
+    ext = points.agg(F.count("*").alias("n"), *q, *[f(c).alias(f"{f.__name__}_{c}") for c in XYZ for f in (F.min, F.max)]).first()
+    out = {}
+    for c in XYZ:
+        low, high = ext[f"min_{c}"], ext[f"max_{c}"]
+        if low is None or not low < high:
+            out[c] = F.lit(0.0)
+            continue
+        at = {float(low): 0.0} | {float(v): p for v, p in zip(ext[f"q_{c}"], SHARES) if low < v < high} | {float(high): 1.0}
+        knots = sorted(at.items())
+        part = lambda a, b: F.least(F.greatest((F.col(c) - F.lit(a)) / F.lit(b - a), F.lit(0.0)), F.lit(1.0))
+        out[c] = sum(part(a, b) * F.lit(pb - pa) for (a, pa), (b, pb) in zip(knots, knots[1:])) * F.lit(1 - 1e-9)
+    return ext["n"], out
+
+
+def _placed(df: DataFrame, spread: dict[str, Column]) -> DataFrame:
+    return df.select("*", *[u.alias(f"_u{c}") for c, u in spread.items()])
+
+
+def _code(level: int) -> list[Column]:
+    """Cell of a placed point; halving steps, so a cell's parent is its number shifted to the right."""
+    return [F.floor(F.col(f"_u{c}") * F.lit(float(1 << level))).cast("long").alias(f"_c{c}") for c in XYZ]
+
+
+def _depth(points: DataFrame, on: list[str], n: int, spread: dict[str, Column], leaf: int) -> int:
     """Smallest octree depth at which no cell holds more than about ``leaf`` points (planning only)."""
     if n <= 8 * leaf:  # so few that testing all of them costs less than another level
         return STEP
     share = min(1.0, SAMPLE_POINTS / n)
     sample = points if share == 1.0 else points.filter(F.pmod(F.xxhash64(*XYZ), F.lit(1 << 30)) < int(share * (1 << 30)))
     levels = list(range(STEP, MAX_DEPTH + 1, STEP))
-    per_level = []
-    for lv in levels:
-        w = side / (1 << lv)
-        per_level.append(F.struct(F.lit(lv).alias("lv"), *[F.floor((F.col(c) - o) / w).cast("long").alias(c) for c, o in zip(XYZ, origin)]))
+    per_level = [F.struct(F.lit(lv).alias("lv"), *_code(lv)) for lv in levels]
     counts = (
-        sample.select(*on, F.explode(F.array(*per_level)).alias("c"))
+        _placed(sample, spread).select(*on, F.explode(F.array(*per_level)).alias("c"))
         .groupBy(*on, "c")
         .count()
         .groupBy("c.lv")
@@ -102,11 +131,6 @@ def _depth(points: DataFrame, on: list[str], n: int, origin: list[float], side:
     return MAX_DEPTH
 
 
-def _code(level: int, origin: list[float], side: float) -> list[Column]:
-    w = side / (1 << level)
-    return [F.floor((F.col(c) - F.lit(o)) / F.lit(w)).cast("long").alias(f"_c{c}") for c, o in zip(XYZ, origin)]
-
-
 def nearest(
     queries: DataFrame,
     targets: DataFrame,
@@ -138,12 +162,8 @@ def nearest(
         ids = top_k(t, at, [F.col("n_id")], k, "_copy").drop("_copy")
     ids = materialize(ids)  # read once per level below
 
-    ext = ids.agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in XYZ for f in (F.min, F.max)]).first()
-    n = ext["n"]
-    origin = [ext[f"min_{c}"] or 0.0 for c in XYZ]
-    span = max([(ext[f"max_{c}"] or 0.0) - o for c, o in zip(XYZ, origin)] + [1e-9])
-    side = span * (1 + 1e-9) + 1e-12
-    depth = _depth(ids.select(*at), on, n, origin, side, leaf)
+    n, spread = _spread(ids)
+    depth = _depth(ids.select(*at), on, n, spread, leaf)
 
     box = [f"{tag}_{c}" for c in XYZ for tag in ("lo", "hi")]
     cell = ["_lv", "_cx", "_cy", "_cz"]
@@ -163,8 +183,8 @@ def nearest(
 
     def addresses(df: DataFrame) -> DataFrame:
         """Each point once per level, with the cell it falls into."""
-        each = [F.struct(F.lit(lv).alias("_lv"), *_code(lv, origin, side)) for lv in levels]
-        return df.withColumn("_a", F.explode(F.array(*each))).select(*df.columns, *[F.col(f"_a.{c}").alias(c) for c in cell])
+        each = [F.struct(F.lit(lv).alias("_lv"), *_code(lv)) for lv in levels]
+        return _placed(df, spread).withColumn("_a", F.explode(F.array(*each))).select(*df.columns, *[F.col(f"_a.{c}").alias(c) for c in cell])
 
     # tree of cells: count and true bounding box; a cell is only split while it is crowded
     ends = [f(c).alias(f"{tag}_{c}") for c in XYZ for f, tag in ((F.min, "lo"), (F.max, "hi"))]

@@ -160,3 +160,28 @@ def test_threshold_match(spark, monkeypatch, salted):
     assert lists.vix_list.map(len).sum() == len(want) and lists.vix_list.map(len).max() <= 3
     top = rank_database(db, tg, ["target"], 5, ["vix"]).toPandas().sort_values(["target", "rank"])
     assert (top.vix.values.reshape(12, 5) == np.argsort(dist, axis=0)[:5].T).all()
+
+
+@pytest.mark.parametrize("kind", ["far", "two scales", "plane", "line"])
+def test_cells_stay_small_whatever_the_spread(spark, kind):
+    rng = np.random.default_rng(4)
+    p = rng.normal(0, 1, (4000, 3))
+    if kind == "far":
+        p[0] = 1e9
+    elif kind == "two scales":
+        p[:2000] *= 1e-6
+        p[5] = -1e12
+    elif kind == "plane":
+        p[:, 2] = 7.0
+    else:
+        p[:, 1:] = 0.0
+        p[0, 0] = 1e9
+    points = frame(spark, p, "i")
+    n, spread = spatial._spread(points)
+    depth = spatial._depth(points, [], n, spread, 64)
+    most = spatial._placed(points, spread).groupBy(*spatial._code(depth)).count().agg(F.max("count")).first()[0]
+    assert n == 4000 and depth < spatial.MAX_DEPTH and most <= 64
+    q = np.concatenate([p[:30], rng.normal(0, 2, (30, 3)), [[1e8, 0, 0]]])
+    got = {r["j"]: (r["n_i"], r["n_dist"]) for r in spatial.nearest(frame(spark, q, "j"), points, "i", leaf=64).collect()}
+    d = np.sqrt(((q[:, None] - p[None]) ** 2).sum(2))
+    assert len(got) == len(q) and all(abs(got[j][1] - d[j].min()) <= 1e-9 * max(1, d[j].min()) for j in range(len(q)))
