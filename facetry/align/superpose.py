@@ -157,15 +157,20 @@ def _plane_step(sums: pd.Series) -> pd.DataFrame:
 
 
 def plane_step(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """One point-to-plane least-squares step per group from pairs (x..z) -> (qx..qz) with normals qnx..qnz."""
+    """One point-to-plane least-squares step per group from pairs (x..z) -> (qx..qz) with normals qnx..qnz.
+
+    Columns: keys, step, the number of pairs (``partners``) and the sum of their squared distances before the step (``sq_dist``).
+    """
     p, q, n = ("x", "y", "z"), ("qx", "qy", "qz"), ("qnx", "qny", "qnz")
     row = [*cross3(p, n), *[F.col(c) for c in n]]
     gap = dot3(tuple(F.col(a) - F.col(b) for a, b in zip(q, p)), n)
-    v = pairs.select(*keys, *[c.alias(f"_a{i}") for i, c in enumerate(row)], gap.alias("_g"))
+    apart = sum(F.pow(F.col(a) - F.col(b), F.lit(2.0)) for a, b in zip(p, q))
+    v = pairs.select(*keys, *[c.alias(f"_a{i}") for i, c in enumerate(row)], gap.alias("_g"), apart.alias("_d"))
     sums = [F.sum(F.col(f"_a{i}") * F.col(f"_a{j}")).alias(f"_s{i}{j}") for i in range(6) for j in range(i, 6)]
     sums += [F.sum(F.col(f"_a{i}") * F.col("_g")).alias(f"_b{i}") for i in range(6)]
-    g = v.groupBy(*keys).agg(*sums)
-    return g.withColumn("step", _plane_step(F.array(*[c for c in g.columns if c not in keys]))).select(*keys, "step")
+    names = [f"_s{i}{j}" for i in range(6) for j in range(i, 6)] + [f"_b{i}" for i in range(6)]
+    g = v.groupBy(*keys).agg(*sums, F.count("*").alias("partners"), F.sum("_d").alias("sq_dist"))
+    return g.select(*keys, _plane_step(F.array(*names)).alias("step"), "partners", "sq_dist")
 
 
 def identity_pose() -> Column:

@@ -7,11 +7,13 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from facetry.align.superpose import place, plane_step, superpose, vote_poses
+from facetry.align.refine import refine
+from facetry.align.superpose import identity_pose, place, plane_step, superpose, vote_poses
 from facetry.functions.chem import contact_radius
 from facetry.operators import contact, spatial
 from facetry.operators.patch import interpolate
 from facetry.operators.vector_search import match_lists, rank_database, threshold_match
+from facetry.session import materialize
 
 
 def cloud(rng, n, hot=0.35):
@@ -185,3 +187,21 @@ def test_cells_stay_small_whatever_the_spread(spark, kind):
     got = {r["j"]: (r["n_i"], r["n_dist"]) for r in spatial.nearest(frame(spark, q, "j"), points, "i", leaf=64).collect()}
     d = np.sqrt(((q[:, None] - p[None]) ** 2).sum(2))
     assert len(got) == len(q) and all(abs(got[j][1] - d[j].min()) <= 1e-9 * max(1, d[j].min()) for j in range(len(q)))
+
+
+def test_refinement_never_loses_partners(spark):
+    """Six nearly coplanar points hardly fix a step along their plane; the pose that they start with is nearly right."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(40):
+        p = np.array([(0, 0, 0), (1, 0, 0), (0, 1, 0), (1, 1, 0), (2, 0, 0), (0, 2, 0)], dtype=float) + rng.normal(size=(6, 3)) * [0, 0, 0.05]
+        n = np.c_[rng.normal(size=(6, 2)) * 0.05, np.ones(6)]
+        n /= np.linalg.norm(n, axis=1, keepdims=True)
+        rows += [(g, i, *map(float, p[i]), *map(float, n[i])) for i in range(6)]
+    t = spark.createDataFrame(rows, "g long, vix long, x double, y double, z double, nx double, ny double, nz double")
+    s = t.withColumnRenamed("vix", "pos").withColumns({"x": F.col("x") + 0.06 * F.rand(1), "y": F.col("y") + 0.06 * F.rand(2), "z": F.col("z") + 0.06 * F.rand(3)})
+    s = materialize(s)
+    start = t.select("g").distinct().withColumn("pose", identity_pose())
+    end = refine(s, t, start, ["g"], ["g"], rounds=2)
+    held = spatial.nearest(place(s, end, ["g"], normals=False), t, "vix", ["g"], 1, 1.0).groupBy("g").agg(F.count("*").alias("n"), F.sum(F.pow("n_dist", F.lit(2.0))).alias("e")).toPandas()
+    assert len(held) == 40 and (held.n == 6).all() and (held.e < 6 * 3 * 0.06**2).all()
