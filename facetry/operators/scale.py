@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from facetry.session import materialize
 
 SEGMENT_ROWS = 2_000_000
+BROADCAST_GROUPS = 10_000
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -105,10 +108,11 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
 
     A sketch only narrows the search: its error bound gives a bracket around each wanted order
     statistic, rows below the bracket are counted and only the bracket itself is sorted. Where all
-    groups are small the built-in aggregate does.
+    groups are small the built-in aggregate does. Few groups go to the rows, so rows never gather by key.
     """
     src = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    most = src.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    seen = src.groupBy(*keys).count().agg(F.max("count").alias("most"), F.count("*").alias("groups")).first()
+    most = seen["most"] or 0
     if most <= small_group:
         found = src.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_p"))
         return found.select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(probs)])
@@ -137,7 +141,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[st
         ]
     )
     brackets = stats.select(*keys, F.explode(wanted).alias("w")).select(*keys, "w.*")
-    joined = src.join(brackets, keys) if keys else src.join(F.broadcast(brackets))  # no keys: len(probs) rows
+    if seen["groups"] <= BROADCAST_GROUPS:  # also where a whole column is one group; a counted number of short rows
+        brackets = F.broadcast(brackets)
+    joined = src.join(brackets, keys) if keys else src.join(brackets)
     counts = (
         joined.withColumn("_b", F.when(F.col("_v") < F.col("lo"), F.lit(None)).otherwise(F.col("_v")))
         .filter(F.col("_v") <= F.col("hi"))

@@ -135,3 +135,19 @@ def test_repaired_uses_every_row_once(skewed):
     left, right = df.select("k", F.col("i").alias("a")), df.select("k", F.col("i").alias("b"))
     got = repaired(left, right, ["k"], "a", "b", seed=4, segment_rows=100).toPandas()
     assert got.a.is_unique and got.b.is_unique and len(got) == df.count() and (got.a != got.b).mean() > 0.8
+
+
+def test_percentiles_of_few_groups_leave_rows_in_place(skewed, capsys):
+    """Whole columns as groups: rows meet their brackets where they are, instead of gathering by key in a few tasks."""
+    pdf, df = skewed
+    spark, conf = df.sparkSession, "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(conf)
+    spark.conf.set(conf, "-1")
+    try:
+        out = scale.exact_percentiles(df, ["k"], "v", {"a": 0.25, "b": 0.5}, accuracy=100, small_group=0)
+        out.explain()
+        got = out.toPandas().set_index("k").sort_index()
+    finally:
+        spark.conf.set(conf, old)
+    assert "SortMergeJoin" not in capsys.readouterr().out
+    assert np.allclose(got[["a", "b"]].values, pdf.groupby("k").v.quantile([0.25, 0.5]).unstack().values)
