@@ -8,20 +8,24 @@ of blocks. The pivots decide how much is measured, never what is found.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facetry.operators.vector_search import BROADCAST_BYTES
 from facetry.session import materialize
 
 PIVOTS = 16
 SAMPLE_ROWS = 8_192
-ROWS, COLUMNS = 2_048, 2_048  # of a block that is measured at once
-PART_ROWS = 20_000
+ROWS, COLUMNS = 1_024, 1_024  # of a block that is measured at once
+EXACT = 65_536  # pairs whose distance is taken at once
+PART_ROWS = 8_192
 SLACK = 1e-9  # distances of the two sides may be rounded differently
 
 
@@ -53,6 +57,11 @@ def _matrix(vectors: pd.Series, dim: int) -> np.ndarray:
     return np.concatenate(vectors.to_numpy()).astype(np.float64).reshape(len(vectors), dim) if len(vectors) else np.zeros((0, dim))
 
 
+def _flat(vectors: pa.Array) -> np.ndarray:
+    """Rows of equally long vectors as a matrix, without a Python object per row."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 1))
+
+
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Distances of all rows of ``x`` to all rows of ``y``, by a product; good to about 1e-8 of the vectors' length."""
     sq = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2.0 * (x @ y.T)
@@ -92,9 +101,9 @@ def visits(near: np.ndarray, far: np.ndarray, to_pivots: np.ndarray, max_dist: f
     return inside & ((to_pivots - to_pivots.min(axis=1, keepdims=True)) / 2 < reach)
 
 
-def _met(x: np.ndarray, xp: np.ndarray, t: np.ndarray, tp: np.ndarray, max_dist: float) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], int]:
-    """(row, target, distance) of the matches among rows ``x`` and targets ``t``, and how many pairs had to be measured."""
-    found, measured, reach = [], 0, max_dist + SLACK
+def _met(x: np.ndarray, xp: np.ndarray, t: np.ndarray, tp: np.ndarray, max_dist: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Per block of rows ``x`` and targets ``t``: (row, target, distance) of its matches, and how many pairs had to be measured."""
+    reach = max_dist + SLACK
     for a in range(0, len(x), ROWS):
         for b in range(0, len(t), COLUMNS):
             ok = np.ones((len(x[a : a + ROWS]), len(t[b : b + COLUMNS])), dtype=bool)
@@ -103,14 +112,12 @@ def _met(x: np.ndarray, xp: np.ndarray, t: np.ndarray, tp: np.ndarray, max_dist:
             rows, cols = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
             if not len(rows):
                 continue
-            measured += int(ok.sum())
             near = distances(x[a + rows], t[b + cols]) < max_dist + 1e-6
             i, j = np.nonzero(near & ok[np.ix_(rows, cols)])
             i, j = a + rows[i], b + cols[j]
-            d = _exact(x[i], t[j])
+            d = np.concatenate([np.empty(0), *[_exact(x[i[k : k + EXACT]], t[j[k : k + EXACT]]) for k in range(0, len(i), EXACT)]])
             keep = d < max_dist
-            found.append((i[keep], j[keep], d[keep]))
-    return found, measured
+            yield i[keep], j[keep], d[keep], int(ok.sum())
 
 
 def _targets(targets: DataFrame) -> tuple[DataFrame, int, int]:
@@ -139,20 +146,23 @@ def pivot_match(index: PivotIndex, targets: DataFrame, max_dist: float, min_scor
         own_p = np.stack([_exact(own, p) for p in pivots], axis=1)
         seen = visits(near, far, own_p, max_dist)
 
-        @F.pandas_udf("array<struct<_t:bigint,desc_dist:double>>")
-        def met(desc: pd.Series, to_pivots: pd.Series, cell: pd.Series) -> pd.Series:
-            x, xp, cells = _matrix(desc, dim), _matrix(to_pivots, len(pivots)), cell.to_numpy()
-            out = [[] for _ in range(len(x))]
-            for c in np.unique(cells):
-                at, to = np.flatnonzero(cells == c), np.flatnonzero(seen[:, c])
-                for i, j, d in _met(x[at], xp[at], own[to], own_p[to], max_dist)[0] if len(to) else ():
-                    for r, k, v in zip(at[i].tolist(), ids[to[j]].tolist(), d.tolist()):
-                        out[r].append({"_t": k, "desc_dist": v})
-            return pd.Series(out)
+        def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, xp = (_flat(batch.column(c)) for c in ("desc", "pivot_dists"))
+                cells, others = batch.column("cell").to_numpy(zero_copy_only=False), batch.select(keep)
+                for c in np.unique(cells):
+                    at, to = np.flatnonzero(cells == c), np.flatnonzero(seen[:, c])
+                    # the matches of a block leave before the next one is measured
+                    for i, j, d, _ in _met(x[at], xp[at], own[to], own_p[to], max_dist):
+                        for k in range(0, len(i), EXACT):
+                            some = slice(k, k + EXACT)
+                            columns = others.take(pa.array(at[i[some]])).columns
+                            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids[to[j[some]]]), pa.array(d[some])], names=[*keep, "_t", "desc_dist"])
 
         may = F.array(*[F.lit(bool(v)) for v in seen.any(axis=0)])
-        found = rows.filter(F.element_at(may, F.col("cell") + 1)).withColumn("_m", F.explode(met("desc", "pivot_dists", "cell")))
-        return found.select(*keep, F.col("_m._t").alias("_t"), F.col("_m.desc_dist").alias("desc_dist")).join(F.broadcast(keys), "_t").select(*keep, *keys.drop("_t").columns, "desc_dist")
+        kind = T.StructType([f for f in rows.select(*keep).schema] + [T.StructField("_t", T.LongType()), T.StructField("desc_dist", T.DoubleType())])
+        found = rows.filter(F.element_at(may, F.col("cell") + 1)).select(*keep, "desc", "pivot_dists", "cell").mapInArrow(met, kind)
+        return found.join(F.broadcast(keys), "_t").select(*keep, *keys.drop("_t").columns, "desc_dist")
 
     @F.pandas_udf("struct<dists:array<double>,cells:array<int>>")
     def visited(desc: pd.Series) -> pd.DataFrame:
@@ -161,7 +171,8 @@ def pivot_match(index: PivotIndex, targets: DataFrame, max_dist: float, min_scor
         return pd.DataFrame({"dists": list(xp), "cells": [np.flatnonzero(v).astype(np.int32) for v in visits(near, far, xp, max_dist)]})
 
     def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = _met(_matrix(left["desc"], dim), _matrix(left["pivot_dists"], len(pivots)), _matrix(right["t_desc"], dim), _matrix(right["_p"], len(pivots)), max_dist)[0] if len(left) and len(right) else []
+        # at most PART_ROWS x COLUMNS pairs, kept as numbers only
+        out = list(_met(_matrix(left["desc"], dim), _matrix(left["pivot_dists"], len(pivots)), _matrix(right["t_desc"], dim), _matrix(right["_p"], len(pivots)), max_dist)) if len(left) and len(right) else []
         pick = lambda k, ids=None: np.concatenate([ids[f[k]] if ids is not None else f[k] for f in out]) if out else []
         return pd.DataFrame({"row": pick(0, left["row"].to_numpy()), "_t": pick(1, right["_t"].to_numpy()), "desc_dist": pick(2)})
 
@@ -192,8 +203,8 @@ def measured_share(index: PivotIndex, targets: DataFrame, max_dist: float) -> di
             for c in np.unique(cells):
                 at, to = np.flatnonzero(cells == c), np.flatnonzero(seen[:, c])
                 visited += len(at) * len(to)
-                found, m = _met(x[at], xp[at], own[to], own_p[to], max_dist)
-                measured, matched = measured + m, matched + sum(len(f[0]) for f in found)
+                for i, _, _, m in _met(x[at], xp[at], own[to], own_p[to], max_dist):
+                    measured, matched = measured + m, matched + len(i)
             yield pd.DataFrame({"pairs": [len(df) * n], "visited": [visited], "measured": [measured], "matched": [matched]})
 
     got = index.rows.select("desc", "pivot_dists", "cell").mapInPandas(count, "pairs long, visited long, measured long, matched long")

@@ -106,3 +106,21 @@ def test_partner_ranks_count_what_is_nearer(spark, monkeypatch):
         monkeypatch.setattr(vector_search, "SALT_TARGETS", 4)
         got = vector_search.partner_ranks(frame(spark, x), sites, ("protein_id", "target"), F.col("vix") == F.col("t_vix"))
         assert {r["target"]: r["rank"] for r in got.collect()} == want
+
+
+def test_matches_leave_in_blocks(monkeypatch):
+    """Where everything matches, no more than a block of pairs is held at a time."""
+    monkeypatch.setattr(pivots, "ROWS", 40)
+    monkeypatch.setattr(pivots, "COLUMNS", 30)
+    monkeypatch.setattr(pivots, "EXACT", 7)
+    rng = np.random.default_rng(8)
+    x, t, p = unit(rng, 100), unit(rng, 70), unit(rng, 3)
+    xp, tp = (pivots.distances(v, p) for v in (x, t))
+    blocks = pivots._met(x, xp, t, tp, 2.5)
+    assert iter(blocks) is blocks  # nothing is measured before it is asked for
+    seen = set()
+    for i, j, d, measured in blocks:
+        assert len(i) == len(j) == len(d) <= measured <= 40 * 30
+        assert np.allclose(d, np.sqrt(((x[i] - t[j]) ** 2).sum(axis=1)))
+        seen |= set(zip(i.tolist(), j.tolist()))
+    assert len(seen) == 100 * 70
