@@ -188,7 +188,7 @@ def pre_post_compare(spark, sf):
 @query("sliding_window_best_fragment", """WITH w AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS start, sum(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS total, count(*) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS c FROM events)
 SELECT user_id, start, round(total, 4) AS total FROM w WHERE c = 12 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(total, 6) DESC, start) = 1""")
 def sliding_window_best_fragment(spark, sf):
-    out = sequence.best_window(fixtures.table(spark, sf, "events"), ["user_id"], ["ts"], "value", 12)
+    out = sequence.best_window(fixtures.table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "value", 12)
     return out.select("user_id", "start", F.round("total", 4).alias("total"))
 
 

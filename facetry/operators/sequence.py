@@ -9,14 +9,23 @@ from facetry.operators.scale import SEGMENT_ROWS, blocked, running, with_ordinal
 
 
 def best_window(df: DataFrame, keys: list[str], order: list[str], value: str, size: int = 12, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """Start of the best full window of ``size`` rows per chain (first one on ties); short chains give none."""
+    """Start of the best full window of ``size`` rows per chain (first one on ties); short chains give none.
+
+    ``order`` has to be total. Totals are compared as exact decimal sums (18 places), so the order of addition breaks no tie;
+    only a chain with a value that no such decimal holds is compared by its floating-point sums.
+    """
     numbered = with_ordinals(df.select(*keys, *order, F.col(value).alias("_v")), keys, order, "pos", segment_rows)
+    exact = f"decimal({38 - len(str(size))}, 18)"  # leaves room for the sum
+    numbered = numbered.withColumn("_x", F.col("_v").try_cast(exact))
     rows, parts = blocked(numbered, keys, "pos", 0, size - 1, segment_rows)
     w = Window.partitionBy(*parts).orderBy("pos").rowsBetween(0, size - 1)
-    sums = rows.select(*keys, "pos", "_ghost", F.sum("_v").over(w).alias("total"), F.count("*").over(w).alias("_c"))
+    odd = F.col("_v").isNotNull() & F.col("_x").isNull()
+    sums = rows.select(*keys, "pos", "_ghost", F.sum("_v").over(w).alias("total"), F.sum("_x").over(w).alias("_exact"), F.count("*").over(w).alias("_c"), F.max(odd).over(w).alias("_odd"))
     full = sums.filter(~F.col("_ghost") & (F.col("_c") == size))
-    best = full.groupBy(*keys).agg(F.max(F.struct("total", (-F.col("pos")).alias("neg"))).alias("_b"))
-    return best.select(*keys, (-F.col("_b.neg")).alias("start"), F.col("_b.total").alias("total"))
+    first = (-F.col("pos")).alias("neg")
+    best = full.groupBy(*keys).agg(F.max(F.struct("_exact", first, "total")).alias("_e"), F.max(F.struct("total", first)).alias("_f"), F.bool_or("_odd").alias("_odd"))
+    pick = lambda c: F.when(F.col("_odd"), F.col(f"_f.{c}")).otherwise(F.col(f"_e.{c}"))
+    return best.select(*keys, (-pick("neg")).alias("start"), pick("total").alias("total"))
 
 
 def state_runs(

@@ -151,3 +151,12 @@ def test_percentiles_of_few_groups_leave_rows_in_place(skewed, capsys):
         spark.conf.set(conf, old)
     assert "SortMergeJoin" not in capsys.readouterr().out
     assert np.allclose(got[["a", "b"]].values, pdf.groupby("k").v.quantile([0.25, 0.5]).unstack().values)
+
+
+def test_best_window_ties_are_exact(spark):
+    """0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 are the same total, whatever the order of addition leaves in the last place."""
+    rows = [(1, i, v) for i, v in enumerate([0.3, 0.2, 0.1, 0.0, 0.1, 0.2, 0.3])] + [(2, i, v) for i, v in enumerate([1e300, 1.0, 2.0, 3e300])]
+    df = spark.createDataFrame(rows, "k long, i long, v double")
+    got = {r["k"]: (r["start"], r["total"]) for r in best_window(df, ["k"], ["i"], "v", 3).collect()}
+    assert got[1][0] == 0 and got[1][1] == pytest.approx(0.6)
+    assert got[2] == (1, 3e300)
