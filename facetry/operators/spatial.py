@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,7 +149,8 @@ def nearest(
     left out. A table of cells (count and true bounding box) is walked from coarse to fine; a cell
     survives only if it can still beat the best bound seen, so a cell that holds a large share of
     all points is split until its parts are small instead of being joined as a whole. Copies of a
-    point are searched once. ``farthest`` (k = 1) walks the same table for the other end.
+    point are searched once. ``farthest`` (k = 1) walks the same table for the other end, with a first
+    bound by the outermost points.
     """
     on = list(on)
     if farthest and (k != 1 or within is not None):
@@ -217,6 +219,13 @@ def nearest(
         own = own.agg(kth.alias("_u1"))
         bounds = seen.select(*at, "_u0").join(own, at, "left").select(*at, F.least("_u0", "_u1").alias("_ub"))
         frontier = places.join(bounds, at, "left").withColumn("_ub", F.least(F.lit(bound), F.coalesce("_ub", F.lit(bound))))
+    elif farthest:
+        # first bound: the way to the outermost points, which lie near the answers
+        ways = [w for w in product((-1, 0, 1), repeat=3) if any(w)]
+        outer = [F.max_by(F.struct(*XYZ), sum(F.col(c) * v for c, v in zip(XYZ, w))) for w in ways]
+        ends = materialize(ids.groupBy(*on).agg(F.array(*outer).alias("_ends")))
+        way = F.array_max(F.transform("_ends", lambda p: dist(*XYZ, *[p[c] for c in XYZ])))
+        frontier = (places.join(ends, on) if on else places.join(F.broadcast(ends))).select(*at, (-way).alias("_ub"))
     else:
         frontier = places.withColumn("_ub", F.lit(bound))
 

@@ -205,3 +205,22 @@ def test_refinement_never_loses_partners(spark):
     end = refine(s, t, start, ["g"], ["g"], rounds=2)
     held = spatial.nearest(place(s, end, ["g"], normals=False), t, "vix", ["g"], 1, 1.0).groupBy("g").agg(F.count("*").alias("n"), F.sum(F.pow("n_dist", F.lit(2.0))).alias("e")).toPandas()
     assert len(held) == 40 and (held.n == 6).all() and (held.e < 6 * 3 * 0.06**2).all()
+
+
+def test_farthest_looks_at_few_cells(spark, monkeypatch):
+    """The outermost points bound the answer from the start, so few of the cells are written for the next level."""
+    rng = np.random.default_rng(12)
+    p = rng.normal(size=(3000, 3)) * 10
+    sizes, write = [], spatial.materialize
+
+    def counted(df):
+        out = write(df)
+        if "_ub" in out.columns and "_cx" in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "materialize", counted)
+    got = spatial.nearest(frame(spark, p, "own"), frame(spark, p, "serial"), "serial", leaf=16, farthest=True).toPandas().set_index("own").sort_index()
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+    assert np.allclose(got.n_dist, d.max(axis=1))
+    assert sizes and max(sizes) < 12 * len(p), sizes
