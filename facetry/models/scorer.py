@@ -30,7 +30,7 @@ def pooled_features(features: DataFrame, keys: list[str], names: tuple = FEATURE
     agg = [F.avg(n).alias(f"mean_{n}") for n in names] + [F.coalesce(F.stddev_pop(n), F.lit(0.0)).alias(f"sd_{n}") for n in names]
     return features.groupBy(*keys).agg(*agg, F.avg((F.col("nn_dist") < 1.5).cast("double")).alias("near_share"))
 
-STEP_NUMBERS = 4_000_000  # numbers in the widest layer of one step
+STEP_NUMBERS = 500_000  # numbers in the widest layer of one step
 
 
 @dataclass
@@ -98,7 +98,15 @@ class NetScorer:
         # the published limit of points per pose, chosen by hash
         part = sample_per_group(features, keys, ["vix"], self.max_points)
         g = part.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("vix", *self.names))).alias("m"))
-        return g.withColumn("x", F.transform("m", lambda p: F.array(*[p[n].cast("double") for n in self.names])))
+        # one row of plain numbers per pose: a Python object per point would fill the executor's Python
+        return g.withColumn("x", F.flatten(F.transform("m", lambda p: F.array(*[p[n].cast("double") for n in self.names]))))
+
+    def _padded(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Numbers of some poses as (poses, points, features), zeros behind the last point."""
+        a = np.zeros((len(rows), self.max_points * len(self.names)))
+        n = np.array([len(r) for r in rows])
+        a[np.arange(a.shape[1]) < n[:, None]] = np.concatenate(rows)
+        return a.reshape(len(rows), self.max_points, len(self.names))
 
     def score(self, features: DataFrame, keys: list[str]) -> DataFrame:
         net = features.sparkSession.sparkContext.broadcast(self)
@@ -109,11 +117,7 @@ class NetScorer:
             step = max(1, STEP_NUMBERS // (s.max_points * max(len(b) for _, b, *_ in s.points)))
             out = [np.empty(0)]
             for i in range(0, len(x), step):
-                some = x.iloc[i : i + step]
-                n = np.array([len(rows) for rows in some])
-                a = np.zeros((len(some), s.max_points, len(s.names)))
-                a[np.arange(s.max_points) < n[:, None]] = np.stack([p for rows in some for p in rows])
-                out.append(s._predict(a))
+                out.append(s._predict(s._padded(list(x.iloc[i : i + step]))))
             return pd.Series(np.concatenate(out))
 
         return self._arrays(features, keys).select(*keys, run("x").alias("score"))
@@ -126,14 +130,13 @@ class NetScorer:
         @F.pandas_udf("array<double>")
         def run(x: pd.Series, n: pd.Series) -> pd.Series:
             s, out = net.value, []
-            for rows, count in zip(x, n):
-                base = np.zeros((s.max_points, len(s.names)))
-                base[: len(rows)] = np.stack(rows)
+            for row, count in zip(x, n):
+                base, points = s._padded([row])[0], len(row) // len(s.names)
                 score = s._predict(base[None])[0]
-                d = np.zeros(len(rows))
+                d = np.zeros(points)
                 if count <= s.max_points and score > cutoff:
-                    each = np.repeat(base[None], len(rows), 0)
-                    each[np.arange(len(rows)), np.arange(len(rows))] = 0.0
+                    each = np.repeat(base[None], points, 0)
+                    each[np.arange(points), np.arange(points)] = 0.0
                     d = s._predict(each) - score
                     top = np.abs(d).max()
                     d = d / top if top > 0 else d

@@ -159,3 +159,18 @@ def test_contact_share_and_spans(spark):
     assert sorted(x.resid for x in hotspot_spans(res, spots, ["seed", "fragment"]).collect()) == [12, 13, 14]
     b = spark.createDataFrame([(1.0, 2.0), (None, None)], "a double, b double").select(best_of_both_directions(F.col("a"), F.col("b")).alias("m"))
     assert [x.m for x in b.collect()] == [1.0, -1.0]
+
+
+def test_net_scorer_takes_plain_rows(spark):
+    """Poses of different sizes, many more than a step holds, as one row of numbers each."""
+    rng = np.random.default_rng(3)
+    rows = [(k, i, *map(float, rng.random(4))) for k in range(300) for i in range(1 + k % 5)]
+    df = spark.createDataFrame(rows, "k long, vix long, " + ", ".join(f"{f} double" for f in FEATURES))
+    net = NetScorer.seeded()
+    assert dict(net._arrays(df, ["k"]).dtypes)["x"] == "array<double>"
+    got = {r["k"]: r["score"] for r in net.score(df, ["k"]).collect()}
+    for k in (0, 3, 7, 299):
+        a = np.zeros((1, net.max_points, 4))
+        mine = [r[2:] for r in rows if r[0] == k]
+        a[0, : len(mine)] = mine
+        assert abs(got[k] - net._predict(a)[0]) < 1e-9
