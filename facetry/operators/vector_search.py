@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from facetry.functions.vector import vec_dist, vec_norm
+from facetry.functions.vector import as_double, vec_dist, vec_norm
 from facetry.operators.scale import SEGMENT_ROWS, top_k, with_ordinals
 from facetry.session import materialize
 
 BROADCAST_BYTES = 64 << 20
 SALT_TARGETS = 10_000
+PART_ROWS = 8_192  # database rows that meet a block of targets where targets are many
+PAIRS = 1 << 20  # distances of a block that is measured at once
 
 
 def _pivot_distance(desc: Column, pivot: list[float] | None) -> Column:
@@ -75,10 +83,84 @@ def scan_distances(database: DataFrame, targets: DataFrame) -> DataFrame:
     return scanned.withColumn("desc_dist", vec_dist("desc", "t_desc")).select(*keep, *[c for c in targets.columns if c != "t_desc"], "desc_dist")
 
 
+def _matrix(vectors, dim: int) -> np.ndarray:
+    return np.concatenate(vectors).astype(np.float64).reshape(len(vectors), dim) if len(vectors) else np.zeros((0, dim))
+
+
+def _nearest_in(x: np.ndarray, t: np.ndarray, k: int, bound: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, target, distance) of the ``k`` nearest rows of ``x`` to every row of ``t``, ties by the smaller row, block by block.
+
+    A matrix product with its error bound only narrows the search; what is left is measured term by term, as :func:`vec_dist` adds.
+    ``bound``: squared distance per target within which ``k`` rows were seen; rows beyond it are left out, and it is lowered here.
+    """
+    error = 8 * (x.shape[1] + 4) * np.finfo(float).eps
+    own = (x * x).sum(axis=1)
+    step = max(1, PAIRS // max(1, len(x)))
+    for a in range(0, len(t), step):
+        some = t[a : a + step]
+        sizes = (some * some).sum(axis=1)[:, None] + own
+        least = sizes * (1 - error) - 2.0 * (some @ x.T)
+        if len(x) >= k:
+            kth = np.partition(least + 2 * error * sizes, k - 1, axis=1)[:, k - 1]
+            bound[a : a + step] = np.fmin(bound[a : a + step], kth)
+        j, i = np.nonzero(~(least > bound[a : a + step, None]))
+        sq = np.zeros(len(i))
+        for c in range(x.shape[1]):
+            d = x[i, c] - some[j, c]
+            sq += d * d
+        d = np.sqrt(sq)
+        order = np.lexsort((i, d, j))
+        i, j, d = i[order], j[order], d[order]
+        keep = np.arange(len(j)) - np.searchsorted(j, j) < k
+        yield i[keep], a + j[keep], d[keep]
+
+
 def rank_database(database: DataFrame, targets: DataFrame, target_keys: list[str], k: int, order_ids: list[str]) -> DataFrame:
-    """Nearest ``k`` database rows per target; only ``k`` rows per target and task leave the scan."""
-    scanned = scan_distances(database, targets)
-    return top_k(scanned, target_keys, [F.col("desc_dist"), *[F.col(c) for c in order_ids]], k)
+    """Nearest ``k`` database rows per target, ties by ``order_ids``; rows without a vector as long as the targets' have no distance and no rank.
+
+    All pairs are measured, as exactness asks without structure in the data, but block by block: no pair is kept, sorted or shuffled
+    beyond the ``k`` per target of a batch. Targets that fit a broadcast (their size is counted) go to the
+    rows; a larger set is cut into blocks that meet parts of the database.
+    """
+    known = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda v: v.isNull())
+    t = materialize(targets.filter(known("t_desc")).withColumn("_t", F.monotonically_increasing_id()))
+    size = t.agg(F.count("*").alias("n"), F.max(F.size("t_desc")).alias("dim")).first()
+    n, dim = size["n"], size["dim"] or 0
+    keep = [c for c in database.columns if c != "desc"]
+    rows = database.filter(known("desc") & (F.size("desc") == dim)).withColumn("desc", as_double("desc"))
+    keys = t.drop("t_desc")
+    order = [F.col("desc_dist"), *[F.col(c) for c in order_ids]]
+    names = [*keep, *[c for c in targets.columns if c != "t_desc"], "desc_dist"]
+    if n * (dim * 8 + 128) <= BROADCAST_BYTES:
+        asked = t.select("_t", "t_desc").toPandas()
+        ids, own = asked["_t"].to_numpy(), _matrix(asked["t_desc"].to_numpy(), dim)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bound = np.full(len(own), np.inf)
+            for batch in batches:
+                x, others = batch.column("desc").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), dim), batch.select(keep)
+                for i, j, d in _nearest_in(x, own, k, bound):
+                    yield pa.RecordBatch.from_arrays([*others.take(pa.array(i)).columns, pa.array(ids[j]), pa.array(d)], names=[*keep, "_t", "desc_dist"])
+
+        kind = T.StructType([*rows.select(*keep).schema, T.StructField("_t", T.LongType()), T.StructField("desc_dist", T.DoubleType())])
+        # rows of a batch stand in the order that breaks ties
+        found = rows.sortWithinPartitions(*order_ids).select(*keep, "desc").mapInArrow(scan, kind)
+        return top_k(found.join(F.broadcast(keys), "_t").select(*names), target_keys, order, k)
+
+    def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        x, own = _matrix(left["desc"].to_numpy(), dim), _matrix(right["t_desc"].to_numpy(), dim)
+        out = [(left["_row"].to_numpy()[i], right["_t"].to_numpy()[j], d) for i, j, d in _nearest_in(x, own, k, np.full(len(own), np.inf))] if len(x) else []
+        return pd.DataFrame(dict(zip(("_row", "_t", "desc_dist"), map(np.concatenate, zip(*out)))) if out else {"_row": [], "_t": [], "desc_dist": []})
+
+    # numbers in the order that breaks ties
+    rows = materialize(rows.repartitionByRange(*order_ids).sortWithinPartitions(*order_ids).withColumn("_row", F.monotonically_increasing_id()))
+    parts, blocks = max(1, -(-rows.count() // PART_ROWS)), -(-n // SALT_TARGETS)
+    dealt = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = rows.select("_row", "desc", dealt("_row", parts).alias("_part"), every(blocks).alias("_block"))
+    right = t.select("_t", "t_desc", dealt("_t", blocks).alias("_block"), every(parts).alias("_part"))
+    near = left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInPandas(meet, "_row long, _t long, desc_dist double")
+    return top_k(near.join(rows.select("_row", *keep), "_row").join(keys, "_t").select(*names), target_keys, order, k)
 
 
 def partner_ranks(database: DataFrame, targets: DataFrame, partner: tuple[str, str], left_out: Column | None = None) -> DataFrame:

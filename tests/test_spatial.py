@@ -224,3 +224,39 @@ def test_farthest_looks_at_few_cells(spark, monkeypatch):
     d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
     assert np.allclose(got.n_dist, d.max(axis=1))
     assert sizes and max(sizes) < 12 * len(p), sizes
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_ranking_keeps_no_pair_beyond_k(spark, monkeypatch, large):
+    """Ties go to the smaller ids over batches and parts, distances are those of the expression, and no task sorts all pairs."""
+    from facetry.functions.vector import vec_dist
+    from facetry.operators import vector_search
+
+    if large:
+        monkeypatch.setattr(vector_search, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(vector_search, "PART_ROWS", 100, raising=False)
+        monkeypatch.setattr(vector_search, "SALT_TARGETS", 10)
+    monkeypatch.setattr(vector_search, "PAIRS", 500, raising=False)
+    seen, real = [], vector_search.top_k
+    monkeypatch.setattr(vector_search, "top_k", lambda df, *a: seen.append(materialize(df)) or real(seen[-1], *a))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    rng = np.random.default_rng(3)
+    d, t = rng.normal(size=(1000, 6)).round(1), rng.normal(size=(20, 6)).round(1)
+    d[::3] = d[0]  # a third are copies
+    t[0] = d[0]
+    rows = [(i // 100, f"v{i % 100:02d}", d[i].tolist()) for i in rng.permutation(1000).tolist()]
+    db = spark.createDataFrame([*rows, (3, "null", None), (3, "hole", [None] * 6), (3, "short", [0.0])], "protein_id long, vix string, desc array<double>")
+    tg = spark.createDataFrame([(i, t[i].tolist()) for i in range(20)], "target long, t_desc array<double>")
+    try:
+        got = rank_database(db, tg, ["target"], 7, ["protein_id", "vix"])
+        assert got.columns == ["protein_id", "vix", "target", "desc_dist", "rank"]
+        got = {(r.target, r["rank"]): (r.desc_dist, r.protein_id, r.vix) for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pairs = db.filter("vix not in ('null', 'hole', 'short')").join(tg).select("target", vec_dist("desc", "t_desc").alias("dist"), "protein_id", "vix").collect()
+    want = {}
+    for j in range(20):
+        for k, r in enumerate(sorted((p.dist, p.protein_id, p.vix) for p in pairs if p.target == j)[:7]):
+            want[j, k + 1] = r
+    assert got == want
+    assert seen[0].count() <= 20 * 7 * 18  # k per target of a batch (of 100 rows, in up to 8 tasks) or part, of 1000 rows
