@@ -8,6 +8,7 @@ from facetry import fixtures
 from facetry.catalog.registry import geodesic_sql, lattice_sql, normals_sql, query, r6
 from facetry.functions.chem import flip_features, normalize_charge, shape_index
 from facetry.operators import geodesic, mesh, patch
+from facetry.operators.scale import large
 
 CUTOFF = 2.6
 
@@ -19,7 +20,7 @@ def surface(spark, sf):
 
 def with_normals(spark, sf):
     v, f = surface(spark, sf)
-    return v.join(mesh.vertex_normals(v, f), ["protein_id", "vix"]), f
+    return v.join(large(mesh.vertex_normals(v, f)), ["protein_id", "vix"]), f
 
 
 def geo(spark, sf, cutoff=CUTOFF):

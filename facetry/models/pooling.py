@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetry.operators.scale import large
+
 CHANNELS = ("si", "ddc", "hbond", "charge", "hphob")
 PATCH = ["protein_id", "center_vix"]
 CHUNK = 4_000_000  # numbers in the arrays of one step
@@ -192,7 +194,7 @@ class InterfaceWeights:
 def gather_members(members: DataFrame, outputs: DataFrame, names: list[str]) -> DataFrame:
     """Patches rebuilt from per-vertex outputs: every member takes the values of its own vertex."""
     v = outputs.select("protein_id", F.col("vix").alias("member_vix"), *[F.col("out")[i].alias(n) for i, n in enumerate(names)])
-    return members.select(*PATCH, "pos", "member_vix", "rho", "theta").join(v, ["protein_id", "member_vix"])
+    return members.select(*PATCH, "pos", "member_vix", "rho", "theta").join(large(v), ["protein_id", "member_vix"])
 
 
 def interface_scores(members: DataFrame, weights: InterfaceWeights, grid: PolarGrid = INTERFACE_GRID, channels: tuple = CHANNELS) -> DataFrame:

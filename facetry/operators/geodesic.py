@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetry.operators.scale import top_k
+from facetry.operators.scale import large, top_k
 from facetry.session import materialize
 
 CENTER_RHO = 1e-8
@@ -30,18 +30,18 @@ def sweep(starts: DataFrame, step: DataFrame, cutoff: float, width: float | None
     back = step.select("protein_id", F.col("dst").alias("v"), F.col("v").alias("dst"), "w")
     stats = step.agg(F.min("w").alias("least"), F.max("w").alias("most")).first()
     least, most = stats["least"] or 0.0, stats["most"] or 0.0
-    both_ways = not step.join(back, ["protein_id", "v", "dst", "w"], "left_anti").head(1)
+    both_ways = not step.join(large(back), ["protein_id", "v", "dst", "w"], "left_anti").head(1)
     width = width or max(least, cutoff / ROUNDS) or 1.0
     at = ["protein_id", "src", "v"]
     best = lambda df: df.groupBy(*at).agg(F.min(F.struct("d", "tag")).alias("b")).select(*at, "b.d", "b.tag")
 
     def extended(labels: DataFrame, settled: list[tuple[float, DataFrame]], lower: float) -> DataFrame:
-        reach = labels.join(step, ["protein_id", "v"]).select("protein_id", "src", F.col("dst").alias("v"), (F.col("d") + F.col("w")).alias("d"), "tag").filter(F.col("d") <= cutoff)
+        reach = labels.join(large(step), ["protein_id", "v"]).select("protein_id", "src", F.col("dst").alias("v"), (F.col("d") + F.col("w")).alias("d"), "tag").filter(F.col("d") <= cutoff)
         if inside is not None:
-            reach = reach.join(inside, at, "left_semi")
+            reach = reach.join(large(inside), at, "left_semi")
         for upper, part in settled:
             if not both_ways or upper > lower - most - 1e-9:
-                reach = reach.join(part.select(*at), at, "left_anti")
+                reach = reach.join(large(part.select(*at)), at, "left_anti")
         return reach
 
     waiting, settled = materialize(best(starts)), []
@@ -62,14 +62,14 @@ def sweep(starts: DataFrame, step: DataFrame, cutoff: float, width: float | None
             reach = materialize(reach)
             proposals.append(reach.filter(F.col("d") >= upper))
             known = labels.select(*at, F.struct("d", "tag").alias("_k"))
-            fresh = reach.filter(F.col("d") < upper).join(known, at, "left").filter(F.col("_k").isNull() | (F.struct("d", "tag") < F.col("_k"))).drop("_k")
+            fresh = reach.filter(F.col("d") < upper).join(large(known), at, "left").filter(F.col("_k").isNull() | (F.struct("d", "tag") < F.col("_k"))).drop("_k")
             fresh = materialize(fresh)
             if not fresh.head(1):
                 break
             labels = materialize(best(labels.unionByName(fresh)))
         for more in proposals:
             later = later.unionByName(more)
-        waiting = materialize(best(later.join(labels.select(*at), at, "left_anti")))
+        waiting = materialize(best(later.join(large(labels.select(*at)), at, "left_anti")))
         settled.append((upper, labels))
         if trace is not None:
             trace.append({"upper": upper, "waiting": state["n"], "settled": labels.count()})
@@ -117,7 +117,7 @@ def shrink_to_fit(geo: DataFrame, radius: float, max_members: int, factor: float
     cut = lambda e: F.lit(radius) * F.pow(F.lit(factor), e)
     k = F.when(cut(k) > F.col("_bound"), k + 1).when(cut(k - 1) <= F.col("_bound"), k - 1).otherwise(k)
     bound = extra.select("protein_id", "src", F.col("d").alias("_bound")).withColumn("_cut", cut(k)).drop("_bound")
-    return inside.join(bound, ["protein_id", "src"], "left").filter(F.col("d") < F.coalesce("_cut", F.lit(radius))).drop("_cut")
+    return inside.join(large(bound), ["protein_id", "src"], "left").filter(F.col("d") < F.coalesce("_cut", F.lit(radius))).drop("_cut")
 
 
 def polar_angles(members: DataFrame, vertices: DataFrame, edges: DataFrame, radius: float) -> DataFrame:
@@ -128,10 +128,10 @@ def polar_angles(members: DataFrame, vertices: DataFrame, edges: DataFrame, radi
     member is met once per centre and not once per inner member. The zero direction points to the first member after the centre.
     """
     half = radius / 2
-    pt = lambda side, p: vertices.select("protein_id", F.col("vix").alias(side), *[F.col(c).alias(p + c) for c in "xyz"])
+    pt = lambda side, p: large(vertices.select("protein_id", F.col("vix").alias(side), *[F.col(c).alias(p + c) for c in "xyz"]))
     nr = vertices.select("protein_id", F.col("vix").alias("center_vix"), *[F.col(f"n{c}").alias(f"k{c}") for c in "xyz"])
     m = members.join(pt("center_vix", "c"), ["protein_id", "center_vix"]).join(pt("member_vix", "m"), ["protein_id", "member_vix"])
-    m = m.join(nr, ["protein_id", "center_vix"])
+    m = m.join(large(nr), ["protein_id", "center_vix"])
     d = [F.col(f"m{c}") - F.col(f"c{c}") for c in "xyz"]
     along = sum(a * F.col(f"k{c}") for a, c in zip(d, "xyz"))
     flat = [(a - along * F.col(f"k{c}")).alias(f"q{c}") for a, c in zip(d, "xyz")]
@@ -139,7 +139,7 @@ def polar_angles(members: DataFrame, vertices: DataFrame, edges: DataFrame, radi
     # zero direction: the nearest member that does not lie straight above the centre
     side = F.sqrt(F.col("qx") ** 2 + F.col("qy") ** 2 + F.col("qz") ** 2) > 1e-9
     ref = m.groupBy("protein_id", "center_vix").agg(F.min_by(F.when(side, F.struct("qx", "qy", "qz")), F.when(side, F.col("pos"))).alias("u"))
-    m = m.join(ref, ["protein_id", "center_vix"])
+    m = m.join(large(ref), ["protein_id", "center_vix"])
     u = [F.col(f"u.q{c}") for c in "xyz"]
     v = (
         F.col("ky") * u[2] - F.col("kz") * u[1],
@@ -158,15 +158,15 @@ def polar_angles(members: DataFrame, vertices: DataFrame, edges: DataFrame, radi
     step = edges.select("protein_id", F.col("src").alias("v"), "dst", "w")
     spread = sweep(starts, step, radius, inside=inside).filter("d > 0")
     angle = inner.select("protein_id", "center_vix", F.col("member_vix").alias("tag"), F.col("_t").alias("_it"))
-    near = spread.select("protein_id", F.col("src").alias("center_vix"), F.col("v").alias("member_vix"), "tag").join(angle, ["protein_id", "center_vix", "tag"]).drop("tag")
-    outer = outer.join(near, ["protein_id", "center_vix", "member_vix"], "left").withColumn("_t", F.coalesce("_it", "_t")).drop("_it")
+    near = spread.select("protein_id", F.col("src").alias("center_vix"), F.col("v").alias("member_vix"), "tag").join(large(angle), ["protein_id", "center_vix", "tag"]).drop("tag")
+    outer = outer.join(large(near), ["protein_id", "center_vix", "member_vix"], "left").withColumn("_t", F.coalesce("_it", "_t")).drop("_it")
     return inner.unionByName(outer).withColumnRenamed("_t", "theta")
 
 
 def patch_mean(members: DataFrame, scores: DataFrame, score: str = "score") -> DataFrame:
     """Mean vertex score over the members of each patch."""
     s = scores.select("protein_id", F.col("vix").alias("member_vix"), F.col(score).alias("_s"))
-    return members.join(s, ["protein_id", "member_vix"]).groupBy("protein_id", "center_vix").agg(F.avg("_s").alias("mean_score"))
+    return members.join(large(s), ["protein_id", "member_vix"]).groupBy("protein_id", "center_vix").agg(F.avg("_s").alias("mean_score"))
 
 
 def top_sites(means: DataFrame, n: int, key: str = "protein_id", ids: str = "center_vix") -> DataFrame:

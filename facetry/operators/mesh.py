@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from facetry.functions.geometry import angle_at, cross3, dist, dot3, norm3, sub3, unit3
 from facetry.operators.components import connected
-from facetry.operators.scale import SEGMENT_ROWS, with_ordinals
+from facetry.operators.scale import SEGMENT_ROWS, large, with_ordinals
 from facetry.operators.spatial import XYZ, radius_pairs
 from facetry.session import materialize
 
@@ -26,7 +26,7 @@ def edges(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Every mesh edge in both directions with its length."""
     pairs = F.array(*[F.struct(F.col(a).alias("src"), F.col(b).alias("dst")) for a, b in permutations(CORNERS, 2)])
     e = faces.select("protein_id", F.explode(pairs).alias("e")).select("protein_id", "e.*").distinct()
-    end = lambda side, p: vertices.select("protein_id", F.col("vix").alias(side), *[F.col(c).alias(p + c) for c in "xyz"])
+    end = lambda side, p: large(vertices.select("protein_id", F.col("vix").alias(side), *[F.col(c).alias(p + c) for c in "xyz"]))
     e = e.join(end("src", "a"), ["protein_id", "src"]).join(end("dst", "b"), ["protein_id", "dst"])
     return e.select("protein_id", "src", "dst", dist("ax", "ay", "az", "bx", "by", "bz").alias("w"))
 
@@ -35,7 +35,7 @@ def with_corners(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Faces with the coordinates of their corners as p0x .. p2z."""
     out = faces
     for i, v in enumerate(CORNERS):
-        out = out.join(vertices.select("protein_id", F.col("vix").alias(v), *[F.col(c).alias(f"p{i}{c}") for c in "xyz"]), ["protein_id", v])
+        out = out.join(large(vertices.select("protein_id", F.col("vix").alias(v), *[F.col(c).alias(f"p{i}{c}") for c in "xyz"])), ["protein_id", v])
     return out
 
 
@@ -54,7 +54,7 @@ def vertex_normals(vertices: DataFrame, faces: DataFrame, strict_compat: bool =
     f = f.select("protein_id", F.array(*CORNERS).alias("_v"), *[c.alias(f"f{a}") for a, c in zip("xyz", n)])
     s = f.select("protein_id", F.explode("_v").alias("vix"), "fx", "fy", "fz").groupBy("protein_id", "vix")
     s = s.agg(*[F.sum(f"f{a}").alias(f"s{a}") for a in "xyz"])
-    base = vertices.select("protein_id", "vix", "x", "y", "z").join(s, ["protein_id", "vix"], "left").na.fill(0.0, ["sx", "sy", "sz"])
+    base = vertices.select("protein_id", "vix", "x", "y", "z").join(large(s), ["protein_id", "vix"], "left").na.fill(0.0, ["sx", "sy", "sz"])
     base = base.select("protein_id", "vix", "x", "y", "z", *[c.alias(f"n{a}") for a, c in zip("xyz", unit3(("sx", "sy", "sz"), EPS))])
     if strict_compat:
         own = (F.col("x") + F.col("y") + F.col("z")) / 3
@@ -71,7 +71,7 @@ def vertex_normals(vertices: DataFrame, faces: DataFrame, strict_compat: bool =
             *[F.sum(f"n{a}").alias(f"_s{a}") for a in "xyz"],
         )
         votes = votes.select("protein_id", (F.col("_vn") - dot3(("_mx", "_my", "_mz"), ("_sx", "_sy", "_sz")) < 0).alias("_flip"))
-    out = base.join(votes, "protein_id")
+    out = base.join(large(votes), "protein_id")
     turn = F.when(F.col("_flip"), -1.0).otherwise(1.0)
     return out.select("protein_id", "vix", *[(F.col(f"n{a}") * turn).alias(f"n{a}") for a in "xyz"])
 
@@ -97,7 +97,7 @@ def curvatures(vertices: DataFrame, faces: DataFrame, normals: DataFrame) -> Dat
         )
     s = f.select("protein_id", F.explode(F.array(*parts)).alias("c")).select("protein_id", "c.*").groupBy("protein_id", "vix")
     s = s.agg(F.sum("angle").alias("_angle"), F.sum("area").alias("_area"), *[F.sum(f"l{c}").alias(f"l{c}") for c in "xyz"])
-    s = s.join(normals, ["protein_id", "vix"])
+    s = s.join(large(normals), ["protein_id", "vix"])
     mean = dot3(("lx", "ly", "lz"), ("nx", "ny", "nz")) / (4 * F.col("_area"))
     return s.select("protein_id", "vix", mean.alias("mean_curv"), ((2 * math.pi - F.col("_angle")) / F.col("_area")).alias("gauss_curv"), F.col("_angle").alias("angle_sum"))
 

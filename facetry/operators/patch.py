@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from facetry.functions.chem import normalize_charge, shape_index
 from facetry.functions.geometry import dist, dot3, norm3
+from facetry.operators.scale import large
 from facetry.operators.spatial import nearest
 
 RINGS = 10
@@ -16,7 +17,7 @@ PATCH = ["protein_id", "center_vix"]
 def mean_center_normal(members: DataFrame, vertices: DataFrame, reach: float = 2.5) -> DataFrame:
     """Normalised mean normal over the members within ``reach`` of each centre."""
     n = vertices.select("protein_id", F.col("vix").alias("member_vix"), "nx", "ny", "nz")
-    m = members.filter(F.col("rho") <= reach).join(n, ["protein_id", "member_vix"])
+    m = members.filter(F.col("rho") <= reach).join(large(n), ["protein_id", "member_vix"])
     a = m.groupBy(*PATCH).agg(*[F.avg(f"n{c}").alias(f"i{c}") for c in "xyz"])
     length = norm3(("ix", "iy", "iz"))
     return a.select(*PATCH, *[F.try_divide(F.col(f"i{c}"), length).alias(f"i{c}") for c in "xyz"])
@@ -24,11 +25,11 @@ def mean_center_normal(members: DataFrame, vertices: DataFrame, reach: float = 2
 
 def distance_dependent_curvature(members: DataFrame, vertices: DataFrame) -> DataFrame:
     """Signed change of the normal per distance from the centre; beyond +-0.7 counts as 0."""
-    at = lambda side, p: vertices.select(
-        "protein_id", F.col("vix").alias(side), *[F.col(c).alias(p + c) for c in "xyz"], *[F.col(f"n{c}").alias(f"{p}n{c}") for c in "xyz"]
+    at = lambda side, p: large(
+        vertices.select("protein_id", F.col("vix").alias(side), *[F.col(c).alias(p + c) for c in "xyz"], *[F.col(f"n{c}").alias(f"{p}n{c}") for c in "xyz"])
     )
     m = members.join(at("member_vix", "m"), ["protein_id", "member_vix"]).join(at("center_vix", "c"), ["protein_id", "center_vix"])
-    m = m.join(mean_center_normal(members, vertices), PATCH)
+    m = m.join(large(mean_center_normal(members, vertices)), PATCH)
     dij = dist("mx", "my", "mz", "cx", "cy", "cz")
     tip = dist(*[F.col(f"m{c}") + F.col(f"mn{c}") for c in "xyz"], *[F.col(f"i{c}") + F.col(f"c{c}") for c in "xyz"])
     turn = dist("mnx", "mny", "mnz", "ix", "iy", "iz")
@@ -39,7 +40,7 @@ def distance_dependent_curvature(members: DataFrame, vertices: DataFrame) -> Dat
 def patch_features(members: DataFrame, vertices: DataFrame, curv: DataFrame) -> DataFrame:
     """Five channels per member: shape index, distance-dependent curvature, hbond, charge, hydropathy."""
     si = curv.select("protein_id", "vix", shape_index(F.col("mean_curv"), F.col("gauss_curv")).alias("si"))
-    v = vertices.join(si, ["protein_id", "vix"], "left").select(
+    v = vertices.join(large(si), ["protein_id", "vix"], "left").select(
         "protein_id",
         F.col("vix").alias("member_vix"),
         "si",
@@ -47,7 +48,7 @@ def patch_features(members: DataFrame, vertices: DataFrame, curv: DataFrame) ->
         normalize_charge(F.coalesce("charge", F.lit(0.0))).alias("charge"),
         (F.coalesce("hphob", F.lit(0.0)) / 4.5).alias("hphob"),
     )
-    return distance_dependent_curvature(members, vertices).join(v, ["protein_id", "member_vix"])
+    return distance_dependent_curvature(members, vertices).join(large(v), ["protein_id", "member_vix"])
 
 
 def ring_of(rho: Column, radius: float, rings: int = RINGS) -> Column:

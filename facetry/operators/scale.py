@@ -16,6 +16,14 @@ SEGMENT_ROWS = 2_000_000
 BROADCAST_GROUPS = 10_000
 
 
+def large(df: DataFrame) -> DataFrame:
+    """Marks a side of a join that grows with the input: both sides are shuffled.
+
+    Left alone, Spark goes by the size of compressed files, takes millions of short rows for few and sends them through the driver.
+    """
+    return df.hint("merge")
+
+
 def running(
     df: DataFrame,
     keys: list[str],

@@ -10,6 +10,7 @@ from facetry.functions.text import atom_key_parts
 from facetry.operators.geodesic import geodesics, patches, polar_angles
 from facetry.operators.mesh import curvatures, edges, vertex_normals
 from facetry.operators.patch import patch_features
+from facetry.operators.scale import large
 from facetry.operators.spatial import radius_pairs
 from facetry.session import materialize
 
@@ -106,7 +107,7 @@ def build_patches(vertices: DataFrame, faces: DataFrame, limits: dict[str, tuple
     top = max(r for r, _ in limits.values())
     v = vertices
     if "nx" not in v.columns:
-        v = materialize(v.join(vertex_normals(v, faces), ["protein_id", "vix"]))
+        v = materialize(v.join(large(vertex_normals(v, faces)), ["protein_id", "vix"]))
     links = materialize(edges(v, faces))
     geo = geodesics(links, top, v.select("protein_id", F.col("vix").alias("src")))
     curv = materialize(curvatures(v, faces, v.select("protein_id", "vix", "nx", "ny", "nz")))

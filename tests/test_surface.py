@@ -225,3 +225,28 @@ def test_penalised_sites(spark):
     assert list(plain.sort_values("site_ix").center_vix) == [1, 2]
     # halving the first patch leaves patch 2 at 0.65, still first of the rest
     assert [r.center_vix for r in geodesic.penalised_sites(m, s, 2).orderBy("site_ix").collect()] == [1, 2]
+
+
+def test_surface_job_sends_no_table_through_the_driver(spark, sf, monkeypatch):
+    """Both sides of its joins grow with the surfaces, so none is broadcast, however small its compressed files are."""
+    import contextlib
+    import io
+
+    from facetry.catalog import QUERIES, surface
+    from facetry.operators import geodesic
+    from facetry.plans import preprocess
+    from facetry.session import materialize
+
+    plans = io.StringIO()
+
+    def seen(df):
+        with contextlib.redirect_stdout(plans):
+            df.explain()
+        return materialize(df)
+
+    for module in (geodesic, preprocess):
+        monkeypatch.setattr(module, "materialize", seen)
+    monkeypatch.setattr("facetry.catalog.models.materialize", seen)
+    seen(QUERIES["descriptor_model"](spark, sf))
+    seen(geodesic.patch_mean(surface.members(spark, sf), surface.surface(spark, sf)[0]))
+    assert "SortMergeJoin" in plans.getvalue() and "Broadcast" not in plans.getvalue()
