@@ -14,13 +14,17 @@ from facetry.operators.scale import SEGMENT_ROWS
 from facetry.operators.sequence import model_numbers
 
 
-def lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Lines of many files with their number: file, line_no, value. One row per file until it is split."""
+def texts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Many files, one row each: file, lines."""
     reader = spark.read.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    text = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return text.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\r?\n").alias("lines"))
+
+
+def lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Lines of many files with their number: file, line_no, value. One row per file until it is split."""
+    return texts(spark, path, glob).select("file", F.posexplode("lines").alias("line_no", "value"))
 
 
 def _field(start: int, end: int) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetry.functions.text import base_name, pair_parts
-from facetry.sources.structures import lines
+from facetry.sources.structures import lines, texts
 
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:
@@ -34,19 +34,25 @@ def score_table(spark: SparkSession, path: str, metrics: list[str], repair: bool
     Values are matched to their file's header by position. ``repair``: tokens that hold a comma, and
     the token ``0``, are dropped first (which also drops true zeros; such rows then lack a value and
     are left out, as incomplete rows always are). ``path_pattern`` adds ``seed`` and ``array``.
+    A file is one row until it is split, so its header is taken there: files are read once and nothing is shuffled.
     """
-    src = lines(spark, path, glob).filter((F.col("line_no") >= 1) & (F.trim("value") != ""))
-    tokens = F.split(F.trim("value"), "\\s+")
-    if repair:
-        tokens = F.filter(tokens, lambda t: (t != "0") & ~t.contains(",") & ~t.isin(RANGE_COLUMNS))
-    src = src.select("file", "line_no", tokens.alias("t"))
+
+    def tokens(line):
+        found = F.split(F.trim(line), "\\s+")
+        return F.filter(found, lambda t: (t != "0") & ~t.contains(",") & ~t.isin(RANGE_COLUMNS)) if repair else found
+
+    is_header = lambda line: line.contains("total_score") & F.array_contains(tokens(line), "total_score")
+    body = F.filter("lines", lambda line, i: (i >= 1) & (F.trim(line) != ""))
+    src = texts(spark, path, glob).select("file", body.alias("body"))
     # the last header line above a row belongs to it, but every file has one layout
-    header = src.filter(F.array_contains("t", "total_score")).groupBy("file").agg(F.min_by("t", "line_no").alias("h"))
-    rows = src.filter(~F.array_contains("t", "total_score")).join(header, "file").filter(F.size("t") == F.size("h"))
-    rows = rows.withColumn("m", F.map_from_arrays("h", "t"))
-    out = rows.select("file", *[F.try_element_at("m", F.lit(c)).try_cast("double").alias(c) for c in metrics], F.try_element_at("m", F.lit("description")).alias("description"))
-    if path_pattern:
-        out = out.withColumn("seed", F.regexp_extract("file", path_pattern, 1)).withColumn("array", F.regexp_extract("file", path_pattern, 2))
+    src = src.withColumn("h", tokens(F.get(F.filter("body", is_header), F.lit(0)))).filter(F.col("h").isNotNull())
+    names = [*metrics, "description"]
+    place = F.struct(F.size("h").alias("size"), *[F.array_position("h", c).cast("int").alias(c) for c in names])
+    ids = [F.regexp_extract("file", path_pattern, i + 1).alias(c) for i, c in enumerate(("seed", "array"))] if path_pattern else []
+    rows = src.select("file", *ids, place.alias("at"), F.explode("body").alias("line")).filter(~is_header(F.col("line")))
+    rows = rows.withColumn("t", tokens(F.col("line"))).filter(F.size("t") == F.col("at.size"))
+    cell = lambda c: F.get("t", F.col("at")[c] - 1)
+    out = rows.select("file", *[cell(c).try_cast("double").alias(c) for c in metrics], cell("description").alias("description"), *(["seed", "array"] if path_pattern else []))
     return out.na.drop()
 
 

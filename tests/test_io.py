@@ -117,6 +117,20 @@ def test_score_tables(spark, tmp_path):
     assert out_tables.design_lines(df, ["total_score", "seed", "description"]).first().total_score == "-5.512"
 
 
+def test_score_files_are_read_once(spark, tmp_path, capsys):
+    """Each file goes by its own first header and nothing is shuffled or joined; a file without a header has no rows."""
+    (tmp_path / "a.sc").write_text("total_score in the title\nSCORE: total_score ddG description\n\nSCORE: 1 2.5 total_scores\n  SCORE: total_score ddG description\nSCORE: 1 0 a_2\nSCORE: 1 2\n")
+    (tmp_path / "b.sc").write_text("title\r\nSCORE: description hb total_score ddG\r\nSCORE: b_1 0 7 -4\r\nSCORE: b_2 x 7 -3\r\n")
+    (tmp_path / "c.sc").write_text("title\nSCORE: 1 2.5 c_1\n")
+    t = tables.score_table(spark, str(tmp_path), ["ddG"], path_pattern=r"/(\w)()\.sc")
+    assert t.columns == ["file", "ddG", "description", "seed", "array"]
+    assert sorted((r.seed, r.ddG, r.description) for r in t.collect()) == [("a", 0.0, "a_2"), ("a", 2.5, "total_scores"), ("b", -4.0, "b_1"), ("b", -3.0, "b_2")]
+    assert tables.score_table(spark, str(tmp_path), ["hb"]).collect()[0].hb == 0.0  # "x" is no number, other files lack the column
+    t.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "Exchange" not in plan
+
+
 def test_lists_cases_and_tree(spark, tmp_path):
     (tmp_path / "ids.txt").write_text("1ABC_A_B \n\n1ABC_A_B\n2DEF_C_\n")
     ids = tables.id_list(spark, str(tmp_path / "ids.txt"))
