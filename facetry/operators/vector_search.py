@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,8 @@ BROADCAST_BYTES = 64 << 20
 SALT_TARGETS = 10_000
 PART_ROWS = 8_192  # database rows that meet a block of targets where targets are many
 PAIRS = 1 << 20  # distances of a block that is measured at once
+BLOCK_ROWS = 1 << 10  # database rows of such a block where pairs are cut by distance
+OUT_ROWS = 1 << 15  # pairs that leave a task at once
 
 
 def _pivot_distance(desc: Column, pivot: list[float] | None) -> Column:
@@ -35,14 +38,20 @@ def threshold_match(
 ) -> DataFrame:
     """All (target, database row) with vector distance < ``max_dist`` and row score > ``min_score``.
 
-    ``database``: ``desc`` (array<double>), ``score``, keys. ``targets``: ``t_desc``, keys.
-    The distances of both sides to a pivot differ by less than ``max_dist`` for every match, so
-    bands of that width turn the distance test into an equi-join over two or three bands per pivot.
-    Targets are few sites; the database never moves while they fit a broadcast. A larger set is
-    shuffled, with the database salted so that one band may hold most of it.
+    ``database``: ``desc`` (array<double>), ``score``, keys. ``targets``: ``t_desc``, keys. Both keep their columns but for the vectors.
+    The distances of both sides to a pivot differ by less than ``max_dist`` for every match. Targets are few sites: while they fit a
+    broadcast the database never moves; blocks of its rows meet the targets whose distances to the pivots are near enough, in matrix
+    products. A larger set is shuffled: bands of that width turn the distance test into an equi-join over two
+    or three bands per pivot, with the database salted so that one band may hold most of it.
     """
     if min_score is not None:
         database = database.filter(F.col("score") > min_score)
+    targets = materialize(targets.withColumn("_t", F.monotonically_increasing_id()))
+    size = targets.agg(F.count("*").alias("n"), F.max(F.size("t_desc")).alias("dim")).first()
+    bytes_ = (size["n"] or 0) * ((size["dim"] or 0) * 8 + 128)
+    if bytes_ <= BROADCAST_BYTES:
+        return _scan_within(database, targets, max_dist, pivots)
+    targets = targets.drop("_t")
     bands = []
     for i, pivot in enumerate(pivots):
         reuse = pivot is None and "norm" in database.columns
@@ -52,18 +61,11 @@ def threshold_match(
         # norms of the two sides may be rounded differently, so three bands
         targets = targets.withColumn(f"_band{i}", F.explode(F.sequence(t - 1, t + 1)))
         bands.append(f"_band{i}")
-
-    targets = materialize(targets)
-    size = targets.agg(F.count("*").alias("n"), F.max(F.size("t_desc")).alias("dim")).first()
-    bytes_ = (size["n"] or 0) * ((size["dim"] or 0) * 8 + 128)
-    if bytes_ <= BROADCAST_BYTES:
-        pairs = database.join(F.broadcast(targets), bands)
-    else:
-        salts = max(1, -(-size["n"] // SALT_TARGETS))
-        salted = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        database = database.withColumn("_salt", F.pmod(F.xxhash64("desc"), F.lit(salts)).cast("int"))
-        pairs = database.join(salted, [*bands, "_salt"]).drop("_salt")
-    return pairs.withColumn("desc_dist", vec_dist("desc", "t_desc")).filter(F.col("desc_dist") < max_dist).drop(*bands)
+    salts = max(1, -(-size["n"] // SALT_TARGETS))
+    salted = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    database = database.withColumn("_salt", F.pmod(F.xxhash64("desc"), F.lit(salts)).cast("int"))
+    pairs = database.join(salted, [*bands, "_salt"]).drop("_salt")
+    return pairs.withColumn("desc_dist", vec_dist("desc", "t_desc")).filter(F.col("desc_dist") < max_dist).drop(*bands, "desc", "t_desc")
 
 
 def scan_distances(database: DataFrame, targets: DataFrame) -> DataFrame:
@@ -87,13 +89,86 @@ def _matrix(vectors, dim: int) -> np.ndarray:
     return np.concatenate(vectors).astype(np.float64).reshape(len(vectors), dim) if len(vectors) else np.zeros((0, dim))
 
 
+def _known(c: str) -> Column:
+    return F.col(c).isNotNull() & ~F.exists(c, lambda v: v.isNull())
+
+
+def _error(x: np.ndarray) -> float:
+    """Share of two squared lengths by which the matrix product may miss the squared distance."""
+    return 8 * (x.shape[1] + 4) * np.finfo(float).eps
+
+
+def _exact(x: np.ndarray, t: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of the rows ``i`` of ``x`` and ``j`` of ``t``, term by term, as :func:`vec_dist` adds."""
+    sq = np.zeros(len(i))
+    for c in range(x.shape[1]):
+        d = x[i, c] - t[j, c]
+        sq += d * d
+    return np.sqrt(sq)
+
+
+def _within(x: np.ndarray, t: np.ndarray, max_dist: float, pivots: list[np.ndarray | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, target, distance) of all rows of ``x`` and ``t`` closer than ``max_dist``, block by block.
+
+    Rows of a block are alike in their distance to the first pivot; only targets that every pivot leaves in reach meet them.
+    """
+    error = _error(x)
+    far = lambda v: [np.sqrt(((v if p is None else v - p) ** 2).sum(axis=1)) for p in pivots]
+    own, size, ways, seen = (x * x).sum(axis=1), (t * t).sum(axis=1), far(x), far(t)
+    order = np.argsort(ways[0], kind="stable") if ways else np.arange(len(x))
+    for a in range(0, len(x), BLOCK_ROWS):
+        i0 = order[a : a + BLOCK_ROWS]
+        near = np.ones(len(t), bool)
+        for w, s in zip(ways, seen):  # what is not a number is left to the distance itself
+            low, high = w[i0].min(), w[i0].max()
+            slack = max_dist + error * (high + max_dist)
+            near &= ~(s < low - slack) & ~(s > high + slack)
+        js = np.nonzero(near)[0]
+        for b in range(0, len(js), PAIRS // BLOCK_ROWS):
+            j0 = js[b : b + PAIRS // BLOCK_ROWS]
+            least = (own[i0, None] + size[j0]) * (1 - error) - 2.0 * (x[i0] @ t[j0].T)
+            i, j = np.nonzero(~(least > max_dist * max_dist * (1 + error)))
+            if len(i):
+                i, j = i0[i], j0[j]
+                d = _exact(x, t, i, j)
+                keep = d < max_dist
+                yield i[keep], j[keep], d[keep]
+
+
+def _scan_within(database: DataFrame, targets: DataFrame, max_dist: float, pivots: list[list[float] | None]) -> DataFrame:
+    """Matches of targets that fit a broadcast (numbered ``_t``); every task scans its rows where they are."""
+    asked = targets.filter(_known("t_desc")).select("_t", as_double("t_desc").alias("t_desc")).toPandas()
+    dims = asked["t_desc"].map(len).to_numpy()
+    own = {int(n): (asked["_t"].to_numpy()[dims == n], _matrix(asked["t_desc"].to_numpy()[dims == n], int(n))) for n in np.unique(dims)}
+    at = [None if p is None else np.array(p, dtype=np.float64) for p in pivots]
+    own = {n: v for n, v in own.items() if all(p is None or len(p) == n for p in at)}  # vectors of other lengths have no distance
+    keep = [c for c in database.columns if c != "desc"]
+    names = [*keep, "_t", "desc_dist"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length = pc.list_value_length(batch.column("desc"))
+            for n, (ids, t) in own.items():
+                part = batch.filter(pc.equal(length, n))
+                x, others = part.column("desc").flatten().to_numpy(zero_copy_only=False).reshape(len(part), n), part.select(keep)
+                for i, j, d in _within(x, t, max_dist, at):
+                    for a in range(0, len(i), OUT_ROWS):
+                        b = slice(a, a + OUT_ROWS)
+                        yield pa.RecordBatch.from_arrays([*others.take(pa.array(i[b])).columns, pa.array(ids[j[b]]), pa.array(d[b])], names=names)
+
+    kind = T.StructType([*database.select(*keep).schema, T.StructField("_t", T.LongType()), T.StructField("desc_dist", T.DoubleType())])
+    found = database.filter(_known("desc")).withColumn("desc", as_double("desc")).select(*keep, "desc").mapInArrow(scan, kind)
+    asked_for = [c for c in targets.columns if c not in ("_t", "t_desc")]
+    return found.join(F.broadcast(targets.drop("t_desc")), "_t").select(*keep, *asked_for, "desc_dist")
+
+
 def _nearest_in(x: np.ndarray, t: np.ndarray, k: int, bound: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, target, distance) of the ``k`` nearest rows of ``x`` to every row of ``t``, ties by the smaller row, block by block.
 
-    A matrix product with its error bound only narrows the search; what is left is measured term by term, as :func:`vec_dist` adds.
+    A matrix product with its error bound only narrows the search; what is left is measured term by term.
     ``bound``: squared distance per target within which ``k`` rows were seen; rows beyond it are left out, and it is lowered here.
     """
-    error = 8 * (x.shape[1] + 4) * np.finfo(float).eps
+    error = _error(x)
     own = (x * x).sum(axis=1)
     step = max(1, PAIRS // max(1, len(x)))
     for a in range(0, len(t), step):
@@ -104,11 +179,7 @@ def _nearest_in(x: np.ndarray, t: np.ndarray, k: int, bound: np.ndarray) -> Iter
             kth = np.partition(least + 2 * error * sizes, k - 1, axis=1)[:, k - 1]
             bound[a : a + step] = np.fmin(bound[a : a + step], kth)
         j, i = np.nonzero(~(least > bound[a : a + step, None]))
-        sq = np.zeros(len(i))
-        for c in range(x.shape[1]):
-            d = x[i, c] - some[j, c]
-            sq += d * d
-        d = np.sqrt(sq)
+        d = _exact(x, some, i, j)
         order = np.lexsort((i, d, j))
         i, j, d = i[order], j[order], d[order]
         keep = np.arange(len(j)) - np.searchsorted(j, j) < k
@@ -122,12 +193,11 @@ def rank_database(database: DataFrame, targets: DataFrame, target_keys: list[str
     beyond the ``k`` per target of a batch. Targets that fit a broadcast (their size is counted) go to the
     rows; a larger set is cut into blocks that meet parts of the database.
     """
-    known = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda v: v.isNull())
-    t = materialize(targets.filter(known("t_desc")).withColumn("_t", F.monotonically_increasing_id()))
+    t = materialize(targets.filter(_known("t_desc")).withColumn("_t", F.monotonically_increasing_id()))
     size = t.agg(F.count("*").alias("n"), F.max(F.size("t_desc")).alias("dim")).first()
     n, dim = size["n"], size["dim"] or 0
     keep = [c for c in database.columns if c != "desc"]
-    rows = database.filter(known("desc") & (F.size("desc") == dim)).withColumn("desc", as_double("desc"))
+    rows = database.filter(_known("desc") & (F.size("desc") == dim)).withColumn("desc", as_double("desc"))
     keys = t.drop("t_desc")
     order = [F.col("desc_dist"), *[F.col(c) for c in order_ids]]
     names = [*keep, *[c for c in targets.columns if c != "t_desc"], "desc_dist"]

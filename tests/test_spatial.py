@@ -1,5 +1,7 @@
 """Spatial joins and alignment against brute force, also with copies and dense clusters."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from facetry.align.refine import refine
 from facetry.align.superpose import identity_pose, place, plane_step, superpose, vote_poses
 from facetry.functions.chem import contact_radius
+from facetry.functions.vector import vec_dist
 from facetry.operators import contact, spatial
 from facetry.operators.patch import interpolate
 from facetry.operators.vector_search import match_lists, rank_database, threshold_match
@@ -164,6 +167,47 @@ def test_threshold_match(spark, monkeypatch, salted):
     assert (top.vix.values.reshape(12, 5) == np.argsort(dist, axis=0)[:5].T).all()
 
 
+def test_threshold_match_of_equal_lengths_in_blocks(spark):
+    """Unit vectors, which no pivot tells apart: all pairs are measured, but far faster than one expression per pair."""
+    rng = np.random.default_rng(6)
+    d = rng.normal(size=(20_000, 64))
+    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    t = d[::10] + rng.normal(size=(2000, 64)) * 0.02
+    db = materialize(spark.createDataFrame([(i, d[i].tolist(), 1.0) for i in range(len(d))], "vix long, desc array<double>, score double").repartition(8))
+    tg = materialize(spark.createDataFrame([(i, t[i].tolist()) for i in range(len(t))], "target long, t_desc array<double>"))
+    write = lambda df: df.write.format("noop").mode("overwrite").save()
+    one = lambda: write(db.filter("vix % 20 = 0").join(F.broadcast(tg)).filter(vec_dist("desc", "t_desc") < 0.5))
+    some = lambda: write(threshold_match(db, tg, 0.5))
+    seconds = {}
+    for f in (some, one, some, one):  # each once before it counts
+        start = time.perf_counter()
+        f()
+        seconds[f] = time.perf_counter() - start
+    assert seconds[some] < 8 * seconds[one]  # of 20 times as many pairs
+    got = threshold_match(db, tg, 0.5).toPandas()
+    want = {(j, i): np.linalg.norm(d[i] - t[j]) for j in range(0, 2000, 50) for i in np.nonzero(((d - t[j]) ** 2).sum(1) < 0.25)[0]}
+    mine = {(r.target, r.vix): r.desc_dist for r in got.itertuples() if r.target % 50 == 0}
+    assert len(got) >= 2000 and set(mine) == set(want) and all(abs(mine[k] - want[k]) < 1e-12 for k in want)
+
+
+@pytest.mark.parametrize("salted", [False, True])
+def test_threshold_match_of_odd_vectors(spark, monkeypatch, salted):
+    """Copies, ties with the limit, other lengths, missing vectors and numbers, empty ones."""
+    from facetry.operators import vector_search
+
+    if salted:
+        monkeypatch.setattr(vector_search, "BROADCAST_BYTES", 0)
+    nan = float("nan")
+    vectors = [[0.0, 0.0], [0.0, 0.0], [0.3, 0.4], [0.0, 0.499999999], None, [0.0, None], [0.0], [], [nan, 0.0], [1e160, 0.0], [1e160, 0.0], [3.0, 4.0]]
+    db = spark.createDataFrame([(i, v, None if i == 1 else 1.0) for i, v in enumerate(vectors)], "vix long, desc array<double>, score double")
+    tg = spark.createDataFrame([(i if i else None, v) for i, v in enumerate(vectors) if i not in (9, 10)], "target long, t_desc array<double>")
+    got = threshold_match(db, tg, 0.5)
+    pairs = sorted((-1 if r["target"] is None else r["target"], r["vix"]) for r in got.collect())
+    spots = [(-1, 0), (-1, 1), (-1, 3), (1, 0), (1, 1), (1, 3), (2, 2), (2, 3), (3, 0), (3, 1), (3, 2), (3, 3), (6, 6), (7, 7), (11, 11)]
+    assert pairs == spots and {"vix", "score", "target", "desc_dist"} == set(got.columns)
+    assert {r["vix"] for r in threshold_match(db, tg, 0.5, 0.0).collect()} == {0, 2, 3, 6, 7, 11}
+
+
 @pytest.mark.parametrize("kind", ["far", "two scales", "plane", "line"])
 def test_cells_stay_small_whatever_the_spread(spark, kind):
     rng = np.random.default_rng(4)
