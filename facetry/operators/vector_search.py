@@ -89,10 +89,32 @@ def _matrix(vectors, dim: int) -> np.ndarray:
     return np.concatenate(vectors).astype(np.float64).reshape(len(vectors), dim) if len(vectors) else np.zeros((0, dim))
 
 
-def _known(c: str) -> Column:
+def known(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.exists(c, lambda v: v.isNull())
 
 
+def first_nearest(x: pa.Array, t: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(position, distance) of the nearest of a few vectors ``t`` to every vector of ``x``, ties by position, distances as :func:`vec_dist` adds.
+
+    A missing distance (no vector, other lengths) comes back as -1 and goes first, as SQL sorts it; NaN goes last.
+    """
+    length = lambda v: pc.fill_null(pc.list_value_length(v), -1).to_numpy(zero_copy_only=False)
+    lx, lt = length(x), length(t)
+    d = np.full((len(lx), len(lt)), -1.0)
+    for n in np.intersect1d(lx[lx >= 0], lt[lt >= 0]):
+        i, j = np.nonzero(lx == n)[0], np.nonzero(lt == n)[0]
+        a, b = (v.take(pa.array(k)).flatten().to_numpy(zero_copy_only=False).reshape(len(k), n) for v, k in ((x, i), (t, j)))
+        sq = np.zeros((len(i), len(j)))
+        for c in range(n):
+            gap = a[:, c, None] - b[:, c]
+            sq += gap * gap
+        d[np.ix_(i, j)] = np.sqrt(sq)
+    last = np.isnan(d)
+    best = np.where(last, np.inf, d).argmin(axis=1)
+    best = np.where(last[np.arange(len(d)), best], last.argmin(axis=1), best)
+    return best, d[np.arange(len(d)), best]
+
+
 def _error(x: np.ndarray) -> float:
     """Share of two squared lengths by which the matrix product may miss the squared distance."""
     return 8 * (x.shape[1] + 4) * np.finfo(float).eps
@@ -137,7 +159,7 @@ def _within(x: np.ndarray, t: np.ndarray, max_dist: float, pivots: list[np.ndarr
 
 def _scan_within(database: DataFrame, targets: DataFrame, max_dist: float, pivots: list[list[float] | None]) -> DataFrame:
     """Matches of targets that fit a broadcast (numbered ``_t``); every task scans its rows where they are."""
-    asked = targets.filter(_known("t_desc")).select("_t", as_double("t_desc").alias("t_desc")).toPandas()
+    asked = targets.filter(known("t_desc")).select("_t", as_double("t_desc").alias("t_desc")).toPandas()
     dims = asked["t_desc"].map(len).to_numpy()
     own = {int(n): (asked["_t"].to_numpy()[dims == n], _matrix(asked["t_desc"].to_numpy()[dims == n], int(n))) for n in np.unique(dims)}
     at = [None if p is None else np.array(p, dtype=np.float64) for p in pivots]
@@ -157,7 +179,7 @@ def _scan_within(database: DataFrame, targets: DataFrame, max_dist: float, pivot
                         yield pa.RecordBatch.from_arrays([*others.take(pa.array(i[b])).columns, pa.array(ids[j[b]]), pa.array(d[b])], names=names)
 
     kind = T.StructType([*database.select(*keep).schema, T.StructField("_t", T.LongType()), T.StructField("desc_dist", T.DoubleType())])
-    found = database.filter(_known("desc")).withColumn("desc", as_double("desc")).select(*keep, "desc").mapInArrow(scan, kind)
+    found = database.filter(known("desc")).withColumn("desc", as_double("desc")).select(*keep, "desc").mapInArrow(scan, kind)
     asked_for = [c for c in targets.columns if c not in ("_t", "t_desc")]
     return found.join(F.broadcast(targets.drop("t_desc")), "_t").select(*keep, *asked_for, "desc_dist")
 
@@ -193,11 +215,11 @@ def rank_database(database: DataFrame, targets: DataFrame, target_keys: list[str
     beyond the ``k`` per target of a batch. Targets that fit a broadcast (their size is counted) go to the
     rows; a larger set is cut into blocks that meet parts of the database.
     """
-    t = materialize(targets.filter(_known("t_desc")).withColumn("_t", F.monotonically_increasing_id()))
+    t = materialize(targets.filter(known("t_desc")).withColumn("_t", F.monotonically_increasing_id()))
     size = t.agg(F.count("*").alias("n"), F.max(F.size("t_desc")).alias("dim")).first()
     n, dim = size["n"], size["dim"] or 0
     keep = [c for c in database.columns if c != "desc"]
-    rows = database.filter(_known("desc") & (F.size("desc") == dim)).withColumn("desc", as_double("desc"))
+    rows = database.filter(known("desc") & (F.size("desc") == dim)).withColumn("desc", as_double("desc"))
     keys = t.drop("t_desc")
     order = [F.col("desc_dist"), *[F.col(c) for c in order_ids]]
     names = [*keep, *[c for c in targets.columns if c != "t_desc"], "desc_dist"]

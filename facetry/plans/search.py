@@ -9,8 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facetry.align.features import alignment_features, descriptor_score, fitness
 from facetry.align.refine import refine
@@ -23,7 +27,7 @@ from facetry.operators.filters import clash_ok, hit, not_hydrogen_name
 from facetry.operators.geodesic import patch_mean, top_sites
 from facetry.operators.select import best_attempt
 from facetry.operators.spatial import ball, exists_within, nearest
-from facetry.operators.vector_search import threshold_match
+from facetry.operators.vector_search import PART_ROWS, first_nearest, known, threshold_match
 from facetry.params import SearchParams
 from facetry.session import materialize
 
@@ -109,14 +113,30 @@ def candidate_patches(database: Surfaces, candidates: DataFrame, params: SearchP
 def descriptor_correspondences(source: DataFrame, target: DataFrame) -> DataFrame:
     """Each source point with the target point of the most similar fingerprint.
 
-    A vertex lies in many patches, so it is compared once per site; a site's patch is bounded.
+    A vertex lies in many patches, so it is compared once per site; a site's patch is bounded, and at most about ``PART_ROWS`` vertices
+    meet it at once.
     """
-    verts = source.select(*SITE, "protein_id", "member_vix", "desc").dropDuplicates([*SITE, "protein_id", "member_vix"])
-    fields = F.struct("vix", "desc", *[F.col(c).alias(f"q{c}") for c in ("x", "y", "z", "nx", "ny", "nz")])
-    patch = target.groupBy(*SITE).agg(F.array_sort(F.collect_list(fields)).alias("patch"))
-    best = F.array_min(F.transform("patch", lambda t: F.struct(vec_dist(F.col("desc"), t["desc"]).alias("dd"), t["vix"].alias("q_vix"), *[t[f"q{c}"].alias(f"q{c}") for c in ("x", "y", "z", "nx", "ny", "nz")])))
-    links = verts.join(patch, SITE).select(*SITE, "protein_id", "member_vix", best.alias("b")).select(*SITE, "protein_id", "member_vix", "b.*")
-    return source.join(links, [*SITE, "protein_id", "member_vix"])
+    key, coords = [*SITE, "protein_id", "member_vix"], ("x", "y", "z", "nx", "ny", "nz")
+    got = ["q_vix", *[f"q{c}" for c in coords]]
+    whole = lambda c: F.when(known(c), as_double(c)).alias("_v")
+    parts = materialize(source.groupBy(*SITE).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("_parts")))
+    verts = source.select(*key, whole("desc")).dropDuplicates(key).join(parts, SITE)
+    verts = verts.withColumn("_part", F.pmod(F.xxhash64("protein_id", "member_vix"), F.col("_parts")).cast("int")).drop("_parts")
+    patch = target.select(*SITE, F.col("vix").alias("q_vix"), *[F.col(c).alias(f"q{c}") for c in coords], whole("desc"))
+    patch = patch.join(parts, SITE).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pc.sort_indices(right, [(c, "ascending") for c in got], null_placement="at_start"))
+        left = left if right.num_rows else left.slice(0, 0)
+        best, dd = (np.zeros(0, int), np.zeros(0))
+        if left.num_rows:
+            best, dd = first_nearest(*(t["_v"].combine_chunks() for t in (left, right)))
+        q = right.select(got).take(pa.array(best))
+        return pa.Table.from_arrays([*left.select(key).columns, pa.array(dd, mask=dd < 0), *q.columns], names=[*key, "dd", *got])
+
+    kind = T.StructType([*verts.select(*key).schema, T.StructField("dd", T.DoubleType()), *patch.select(*got).schema])
+    links = verts.groupBy(*SITE, "_part").cogroup(patch.groupBy(*SITE, "_part")).applyInArrow(meet, kind)
+    return source.join(links, key)
 
 
 def find_poses(source: DataFrame, target: DataFrame, params: SearchParams, attempt: int = 0) -> DataFrame:

@@ -16,6 +16,7 @@ from facetry.functions.vector import vec_dist
 from facetry.operators import contact, spatial
 from facetry.operators.patch import interpolate
 from facetry.operators.vector_search import match_lists, rank_database, threshold_match
+from facetry.plans import search
 from facetry.session import materialize
 
 
@@ -208,6 +209,27 @@ def test_threshold_match_of_odd_vectors(spark, monkeypatch, salted):
     assert {r["vix"] for r in threshold_match(db, tg, 0.5, 0.0).collect()} == {0, 2, 3, 6, 7, 11}
 
 
+def test_correspondences_of_odd_vectors(spark, monkeypatch):
+    """Ties go to the first vertex, a missing distance comes first and NaN last, whatever part of a site a vertex falls into."""
+    monkeypatch.setattr(search, "PART_ROWS", 4, raising=False)
+    rng = np.random.default_rng(8)
+    nan, inf = float("nan"), float("inf")
+    odd = [None, [0.0, None], [1.0], [], [nan, 0.0], [1e160, 0.0], [0.0, 0.0], [0.0, 0.0], [3.0, 4.0], [inf, 0.0]]
+    vectors = lambda n, some: [rng.integers(0, 3, 2).astype(float).tolist() for _ in range(n)] + some
+    sites = {(0, 0): (vectors(20, odd), vectors(6, [])), (0, 1): (vectors(3, odd), [[nan, 0.0], [inf, 0.0], [5.0, 5.0]]), (1, 0): (vectors(3, odd), [[nan, 1.0], [inf, 2.0]]), (2, 0): (vectors(9, []), [[0.0, 1.0], None, [1.0], []]), (3, 0): (vectors(5, odd), [])}
+    source = [(*k, i % 2, v, i, pos, float(i), d) for k, (a, _) in sites.items() for i, d in enumerate(a) for v in (0, 1) for pos in (i,)]
+    target = [(*k, i, *map(float, rng.normal(size=6)), d) for k, (_, b) in sites.items() for i, d in reversed([*enumerate(b)])] + [(9, 0, 0, *[0.0] * 6, [0.0, 0.0])]
+    s = spark.createDataFrame(source, "target long, site_ix int, protein_id long, vix int, member_vix int, pos int, x double, desc array<double>")
+    t = spark.createDataFrame(target, "target long, site_ix int, vix int, x double, y double, z double, nx double, ny double, nz double, desc array<double>")
+    links = search.descriptor_correspondences(s, t)
+    columns = ["target", "site_ix", "vix", "member_vix", "dd", "q_vix", "qx", "qnz"]
+    got = sorted(map(repr, links.select(columns).toPandas().itertuples(index=False, name=None)))
+    least = F.min(F.struct(vec_dist("desc", "t_desc").alias("dd"), F.col("q_vix"), F.col("qx"), F.col("qnz"))).alias("b")
+    pairs = s.join(t.select("target", "site_ix", F.col("vix").alias("q_vix"), F.col("x").alias("qx"), F.col("nz").alias("qnz"), F.col("desc").alias("t_desc")), ["target", "site_ix"])
+    want = pairs.groupBy("target", "site_ix", "vix", "member_vix").agg(least).select("target", "site_ix", "vix", "member_vix", "b.*")
+    assert len(got) == 2 * (30 + 13 + 13 + 9) and got == sorted(map(repr, want.select(columns).toPandas().itertuples(index=False, name=None)))
+
+
 @pytest.mark.parametrize("kind", ["far", "two scales", "plane", "line"])
 def test_cells_stay_small_whatever_the_spread(spark, kind):
     rng = np.random.default_rng(4)
